@@ -101,4 +101,5 @@ def yoy(df: DataFrame, by: Sequence[str], year: str, value: str,
         *by, year, "total",
         F.when(prev_year == F.col(year) - 1, F.col("total") - prev_total).alias(out),
         F.when(prev_year == F.col(year) - 1,
-               F.try_divide(F.col("total") - prev_total, prev_total) * 100).alias(out + "_pct"))
+               F.try_divide((F.col("total") - prev_total).cast("double"),
+                            prev_total.cast("double")) * 100).alias(out + "_pct"))

@@ -123,29 +123,15 @@ def publish_slice(spark: SparkSession, df: DataFrame, sink_path: str,
     return spark.read.parquet(sink_path)
 
 
-def fan_out(bronze: DataFrame, targets: Sequence[TargetSpec], build) -> dict[str, DataFrame]:
+def fan_out(bronze: DataFrame, targets: Sequence[TargetSpec], build,
+            cache: bool = False) -> dict[str, DataFrame]:
     """SNK-6: one bronze frame feeds several targets, each with its own projection, keys,
-    dedupe and stale flags. The bronze frame is pruned to the columns any target needs and
-    persisted once, so N targets do not rescan it (lost cached blocks are recomputed from
-    lineage). ``build(target_spec, bronze)`` returns the target's frame.
+    dedupe and stale flags. ``build(target_spec, bronze)`` returns the target's frame.
+
+    By default each target's plan scans bronze itself and Catalyst prunes that scan to the
+    columns the target reads: at scale two pruned columnar scans are cheaper than caching
+    the bronze table. ``cache=True`` persists bronze once (all columns, so dedupe
+    tie-breaking and hence every target's result is the same as when it loads alone).
     """
-    from strata.functions.terms import parse_cell, term_references
-
-    needed = set()
-    for t in targets:
-        for m in t.mappings:
-            needed.update(x for x in (m.source_field, *m.alternates) if x)
-            for term in parse_cell(m.transformation):
-                needed.update(term_references(term))
-        l = t.load
-        needed.update([*l.merge_key, *l.source_partition_by,
-                       *(c for c, _ in l.source_order_by), *(c for c, _ in l.order_by),
-                       *l.target_join_columns, *l.audit.all()])
-        if l.target_audit_column:
-            needed.add(l.target_audit_column)
-    have = {c.lower(): c for c in bronze.columns}
-    cols = [have[n.lower()] for n in sorted(needed) if n.lower() in have]
-    shared = bronze.select(*cols)
-    if len(targets) > 1:
-        shared = shared.persist()
+    shared = bronze.persist() if cache and len(targets) > 1 else bronze
     return {t.load.target_table: build(t, shared) for t in targets}
