@@ -77,18 +77,23 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str,
 def run_stats(df: DataFrame, by: Sequence[str], value: str, scale: int = 2) -> DataFrame:
     """AG-4: count, mean, median, min, max, sample stddev and variance per group.
 
-    Standard deviation and variance are 0 for a single value (not NULL). ``value`` is
-    summed as DECIMAL(38, scale); mean = exact sum / count as a double.
+    ``value`` is taken at ``scale`` decimal places as an integer u = value * 10^scale;
+    sums of u and u^2 are exact DECIMAL(38,0), so mean and variance
+    ``(n*sum(u^2) - sum(u)^2) / (n*(n-1)) / 10^(2*scale)`` do not depend on partitioning.
+    Standard deviation and variance are 0 for a single value (not NULL).
     """
     by = list(by)
     v = F.col(value)
-    dec = v.cast(f"decimal(38,{scale})")
+    u = (v.cast(f"decimal(38,{scale})") * (10 ** scale)).cast("decimal(38,0)")
+    n, s1, s2 = F.count(v), F.sum(u), F.sum(u * u)
+    var = ((n * s2 - s1 * s1).cast("double") / (n * (n - 1)).cast("double")
+           / float(10 ** (2 * scale)))
     basic = df.groupBy(*by).agg(
-        F.count(v).alias("count"),
-        (F.sum(dec).cast("double") / F.count(v)).alias("mean"),
+        n.alias("count"),
+        (s1.cast("double") / n / float(10 ** scale)).alias("mean"),
         F.min(v).alias("min"), F.max(v).alias("max"),
-        F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_dev"),
-        F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"))
+        F.when(n > 1, F.sqrt(var)).otherwise(F.lit(0.0)).alias("std_dev"),
+        F.when(n > 1, var).otherwise(F.lit(0.0)).alias("variance"))
     return basic.join(exact_median(df, by, value), by, "left")
 
 
