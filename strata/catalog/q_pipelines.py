@@ -1 +1,187 @@
-"""Registered queries."""
+"""End-to-end loads (PL-1..PL-4) and the audit trail (AU-1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strata.catalog import query
+from strata.catalog.common import JOB_ID, LOAD_TS, t
+from strata.catalog.q_emissions import (ACTIVITY_SQL, DEFAULTS_SQL, FACTORS_SQL, SCOPE_RULES,
+                                        SCOPES_SQL, UNITS_SQL, activity, defaults, factors)
+from strata.operators.emissions import unit_table
+from strata.operators.project import with_audit_stamp
+from strata.operators.quality import rule_negative
+from strata.plans.audit import read_audit
+from strata.plans.emissions import EmissionsJob, run_emissions
+from strata.plans.gold import GoldJob, run_gold
+from strata.plans.silver import SilverJob, run_silver
+from strata.plans.steps import run_steps
+from strata.session import scratch_path
+from strata.sources.readers import register_inputs
+from strata.spec import ColumnMapping as M
+from strata.spec import LoadSpec
+
+FIRST_LOAD_TS = "2024-01-16 00:00:00"
+SPLIT = "2024-01-16 00:00:00"
+
+EVENT_MAPPING = (
+    M("user_id", "BIGINT", "user_id"),
+    M("event_type", "STRING", "event_type"),
+    M("ts", "TIMESTAMP_NTZ", "ts"),
+    M("amount", "DECIMAL(18,2)", "value", transformation="Direct"),
+    M("kind", "STRING", transformation='Conditional("value > 50", "HIGH", "LOW")'),
+)
+EVENT_LOAD = LoadSpec.from_metadata("user_events", {
+    "merge_key": "user_id, event_type", "merge_type": "upsert",
+    "source_deduplication": "Y", "source_partitionBy_columns": "user_id, event_type",
+    "source_orderBy_columns": "ts desc", "stale_data_handling": "Y",
+    "target_join_columns": "user_id, event_type", "target_audit_columns": "ts"})
+
+
+def _two_loads(spark, sf):
+    """First load: events before the split; second load: all events (stale rows of the
+    second batch are dropped, newer ones upserted)."""
+    ev = t(spark, sf, "events")
+    path, audit = scratch_path(spark, "pl01_target"), scratch_path(spark, "pl01_audit")
+    rules = [rule_negative("amount", "negative_amount")]
+    first = SilverJob(EVENT_LOAD, EVENT_MAPPING, path, FIRST_LOAD_TS, JOB_ID, rules, audit)
+    run_silver(spark, ev.where(F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz")), first)
+    second = SilverJob(EVENT_LOAD, EVENT_MAPPING, path, LOAD_TS, JOB_ID, rules, audit)
+    result = run_silver(spark, ev, second)
+    return result, audit
+
+
+LATEST_EVENTS = """latest AS (
+  SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type
+    ORDER BY ts DESC NULLS LAST, event_id ASC NULLS FIRST, value ASC NULLS FIRST,
+             props ASC NULLS FIRST) = 1)"""
+
+
+@query("pl01_run_silver", f"""WITH {LATEST_EVENTS}
+SELECT user_id, event_type, ts, CAST(value AS DECIMAL(18,2)) AS amount,
+       CASE WHEN value > 50 THEN 'HIGH' ELSE 'LOW' END AS kind,
+       CASE WHEN ts >= TIMESTAMP '{SPLIT}' THEN TIMESTAMP '{LOAD_TS}'
+            ELSE TIMESTAMP '{FIRST_LOAD_TS}' END AS created_time,
+       '{JOB_ID}' AS created_by,
+       CASE WHEN ts >= TIMESTAMP '{SPLIT}' THEN TIMESTAMP '{LOAD_TS}'
+            ELSE TIMESTAMP '{FIRST_LOAD_TS}' END AS updated_time,
+       '{JOB_ID}' AS updated_by
+FROM latest""")
+def pl01(spark, sf):
+    """Silver load of events keyed by (user, event type): bronze dedupe, mapping, stale
+    filter against the target, quality quarantine, upsert, twice."""
+    result, _ = _two_loads(spark, sf)
+    return result.table
+
+
+@query("au01_audit_log", f"""
+SELECT 'user_events' AS table_name, '{JOB_ID}' AS job_id, status, message,
+       CAST(row_count AS BIGINT) AS row_count, started_at, 'UTC' AS zone
+FROM (
+  SELECT 'I' AS status, 'load started' AS message, NULL AS row_count,
+         TIMESTAMP '{FIRST_LOAD_TS}' AS started_at
+  UNION ALL SELECT 'S', 'single_dedupe_stale load succeeded',
+         (SELECT count(DISTINCT (user_id, event_type)) FROM events
+          WHERE ts < TIMESTAMP '{SPLIT}'), TIMESTAMP '{FIRST_LOAD_TS}'
+  UNION ALL SELECT 'I', 'load started', NULL, TIMESTAMP '{LOAD_TS}'
+  UNION ALL SELECT 'S', 'single_dedupe_stale load succeeded',
+         (SELECT count(DISTINCT (user_id, event_type)) FROM events), TIMESTAMP '{LOAD_TS}')""")
+def au01(spark, sf):
+    _, audit = _two_loads(spark, sf)
+    return read_audit(spark, audit)
+
+
+OLD_CUTOFF = "1998-01-01 00:00:00"
+GOLD_TS0 = "2024-01-01 00:00:00"
+GOLD_SLICE = {"o_orderstatus": "O", "o_orderpriority": "1-URGENT"}
+GOLD_SCHEMA = (("o_orderstatus", "string"), ("o_orderpriority", "string"),
+               ("c_mktsegment", "string"), ("order_count", "bigint"),
+               ("total_price", "decimal(38,2)"))
+_TOTALS = """SELECT o.o_orderstatus, o.o_orderpriority, c.c_mktsegment, count(*) AS order_count,
+       CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total_price
+FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey"""
+
+
+@query("pl02_run_gold", f"""
+WITH old AS ({_TOTALS.format(orders="orders", customer="customer")}
+             WHERE o.o_orderdate < TIMESTAMP '{OLD_CUTOFF}' GROUP BY ALL),
+new AS ({_TOTALS.format(orders="orders", customer="customer")}
+        WHERE o.o_orderstatus = 'O' AND o.o_orderpriority = '1-URGENT' GROUP BY ALL)
+SELECT *, TIMESTAMP '{GOLD_TS0}' AS created_time, 'init' AS created_by,
+       TIMESTAMP '{GOLD_TS0}' AS updated_time, 'init' AS updated_by
+FROM old WHERE NOT (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')
+UNION ALL
+SELECT *, TIMESTAMP '{LOAD_TS}', '{JOB_ID}', TIMESTAMP '{LOAD_TS}', '{JOB_ID}' FROM new""")
+def pl02(spark, sf):
+    """Gold table of order totals per status/priority/segment: an older state is in place
+    (and served); this run recomputes slice (O, 1-URGENT) with staged SQL, snapshots the
+    old slice to history, overwrites the slice and publishes it."""
+    orders, customer = t(spark, sf, "orders"), t(spark, sf, "customer")
+    gold_path, serving = scratch_path(spark, "pl02_gold"), scratch_path(spark, "pl02_serving")
+    register_inputs(spark, {"pl02_old_orders": orders.where(
+        F.col("o_orderdate") < F.lit(OLD_CUTOFF).cast("timestamp_ntz")), "pl02_customer": customer})
+    old = spark.sql(_TOTALS.format(orders="pl02_old_orders_temp_vw",
+                                   customer="pl02_customer_temp_vw") + " GROUP BY ALL")
+    old = with_audit_stamp(old, GOLD_TS0, "init")
+    for path in (gold_path, serving):
+        old.write.partitionBy("o_orderstatus", "o_orderpriority").parquet(path)
+    job = GoldJob(
+        table_name="order_totals",
+        steps=[("slice_totals", _TOTALS.format(orders="orders_temp_vw", customer="customer_temp_vw")
+                + " WHERE o.o_orderstatus = :status AND o.o_orderpriority = :priority"
+                  " GROUP BY ALL"),
+               ("gold_final_df", "SELECT * FROM slice_totals")],
+        schema=GOLD_SCHEMA, gold_path=gold_path, slice_values=GOLD_SLICE, load_ts=LOAD_TS,
+        job_id=JOB_ID, params={"status": "O", "priority": "1-URGENT"},
+        history_path=scratch_path(spark, "pl02_history"), serving_path=serving,
+        audit_path=scratch_path(spark, "pl02_audit"))
+    return run_gold(spark, {"orders": orders, "customer": customer}, job)
+
+
+@query("pl03_run_emissions", f"""WITH {ACTIVITY_SQL}, {UNITS_SQL}, {FACTORS_SQL},
+{DEFAULTS_SQL}, {SCOPES_SQL},
+f AS (SELECT a.* REPLACE (COALESCE(a.emission_factor, d.default_factor) AS emission_factor,
+                          COALESCE(a.scope_category, r.scope) AS scope_category)
+      FROM activity a LEFT JOIN defaults d ON a.fuel_type = d.fuel_type
+      LEFT JOIN scope_rules r ON a.fuel_type = r.fuel_type),
+k AS (SELECT f.*, CAST(f.energy_consumption * u.to_kwh AS DECIMAL(18,6)) AS energy_kwh
+      FROM f LEFT JOIN units u ON f.energy_unit = u.unit),
+c AS (SELECT k.*, CAST(CAST(k.energy_kwh AS DECIMAL(38,6)) * x.factor AS DECIMAL(18,6)) AS co2e
+      FROM k LEFT JOIN factors x ON k.fuel_type = x.fuel_type)
+SELECT scope_category, reporting_period, CAST(sum(co2e) AS DECIMAL(38,6)) AS total_emissions,
+       CAST(sum(emission_factor) AS DOUBLE) / count(emission_factor) AS avg_emission_factor,
+       count(*) AS record_count
+FROM c GROUP BY ALL""")
+def pl03(spark, sf):
+    job = EmissionsJob(
+        target_path=scratch_path(spark, "pl03_emissions"), processed_at=LOAD_TS,
+        factor_source="IPCC_2023", units=unit_table(spark), factors=factors(spark),
+        default_factors=defaults(spark),
+        scope_rules=spark.createDataFrame(list(SCOPE_RULES), "fuel_type string, scope string"),
+        source_table="lineitem", key_cols=["l_orderkey", "l_linenumber"])
+    return run_emissions(spark, activity(spark, sf), job).summary
+
+
+STEP_SQL = (
+    ("line_revenue", "SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2)) * "
+                     "(1 - CAST(l_discount AS DECIMAL(18,2)))) AS revenue FROM {lineitem} "
+                     "GROUP BY l_orderkey"),
+    ("order_revenue", "SELECT o.o_custkey, r.revenue FROM {orders} o JOIN line_revenue r "
+                      "ON o.o_orderkey = r.l_orderkey WHERE o.o_orderdate >= {since}"),
+    ("gold_final_df", "SELECT c.c_mktsegment, count(*) AS orders, "
+                      "CAST(sum(x.revenue) AS DECIMAL(38,4)) AS revenue FROM order_revenue x "
+                      "JOIN {customer} c ON x.o_custkey = c.c_custkey GROUP BY c.c_mktsegment"),
+)
+
+
+@query("pl04_run_steps", "WITH " + ",\n".join(
+    f"{n} AS ({s.format(lineitem='lineitem', orders='orders', customer='customer', since=chr(39) + '1997-01-01' + chr(39))})"
+    for n, s in STEP_SQL[:2]) + "\n" + STEP_SQL[2][1].format(customer="customer"))
+def pl04(spark, sf):
+    v = register_inputs(spark, {"pl04_lineitem": t(spark, sf, "lineitem"),
+                                "pl04_orders": t(spark, sf, "orders"),
+                                "pl04_customer": t(spark, sf, "customer")})
+    steps = [(n, s.format(lineitem=v["pl04_lineitem"], orders=v["pl04_orders"],
+                          customer=v["pl04_customer"], since="CAST(:since AS TIMESTAMP_NTZ)"))
+             for n, s in STEP_SQL]
+    return run_steps(spark, steps, {"since": "1997-01-01"})

@@ -66,10 +66,12 @@ def commit_table(spark: SparkSession, df: DataFrame, path: str,
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str]) -> DataFrame:
-    """SNK-2: overwrite load, partitioned; read back with ``mergeSchema`` so later loads
-    may add columns."""
+    """SNK-2: overwrite load, partitioned by ``partition_by``. Each load replaces the
+    table, so its schema is the new frame's (columns may be added between loads); it is
+    read back with that schema, which keeps partition column types (no inference from
+    directory names)."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.option("mergeSchema", "true").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # Characters escaped in partition directory names (the Hive convention
