@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.functions.glossary import TermContext, apply_term
+from strata.functions.glossary import DEFAULT_DATE_FORMATS, TermContext, apply_term
 from strata.functions.terms import TermError, parse_cell, term_references
 from strata.spec import AuditColumns, ColumnMapping
 
@@ -124,6 +124,12 @@ def project(df: DataFrame, mappings: Iterable, policy: str = "strict",
         for term in parse_cell(m.transformation):
             current, cur_type = apply_term(term, make_ctx(m, current, cur_type))
         name = internal[m.target.lower()]
+        if isinstance(ttype, T.DateType) and isinstance(cur_type, T.StringType):
+            # text -> DATE: parse by format first ('240305' must not become year 240305)
+            fmts = (m.source_format,) if m.source_format else DEFAULT_DATE_FORMATS
+            current = F.coalesce(*[F.to_date(F.try_to_timestamp(current, F.lit(f)))
+                                   for f in fmts], current.try_cast(ttype) if policy == "reject"
+                                 else current.cast(ttype))
         if policy == "strict":
             return [current.cast(ttype).alias(name)]
         ok = f"{name}_ok"

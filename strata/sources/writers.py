@@ -50,7 +50,8 @@ def commit_table(spark: SparkSession, df: DataFrame, path: str,
 
     ``df`` may read ``path`` itself (an upsert does): the old files stay until the new
     copy is complete. A crash before the swap leaves the old table readable; not safe for
-    concurrent writers. Returns the committed table as read back.
+    concurrent writers. Frames read from the old version are stale after the swap; the
+    committed table is returned freshly read.
     """
     tag = uuid.uuid4().hex[:12]
     staging, old = f"{path}.__staging-{tag}", f"{path}.__old-{tag}"
