@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.sources.readers import read_layer
+from strata.sources.readers import read_layer, spread
 
 # Fixed run values used by the registered loads (a fixed load time keeps reruns equal).
 LOAD_TS = "2024-06-30 12:00:00"
 JOB_ID = "job-0001"
 
 
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given test table."""
-    return read_layer(spark, sf_dir, None, name)
+def t(spark: SparkSession, sf_dir: str, name: str, cpu_heavy: bool = False) -> DataFrame:
+    """A given test table. ``cpu_heavy`` marks per-row text/JSON work: then a table whose
+    file is a single split is spread over the task slots (a no-op on large inputs)."""
+    df = read_layer(spark, sf_dir, None, name)
+    return spread(df) if cpu_heavy else df
 
 
 # Columns of lineitem after the dedupe key and order column, for tie-breaking in SQL.

@@ -18,7 +18,7 @@ from strata.operators.textmetrics import (blocks, clause_counts, code_metrics, c
 
 
 def _sql_versions(spark, sf):
-    o = t(spark, sf, "orders")
+    o = t(spark, sf, "orders", cpu_heavy=True)
     n = F.substring("o_orderpriority", 1, 1).cast("int") - 1
     big = F.col("o_totalprice") > 250000
     status = F.col("o_orderstatus")
@@ -78,7 +78,7 @@ def _clauses(c):
 SELECT doc_id, lang, CAST(length(text) AS BIGINT) AS length,
        CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM documents""")
 def tx01(spark, sf):
-    d = t(spark, sf, "documents")
+    d = t(spark, sf, "documents", cpu_heavy=True)
     return d.select("doc_id", "lang", F.length("text").cast("bigint").alias("length"),
                     est_tokens(F.col("text")).alias("tokens"))
 
@@ -100,7 +100,7 @@ def _section_sql(name, start, end):
 @query("tx02_sections", "WITH s AS (" + " UNION ALL ".join(_section_sql(*m) for m in PAGE_MARKS)
        + ") SELECT *, sum(tokens) OVER (PARTITION BY page_id) AS total_tokens FROM s")
 def tx02(spark, sf):
-    return sections(t(spark, sf, "pages"), "page_id", "html", PAGE_MARKS)
+    return sections(t(spark, sf, "pages", cpu_heavy=True), "page_id", "html", PAGE_MARKS)
 
 
 @query("tx03_clause_counts", f"WITH {SQL_VERSIONS} SELECT o_orderkey, {_clauses('sql_v1')} FROM sqlv")
@@ -116,7 +116,7 @@ SELECT doc_id, {_count('(?m)#.*$', 'text')} AS comments, {_count(r'def\s+\w+', '
        {_count(r'if\s+|for\s+|while\s+', 'text')} AS complexity
 FROM documents""")
 def tx04(spark, sf):
-    d = t(spark, sf, "documents")
+    d = t(spark, sf, "documents", cpu_heavy=True)
     return d.select("doc_id", *[x.alias(k) for k, x in code_metrics(F.col("text")).items()])
 
 
@@ -149,7 +149,7 @@ SELECT conv_id, turn,
          AS text
 FROM conversations""")
 def tx06(spark, sf):
-    c = t(spark, sf, "conversations")
+    c = t(spark, sf, "conversations", cpu_heavy=True)
     fenced = F.concat(F.lit("```"), F.when(F.col("role") == "assistant", F.lit("sql"))
                       .otherwise(F.lit("")), F.lit("\n"), F.col("text"), F.lit("\n```  "))
     return c.select("conv_id", "turn", strip_fences(fenced).alias("text"))
@@ -157,7 +157,7 @@ def tx06(spark, sf):
 
 def _notebooks(spark, sf):
     """A silver or gold text per order (status F -> silver), defects by priority."""
-    o = t(spark, sf, "orders")
+    o = t(spark, sf, "orders", cpu_heavy=True)
     pr, st = F.col("o_orderpriority"), F.col("o_orderstatus")
     nl = F.lit("\n")
     silver = F.concat(
@@ -256,6 +256,6 @@ SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS block_no,
 FROM (SELECT doc_id, string_split(regexp_replace(text, '\.\s', '.' || chr(10) || chr(10), 'g'),
                                   chr(10) || chr(10)) AS parts FROM documents)""")
 def tx08(spark, sf):
-    d = t(spark, sf, "documents").select(
+    d = t(spark, sf, "documents", cpu_heavy=True).select(
         "doc_id", F.regexp_replace("text", r"\.\s", ".\n\n").alias("text"))
     return blocks(d, "doc_id", "text")

@@ -57,3 +57,13 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A new, unique path under the shared folder for one write."""
     return f"{shared_dir(spark)}/strata/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage: an eager, reliable ``checkpoint()`` into the shared checkpoint folder.
+
+    Used where several jobs read one derived frame (a parsed corpus), so each plan starts
+    from the written copy instead of re-deriving it; a lost executor re-reads the files.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
