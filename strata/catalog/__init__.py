@@ -14,6 +14,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _bigint_counts(sql: str) -> str:
+    """DuckDB types ``count_if`` as HUGEINT; Spark's is BIGINT. Wrap each call in a cast
+    so the oracle's schema matches (values are unchanged)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("count_if(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k, quoted = 0, j + len("count_if"), False
+        while k < len(sql):
+            if sql[k] == "'":
+                quoted = not quoted          # '' inside a literal toggles twice
+            elif quoted:
+                pass
+            elif sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn`` under ``name``; ``sql`` is its oracle (omit for rows-only checks)."""
     def deco(fn):
@@ -21,7 +47,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = _bigint_counts(sql)
         return fn
     return deco
 

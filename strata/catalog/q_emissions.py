@@ -26,7 +26,7 @@ SCOPE_RULES = (("electricity", "Scope2"), ("natural_gas", "Scope1"), ("diesel",
 
 
 def activity(spark, sf):
-    li = t(spark, sf, "lineitem")
+    li = t(spark, sf, "lineitem", cpu_heavy=True)
     rf, ln = F.col("l_returnflag"), F.col("l_linenumber")
     return li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",

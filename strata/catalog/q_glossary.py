@@ -279,7 +279,8 @@ def _orders_with_audit(spark, sf, audit: AuditColumns):
         audit.updated_by: F.lit("loader")})
 
 
-_AUDIT_SQL = """o_custkey AS reporting_unit_id, 7 AS system_id, o_orderdate AS created_time,
+_AUDIT_SQL = """CAST(o_custkey AS INTEGER) AS reporting_unit_id, CAST(7 AS INTEGER) AS system_id,
+       o_orderdate AS created_time,
        'loader-' || o_orderstatus AS created_by, o_orderdate + INTERVAL 1 DAY AS updated_time,
        'loader' AS updated_by"""
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from strata.catalog import query
 from strata.catalog.common import LOAD_TS, t
 from strata.catalog.q_emissions import ACTIVITY_SQL, activity

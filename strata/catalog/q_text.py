@@ -98,7 +98,7 @@ def _section_sql(name, start, end):
 
 
 @query("tx02_sections", "WITH s AS (" + " UNION ALL ".join(_section_sql(*m) for m in PAGE_MARKS)
-       + ") SELECT *, sum(tokens) OVER (PARTITION BY page_id) AS total_tokens FROM s")
+       + ") SELECT *, CAST(sum(tokens) OVER (PARTITION BY page_id) AS BIGINT) AS total_tokens FROM s")
 def tx02(spark, sf):
     return sections(t(spark, sf, "pages", cpu_heavy=True), "page_id", "html", PAGE_MARKS)
 

@@ -49,13 +49,13 @@ def run_emissions(spark: SparkSession, source: DataFrame, job: EmissionsJob) ->
     """PL-3 over an activity frame (business_unit, energy_consumption, energy_unit,
     fuel_type, scope_category, reporting_period, emission_factor, ...).
 
-    The checks run as one aggregate on the source; the transformed rows get
-    ``emissions_value`` = CO2e from kWh x fuel factor, the quality stamp, and are written
-    partitioned by reporting period and scope.
+    The transformed rows get ``emissions_value`` = CO2e from kWh x fuel factor, lineage
+    and the quality stamp, and are written partitioned by reporting period and scope.
+    All checks run in ONE aggregate: the value/factor/energy checks on the source values
+    (carried along under private names) and the scope check on the transformed rows.
     """
-    checks = default_rules()
-    results = rule_results(source, checks)               # one row per rule (config-sized)
-    df = source
+    df = source.withColumns({"__src_value": F.col("emissions_value"),
+                             "__src_factor": F.col("emission_factor")})
     if job.default_factors is not None:
         df = fill_factor(df, "fuel_type", "emission_factor", job.default_factors)
     if job.scope_rules is not None:
@@ -63,14 +63,16 @@ def run_emissions(spark: SparkSession, source: DataFrame, job: EmissionsJob) ->
     df = to_kwh(df, "energy_consumption", "energy_unit", job.units)
     df = to_co2e(df, "energy_kwh", "fuel_type", job.factors, out="emissions_value")
     df = with_lineage(df, job.source_table, job.key_cols or ["business_unit"], "kwh_x_factor")
+    checks = [rule_negative("__src_value"), rule_range("__src_factor"),
+              rule_max("energy_consumption"), rule_in_set("scope_category")]
+    results = rule_results(df, checks)                  # one row per rule (config-sized)
+    df = df.drop("__src_value", "__src_factor")
     missing = [c for c in REQUIRED_FIELDS if c not in df.columns]
-    scope_check = rule_results(df, [rule_in_set("scope_category")])
-    results.update(scope_check)
     stamped = with_quality_stamp(df, results, job.processed_at, job.factor_source,
                                  missing_required=missing)
     written = write_partitioned(stamped, job.target_path, ["reporting_period", "scope_category"])
     summary = emissions_summary(written)
-    report = quality_report(written, checks + [rule_in_set("scope_category")],
+    report = quality_report(written, default_rules() + [rule_in_set("scope_category")],
                             REQUIRED_FIELDS)
     return EmissionsResult(written, summary, report.withColumn(
         "emission_factor_source", F.lit(job.factor_source)))

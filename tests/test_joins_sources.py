@@ -1,7 +1,6 @@
 """Join helpers and sources."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from strata.operators.joins import declared_join, enrich, maybe_broadcast, orphans
 from strata.sources.readers import load_mapping_sheets, read_job_slice, read_target

@@ -29,6 +29,20 @@ def norm(v):
     return v
 
 
+_DUCK = {"TINYINT": "tinyint", "SMALLINT": "smallint", "INTEGER": "int", "BIGINT": "bigint",
+         "HUGEINT": "hugeint", "DOUBLE": "double", "FLOAT": "float", "VARCHAR": "string",
+         "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz"}
+
+
+def duck_type(t):
+    t = str(t)
+    if t.endswith("[]"):
+        return f"array<{duck_type(t[:-2])}>"
+    if t.startswith("DECIMAL"):
+        return t.lower().replace(" ", "")
+    return _DUCK.get(t, t.lower())
+
+
 def canon(cols, rows):
     order = sorted(cols)
     idx = [cols.index(c) for c in order]
@@ -64,4 +78,7 @@ def test_query_matches_oracle(spark, con, name):
     cur = con.execute(sql)
     dcols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(dcols)
+    stypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    dtypes = {d[0]: duck_type(d[1]) for d in cur.description}
+    assert stypes == dtypes
     assert canon(df.columns, rows) == canon(dcols, cur.fetchall())

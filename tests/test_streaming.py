@@ -1,7 +1,5 @@
 """The streamed silver load ends in the same state as the batch load of all files."""
 
-from pyspark.sql import functions as F
-
 from strata.catalog.q_pipelines import EVENT_LOAD, EVENT_MAPPING
 from strata.plans.silver import SilverJob, run_silver
 from strata.streaming.incremental import incremental_silver
