@@ -44,6 +44,17 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     return kept.unionByName(source.select(*target.columns))
 
 
+def clustered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Lay rows out for a partitioned write with AQE's ``rebalance``: rows are shuffled by
+    the partition columns, so a task writes few partition directories (not tasks x values
+    small files), and at run time AQE splits a value that holds a third of all rows over
+    several tasks and merges small ones to the advisory size. No sampling pass is needed
+    (a range repartition would evaluate the whole input twice)."""
+    if not partition_by:
+        return df
+    return df.hint("rebalance", *partition_by)
+
+
 def commit_table(spark: SparkSession, df: DataFrame, path: str,
                  partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as the new content of ``path``: write a staging copy, then swap it in.
@@ -55,7 +66,7 @@ def commit_table(spark: SparkSession, df: DataFrame, path: str,
     """
     tag = uuid.uuid4().hex[:12]
     staging, old = f"{path}.__staging-{tag}", f"{path}.__old-{tag}"
-    w = df.write.mode("overwrite")
+    w = clustered(df, partition_by).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(staging)
@@ -71,7 +82,7 @@ def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str]) ->
     table, so its schema is the new frame's (columns may be added between loads); it is
     read back with that schema, which keeps partition column types (no inference from
     directory names)."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    clustered(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
