@@ -84,14 +84,20 @@ def rule_units(col: str, units: DataFrame, unit_col: str = "unit",
     """DQ-11: energy rows must carry a known unit.
 
     Returns the rule and the frame to run it on: the unit table is joined (left, on the
-    unit name) to flag known units; the unit table is small config and is broadcast.
+    unit name) to flag known units; the unit table is broadcast behind a size check.
     """
     known = units.select(F.col(unit_col).alias("__unit"), F.lit(True).alias("__known_unit"))
     return Rule(rule_id, F.col(col).isNull() | F.col("__known_unit").isNotNull()), known
 
 
-def with_unit_flag(df: DataFrame, col: str, known: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(known), df[col] == known["__unit"], "left").drop("__unit")
+def with_unit_flag(df: DataFrame, col: str, known: DataFrame,
+                   broadcast_rows: int = 10_000) -> DataFrame:
+    """Flag rows whose unit is in the unit table; the table is broadcast only when proven
+    to have at most ``broadcast_rows`` rows (it is de-duplicated first, so the left join
+    cannot multiply rows)."""
+    from strata.operators.joins import maybe_broadcast
+    units = maybe_broadcast(known.dropDuplicates(["__unit"]), broadcast_rows)
+    return df.join(units, df[col] == units["__unit"], "left").drop("__unit")
 
 
 def run_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
