@@ -122,6 +122,21 @@ def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
             tagged.where(F.size("failed_rules") > 0))
 
 
+def quarantine_write(df: DataFrame, rules: Sequence[Rule], path: str) -> tuple[DataFrame, DataFrame]:
+    """Single-pass split for large tables: each row is tagged once and written to
+    ``<path>/quarantined=false|true`` (the filter-based split evaluates the rule predicates
+    in both the filter and the projection). Returns (passing, quarantined) as read back."""
+    ids = F.array_compact(F.array(*[F.when(r.failed_col(), F.lit(r.rule_id))
+                                    for r in rules]))
+    tagged = df.withColumn("failed_rules", ids) \
+        .withColumn("quarantined", F.size("failed_rules") > 0)
+    tagged.write.mode("overwrite").partitionBy("quarantined").parquet(path)
+    schema = tagged.schema
+    back = df.sparkSession.read.schema(schema).parquet(path)
+    return (back.where(~F.col("quarantined")).drop("failed_rules", "quarantined"),
+            back.where(F.col("quarantined")).drop("quarantined"))
+
+
 def schema_diff(df: DataFrame, target: T.StructType | Iterable[tuple[str, str]]) -> DataFrame:
     """DQ-1: names and types of ``df`` against the target schema: one row per missing,
     extra or type-changed column (empty when they match). Schemas are metadata, so this

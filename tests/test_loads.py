@@ -93,3 +93,14 @@ def test_slice_guard_rejects_rows_outside(spark, scratch):
 
 def test_partition_dir_escaping():
     assert partition_dir({"a": "x/y", "b": None}) == "a=x%2Fy/b=__HIVE_DEFAULT_PARTITION__"
+
+
+def test_quarantine_write_matches_filter_split(spark, scratch):
+    from strata.operators.quality import quarantine, quarantine_write, rule_max, rule_negative
+    df = spark.createDataFrame([(1, -1.0), (2, 5.0), (3, 50.0), (4, None)], "id int, v double")
+    rules = [rule_negative("v"), rule_max("v", 10)]
+    good1, bad1 = quarantine(df, rules)
+    good2, bad2 = quarantine_write(df, rules, scratch("quarantine"))
+    assert sorted(r.id for r in good1.collect()) == sorted(r.id for r in good2.collect()) == [2, 4]
+    assert sorted((r.id, tuple(r.failed_rules)) for r in bad2.collect()) == \
+        sorted((r.id, tuple(r.failed_rules)) for r in bad1.collect())
