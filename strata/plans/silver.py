@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from strata.operators.dedupe import dedupe_for
 from strata.operators.joins import drop_stale
 from strata.operators.project import parse_type, project, with_audit_stamp
-from strata.operators.quality import Rule, quarantine, schema_diff
+from strata.operators.quality import Rule, quarantine_write, schema_diff
 from strata.operators.stats import load_stats
 from strata.plans.audit import AuditEvent, append_audit
 from strata.plans.steps import plan_shape
+from strata.session import materialize, scratch_path
 from strata.sources import fs
 from strata.sources.readers import read_target, read_target_slice
 from strata.sources.writers import commit_table, upsert
@@ -55,6 +56,7 @@ def _target_schema(job: SilverJob, audit_cols: Sequence[str]):
 
 def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob) -> SilverResult:
     """PL-1. The shape (dedupe / stale) is chosen from this target's own flags (PL-5).
+    The prepared batch is written once (quarantine split or checkpoint) before the upsert.
 
     Audit columns pass through from bronze when present (PRJ-5), else the load stamps
     them (PRJ-6). Merge types: ``upsert`` (on ``merge_key``), ``overwrite``, ``append``.
@@ -84,9 +86,13 @@ def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob) -> Silver
         if problems:
             raise ValueError(f"{table}: frame does not match target schema: {problems}")
         out = out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        # materialize the prepared batch once: the key check and the upsert both read it,
+        # so dedupe, stale join and mapping run once (rules: one tagged write, good/bad)
         bad = None
         if job.rules:
-            out, bad = quarantine(out, job.rules)
+            out, bad = quarantine_write(out, job.rules, scratch_path(spark, f"{table}-batch"))
+        else:
+            out = materialize(out)
         if spec.merge_type == "upsert" and exists:
             committed = commit_table(spark, upsert(target, out, spec.merge_key), job.target_path,
                                      spec.partition_columns)
