@@ -66,6 +66,8 @@ def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob) -> Silver
     audit = spec.audit
     events = [AuditEvent(table, job.job_id, "I", "load started", None, job.load_ts)]
     try:
+        if spec.merge_type == "upsert" and not spec.merge_key:
+            raise ValueError(f"{table}: merge_type 'upsert' needs a merge_key")
         shape = plan_shape(spec)
         deduped = dedupe_for(spec, bronze)
         passthrough = [c for c in audit.all() if c in bronze.columns]
@@ -94,13 +96,12 @@ def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob) -> Silver
         else:
             out = materialize(out)
         if spec.merge_type == "upsert" and exists:
-            committed = commit_table(spark, upsert(target, out, spec.merge_key), job.target_path,
-                                     spec.partition_columns)
+            commit_table(spark, upsert(target, out, spec.merge_key), job.target_path,
+                         spec.partition_columns)
         elif spec.merge_type == "append" and exists:
-            committed = commit_table(spark, target.unionByName(out), job.target_path,
-                                     spec.partition_columns)
+            commit_table(spark, target.unionByName(out), job.target_path, spec.partition_columns)
         else:
-            committed = commit_table(spark, out, job.target_path, spec.partition_columns)
+            commit_table(spark, out, job.target_path, spec.partition_columns)
         committed = spark.read.schema(schema).parquet(job.target_path)
         stats = load_stats(committed, job.load_ts, audit.created_time, audit.updated_time)
         n = committed.count()
