@@ -23,3 +23,18 @@ def test_stream_equals_batch(spark, scratch):
     got = sorted(tuple(r) for r in spark.read.parquet(streamed).select(*cols).collect())
     want = sorted(tuple(r) for r in spark.read.parquet(batch).select(*cols).collect())
     assert got == want and len(got) > 0
+
+
+def test_failed_load_writes_f_event(spark, scratch):
+    import pytest
+
+    from strata.plans.audit import read_audit
+    from strata.spec import LoadSpec
+    ev = spark.read.parquet(f"{TDATA}/events.parquet")
+    audit = scratch("audit_fail")
+    bad = SilverJob(LoadSpec("no_key", merge_type="upsert"), EVENT_MAPPING, scratch("t"),
+                    "2024-06-30 12:00:00", "job-f", audit_path=audit)
+    with pytest.raises(ValueError, match="merge_key"):
+        run_silver(spark, ev, bad)
+    got = sorted((r.status, r.table_name) for r in read_audit(spark, audit).collect())
+    assert got == [("F", "no_key"), ("I", "no_key")]
