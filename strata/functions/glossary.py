@@ -318,6 +318,9 @@ def apply_term(term: Term, ctx: TermContext) -> tuple[Column, T.DataType | None]
     out = fn(term, ctx)
     if term.name in ("direct", "etlauditcolumn"):
         return out, ctx.current_type
+    if term.name == "nullhandling":  # operands are cast to the target type
+        from strata.operators.project import parse_type
+        return out, parse_type(ctx.target_type)
     return out, _RESULT_TYPE.get(term.name, T.StringType())
 
 
