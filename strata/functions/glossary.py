@@ -37,6 +37,10 @@ class TermContext:
     current_type: T.DataType | None
     source_format: str | None = None
     default: str | None = None
+    policy: str = "strict"                  # "reject": casts inside terms never fail
+
+    def cast(self, c: Column, to) -> Column:
+        return c.try_cast(to) if self.policy == "reject" else c.cast(to)
 
     def col_arg(self, a: Arg) -> tuple[Column, T.DataType | None]:
         """An argument naming a column, quoted or bare (e.g. ``trimsymbols("SPRAS")``)."""
@@ -261,8 +265,8 @@ def t_casewhen(term, ctx):
 def t_nullhandling(term, ctx):
     """All but the last argument are columns; the last is the literal fallback."""
     _need(term, ctx, 2)
-    cols = [ctx.col_arg(a)[0].cast(ctx.target_type) for a in term.args[:-1]]
-    return F.coalesce(*cols, F.lit(term.args[-1].value).cast(ctx.target_type))
+    cols = [ctx.cast(ctx.col_arg(a)[0], ctx.target_type) for a in term.args[:-1]]
+    return F.coalesce(*cols, ctx.cast(F.lit(term.args[-1].value), ctx.target_type))
 
 
 def t_default(term, ctx):

@@ -107,7 +107,7 @@ def project(df: DataFrame, mappings: Iterable, policy: str = "strict",
             dtype=lambda name: (tgt_types[name.lower()] if name.lower() in internal
                                 and name.lower() != me else src_types.get(name.lower())),
             current=current, current_type=cur_type, source_format=m.source_format,
-            default=m.default)
+            default=m.default, policy=policy)
 
     def build(m: ColumnMapping) -> list[Column]:
         ttype = tgt_types[m.target.lower()]

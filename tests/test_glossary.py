@@ -164,3 +164,11 @@ def test_travel_tax_mapping(spark):
     assert r["TaxAmount"] == Decimal("1500.50") and r["CurrencyCode"] == "US"
     assert r["OriginalCurrencyCode"] == "USD" and r["CompanyCode"] == "PLX"
     assert r["SystemId"] == 420 and r["MaximumTransactionNumberValue"] == "AX"
+
+
+def test_reject_policy_covers_casts_inside_terms(src):
+    df = project(src, [M("id", "STRING", "id"),
+                       M("n", "INT", transformation='NullHandling("amt", "lead", "0")')],
+                 policy="reject")
+    got = {r.id: (r.n, r._rejected) for r in df.collect()}
+    assert got["1"] == (1000, False) and got["2"] == (0, False)
