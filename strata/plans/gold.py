@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strata.operators.project import conform, with_audit_stamp
 from strata.plans.audit import AuditEvent, append_audit
 from strata.plans.steps import run_steps
+from strata.session import materialize
 from strata.sources import fs
 from strata.sources.readers import register_inputs, slice_predicate
 from strata.sources.writers import overwrite_slice, publish_slice, snapshot_slice
@@ -50,7 +51,9 @@ def run_gold(spark: SparkSession, inputs: Mapping[str, DataFrame], job: GoldJob)
                                    for c, t in a.types().items()
                                    if c in (a.created_time, a.created_by, a.updated_time,
                                             a.updated_by)]
-        shaped = conform(stamped, cols)
+        # written once: the slice guard and the slice write both read it, so the staged SQL
+        # (joins and aggregates over silver) is evaluated once
+        shaped = materialize(conform(stamped, cols))
         if job.history_path and fs.exists(spark, job.gold_path):
             snapshot_slice(spark, spark.read.parquet(job.gold_path), job.history_path,
                            job.slice_values, job.load_ts)
