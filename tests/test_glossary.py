@@ -172,3 +172,23 @@ def test_reject_policy_covers_casts_inside_terms(src):
                  policy="reject")
     got = {r.id: (r.n, r._rejected) for r in df.collect()}
     assert got["1"] == (1000, False) and got["2"] == (0, False)
+
+
+def test_date_pattern_normalisation():
+    from strata.functions.glossary import normalise_date_pattern
+    assert normalise_date_pattern("yyyy-mm-dd") == "yyyy-MM-dd"
+    assert normalise_date_pattern("YYYY/DD/mm") == "yyyy/dd/MM"
+    assert normalise_date_pattern("yyyy-MM-dd HH:mm") == "yyyy-MM-dd HH:mm"  # minutes stay
+
+
+def test_casewhen_quoted_commas_and_text_compare(spark):
+    df = spark.createDataFrame([("a,b", 5), ("x", 50), (None, None)], "s string, n int")
+    r = project(df, [M("k", "STRING", transformation=(
+        "CaseWhen(\"s = 'a,b'\", \"comma, kept\", \"n >= 50\", \"big\", \"other\")"))]).collect()
+    assert [x.k for x in r] == ["comma, kept", "big", "other"]
+
+
+def test_expression_rejects_unsupported_text(spark):
+    df = spark.createDataFrame([(1,)], "n int")
+    with pytest.raises(TermError):
+        project(df, [M("x", "INT", transformation="NumericCalculation(n; DROP TABLE t)")])
