@@ -23,6 +23,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@_query("op1_minhash_near_dedup")
+def op1(spark, sf_dir):
+    """Whole ``documents``; classes of documents linked at 0.85 on three-word shingles."""
+    from strata.llm.minhash import near_duplicates
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 @_query("op5_suffix_array_dedup")
 def op5(spark, sf_dir):
     """Whole ``documents``; 50-byte strings that a document with a smaller doc_id has too go."""
