@@ -42,3 +42,10 @@ def op6(spark, sf_dir):
     """Whole ``documents``; 50-word runs that a document with a smaller doc_id has too go."""
     from strata.llm.suffix_automaton import dedup_words
     return dedup_words(_read(spark, sf_dir, "documents")).drop("kept")
+
+
+@_query("op8_embedding_near_dedup")
+def op8(spark, sf_dir):
+    """Whole ``embeddings``; links and classes at cosine 0.95."""
+    from strata.llm.embeddings import cosine_links
+    return cosine_links(_read(spark, sf_dir, "embeddings"))
