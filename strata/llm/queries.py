@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,31 @@ def op8(spark, sf_dir):
     """Whole ``embeddings``; links and classes at cosine 0.95."""
     from strata.llm.embeddings import cosine_links
     return cosine_links(_read(spark, sf_dir, "embeddings"))
+
+
+LINES_SQL = """
+WITH d AS (SELECT doc_id, coalesce('h' || source, 'n') AS h, text, row_number() OVER () AS r FROM documents),
+t AS (SELECT r, h, string_split(text, chr(10)) AS x FROM d WHERE text IS NOT NULL),
+l AS (SELECT r, h, unnest(x) AS line, generate_subscripts(x, 1) AS p FROM t),
+c AS (SELECT h, line, count(DISTINCT r) AS c FROM l
+      WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY h, line),
+n AS (SELECT h, count(*) AS n FROM d GROUP BY h),
+bad AS (SELECT h, line FROM c JOIN n USING (h) WHERE c >= 5 AND 100 * c > 10 * n),
+m AS (SELECT l.r, l.p, l.line, bad.h IS NOT NULL AS gone
+      FROM l LEFT JOIN bad ON l.h = bad.h AND l.line = bad.line),
+g AS (SELECT r, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+             coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS kept
+      FROM m GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+       sha256(kept) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""
+
+
+@_query("op10_line_dedup", LINES_SQL)
+def op10(spark, sf_dir):
+    """Whole ``documents``, their ``source`` as host: lines on over a tenth of a host's pages go."""
+    from strata.llm.lines import drop_site_lines
+    out = drop_site_lines(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source")
+    return out.select("page.doc_id", "n_lines", "n_dropped",
+                      F.sha2(F.col("page.text").cast("binary"), 256).alias("kept_sha256"))
