@@ -77,3 +77,22 @@ def op10(spark, sf_dir):
     out = drop_site_lines(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source")
     return out.select("page.doc_id", "n_lines", "n_dropped",
                       F.sha2(F.col("page.text").cast("binary"), 256).alias("kept_sha256"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
+q AS (SELECT page_id, CAST(octet_length(encode(b)) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS least FROM q WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, q.payload_digest,
+       CASE WHEN least < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN least < page_id THEN least END AS refers_to
+FROM q LEFT JOIN f ON q.payload_digest = f.payload_digest AND payload_bytes >= 100
+"""
+
+
+@_query("op9_warc", WARC_SQL)
+def op9(spark, sf_dir):
+    """Whole ``pages``: archived as ARC, converted to WARC with revisits, and read back."""
+    from strata.llm.warc import pages_to_warc
+    return pages_to_warc(_read(spark, sf_dir, "pages")).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
