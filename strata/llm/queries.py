@@ -96,3 +96,10 @@ def op9(spark, sf_dir):
     from strata.llm.warc import pages_to_warc
     return pages_to_warc(_read(spark, sf_dir, "pages")).select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op7_secret_scan")
+def op7(spark, sf_dir):
+    """Whole ``documents``: base spans and those of literals bound to sensitive names."""
+    from strata.llm.secrets import find_secrets
+    return find_secrets(_read(spark, sf_dir, "documents")).drop("base_spans")
