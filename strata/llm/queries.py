@@ -103,3 +103,13 @@ def op7(spark, sf_dir):
     """Whole ``documents``: base spans and those of literals bound to sensitive names."""
     from strata.llm.secrets import find_secrets
     return find_secrets(_read(spark, sf_dir, "documents")).drop("base_spans")
+
+
+@_query("op2_language_id")
+def op2(spark, sf_dir):
+    """Whole ``documents``; machines fitted on up to 400 documents of each language that are
+    not held out."""
+    from strata.llm.language import held_out, identify, train
+    docs = _read(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), train(docs))
+    return found.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score")
