@@ -113,3 +113,18 @@ def op2(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), train(docs))
     return found.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def tokenizer_path() -> str:
+    """The default tokenizer file of the registered queries."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query("op3_bpe")
+def op3(spark, sf_dir):
+    """Whole ``documents`` through word_bpe_49k.json and back."""
+    from strata.llm.bpe import encode_decode
+    out = encode_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(),
+                        columns=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return out.select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
