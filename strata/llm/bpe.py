@@ -16,7 +16,9 @@ blank; ``decoded`` is that text, ``plain_text`` the machine's.
 
 Cases: NULL text counts as empty (no tokens, empty texts); added tokens inside a text give
 their ids; a lone byte sequence that is not UTF-8 decodes to U+FFFD; repeated rows give
-equal results; an empty table gives no rows; extra columns pass through in ``doc``.
+equal results; an empty table gives no rows; extra columns pass through in ``doc``. Code points that the
+interpreter's Unicode version does not assign yet may be split in another way than by the
+library's; all assigned ones agree.
 """
 
 from __future__ import annotations

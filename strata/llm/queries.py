@@ -128,3 +128,13 @@ def op3(spark, sf_dir):
     out = encode_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(),
                         columns=("n_tokens", "ids_sha256", "decoded_sha256"))
     return out.select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@_query("op4_decontamination")
+def op4(spark, sf_dir):
+    """Whole ``documents`` against the whole ``benchmark``: items of which tiles cover half."""
+    from strata.llm.tiling import find_items
+    found = find_items(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc.doc_id", (F.size("hits") > 0).alias("contaminated"),
+                        F.transform("hits", lambda h: h["item_id"]).alias("item_ids"),
+                        F.coalesce(F.array_max(F.transform("hits", lambda h: h["coverage"])), F.lit(0.0)).alias("coverage"))
