@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from strata.llm._text import Rolling, U, covered, mix, ranges, slices, sliding
 
-CHUNK = 16 << 20          # bytes of text in a chunk
-CROWDED = 20_000          # distinct segments of one seed beyond which they are dealt by window
+CHUNK = 4 << 20          # bytes of text in a chunk
+CROWDED = 2_000           # distinct segments of one seed beyond which they are dealt by window
 LAST = np.iinfo(np.int64).max
 
 
@@ -44,7 +44,7 @@ class Repeats:
     length: int
     seed: int
     units: Callable           # (bytes, offsets, Rolling) -> (uint64 units, unit offsets, symbols, extra)
-    resolve: Callable         # (symbols, segment offsets, owners, length) -> uint64 bitmaps
+    resolve: Callable         # (symbols, segment offsets, owners, seeds, length) -> uint64 bitmaps
     output: Callable          # (bytes, offsets, unit offsets, extra, flags) -> dict of columns
     schema: str
 
@@ -78,7 +78,7 @@ def _chunks(batches):
             continue
         column = batch.column(1).cast(pa.large_binary()).fill_null(b"")
         doc = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-        for i, j, data, offsets in slices(column, CHUNK // 4):
+        for i, j, data, offsets in slices(column):
             ids.append(doc[i:j])
             texts.append((data.tobytes(), offsets.copy()))
             held += len(data)
@@ -146,6 +146,11 @@ def _seeds(job: Repeats, units: np.ndarray, at: np.ndarray, rolling: Rolling):
     return seeds[p], segment, row, start, end
 
 
+def _dealt(hashes: np.ndarray, count: int) -> np.ndarray:
+    """The part of ``count`` equal ranges that each 64-bit hash falls into."""
+    return ((hashes >> U(32)) * U(count) >> U(32)).astype(np.int64)
+
+
 def _table(job: Repeats, ids: np.ndarray, texts: list, buckets: int, rolling: Rolling):
     """The chunk's occurrences, and its distinct entries in (bucket, segment) order.
 
@@ -155,8 +160,7 @@ def _table(job: Repeats, ids: np.ndarray, texts: list, buckets: int, rolling: Ro
         keep.append((i, part, off, at, symbols, extra, len(f[0])))
         found.append((f[0], f[1], f[2] + i, f[3], f[4]))
     seed, segment, row, start, end = (np.concatenate(x) for x in zip(*found))
-    # a bucket is a range of seeds: the top 32 bits times the number of buckets
-    bucket = ((seed >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+    bucket = _dealt(seed, buckets).astype(np.int32)
     order = np.argsort(segment)                   # a fingerprint of the segment and the seed's place
     order = order[np.argsort(bucket[order], kind="stable")]
     sorted_segment = segment[order]
@@ -217,11 +221,11 @@ def repeats(job: Repeats, docs: DataFrame, id_col: str = "doc_id", text_col: str
         asked = _answers(right, "many"), _answers(right, "crowded")
         if left.num_rows and any(asked):
             ids, texts = _unpack(left.column("body")[0].as_py())
-            keep, row, start, end, entry, *_, bucket, place = _table(job, ids, texts, buckets, Rolling())
+            keep, row, start, end, entry, seed, _, _, bucket, place = _table(job, ids, texts, buckets, Rolling())
             base = np.searchsorted(bucket, np.arange(buckets + 1))
             for want, by_window in zip(asked, (False, True)):
                 wanted = np.sort(np.concatenate([base[b] + x for b, x in want] or [np.zeros(0, np.int64)]))
-                _collect(job, shards, ids, keep, row, start, end, place, bucket, wanted, by_window, buckets)
+                _collect(job, shards, ids, keep, row, start, end, place, seed, wanted, by_window, 8 * buckets)
         chunk = left.column("chunk")[0].as_py() if left.num_rows else 0
         return pa.table({"shard": pa.array(list(shards), pa.int32()),
                          "chunk": pa.array([chunk] * len(shards), pa.int64()),
@@ -230,11 +234,16 @@ def repeats(job: Repeats, docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def resolved(table: pa.Table) -> pa.Table:
         parts = [_unpack(x.as_py()) for x in table.column("body")]
+        _, key, often = np.unique(np.concatenate([p[4] for p in parts]), return_inverse=True, return_counts=True)
+        met = np.split(often[key] > 1, np.cumsum([len(p[0]) for p in parts])[:-1])
+        # a window that came alone has no equal; seeds always come more than once
+        parts = [(p[0][m], p[1][m], p[2][m], p[3][m], p[4][m], p[5][np.repeat(m, p[0])]) for p, m in zip(parts, met)]
         size = np.concatenate([p[0] for p in parts])
         owner = np.concatenate([p[1] for p in parts])
-        symbols = np.concatenate([p[4] for p in parts])
+        seeds = np.concatenate([p[4] for p in parts])
+        symbols = np.concatenate([p[5] for p in parts])
         offsets = np.concatenate(([0], np.cumsum(size)))
-        hits = job.resolve(symbols, offsets, owner, job.length)
+        hits = job.resolve(symbols, offsets, owner, seeds, job.length)
         out, i = [], 0
         for p in parts:
             n = len(p[0])
@@ -323,8 +332,9 @@ def _answers(table: pa.Table, kind: str) -> list:
     return out
 
 
-def _collect(job, shards, ids, keep, row, start, end, place, bucket, wanted, by_window, buckets):
-    """Adds the wanted segments (sizes, owners, entries, shifts, symbols) to their shards."""
+def _collect(job, shards, ids, keep, row, start, end, place, seed, wanted, by_window, count):
+    """Adds the wanted segments (sizes, owners, entries, shifts, seeds, symbols) to their
+    shards. Dealt by window, a window's own fingerprint stands for the seed."""
     if not len(wanted):
         return
     at = place[wanted]                            # an occurrence of each wanted entry, by the owner
@@ -333,7 +343,7 @@ def _collect(job, shards, ids, keep, row, start, end, place, bucket, wanted, by_
     for k in np.unique(part):
         here = np.flatnonzero(part == k)
         entry, occ = wanted[here], at[here]
-        a, b, owner, shard = start[occ], end[occ], ids[row[occ]], bucket[entry]
+        a, b, owner, key = start[occ], end[occ], ids[row[occ]], seed[entry]
         shift = np.zeros(len(entry), np.int64)
         symbols = keep[k][4]
         if by_window:
@@ -342,14 +352,15 @@ def _collect(job, shards, ids, keep, row, start, end, place, bucket, wanted, by_
             a, entry, owner = np.repeat(a, n) + shift, np.repeat(entry, n), np.repeat(owner, n)
             b = a + job.length
             sums = Rolling().sums(symbols.astype(U) + U(1))
-            shard = (mix(Rolling().spans(sums, a, b)) % U(buckets)).astype(np.int64) + buckets
+            key = Rolling().spans(sums, a, b)
+        shard = _dealt(key, count) + by_window * count
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
         for x, y in zip(cuts[:-1], cuts[1:]):
             o = order[x:y]
             size = b[o] - a[o]
             shards.setdefault(int(shard[o[0]]), []).append(
-                (size, owner[o], entry[o], shift[o], symbols[ranges(a[o], size)]))
+                (size, owner[o], entry[o], shift[o], key[o], symbols[ranges(a[o], size)]))
 
 
 def _finish(job, ids, texts, right, buckets) -> pa.Table:

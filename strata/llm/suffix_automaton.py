@@ -83,20 +83,27 @@ class Automaton:
             yield owner[state] if size == length else None
 
 
-def resolve(symbols: np.ndarray, offsets: np.ndarray, owners: np.ndarray, length: int) -> np.ndarray:
-    """Per segment a bitmap of the window starts whose window a smaller owner has too."""
+def resolve(symbols: np.ndarray, offsets: np.ndarray, owners: np.ndarray, seeds: np.ndarray,
+            length: int) -> np.ndarray:
+    """Per segment a bitmap of the window starts whose window a smaller owner has too. Equal
+    windows share their seed, so a shard holds one automaton per seed at a time."""
     hits = np.zeros(len(owners), U)
-    _, words = np.unique(symbols, return_inverse=True)
-    words = words.tolist()
-    automaton = Automaton()
-    for k in np.argsort(owners, kind="stable").tolist():
-        automaton.add(words[offsets[k]:offsets[k + 1]], int(owners[k]))
-    for k in range(len(owners)):
-        own, bits = int(owners[k]), 0
-        for i, least in enumerate(automaton.matches(words[offsets[k]:offsets[k + 1]], length)):
-            if least is not None and least < own:
-                bits |= 1 << (i + 1 - length)
-        hits[k] = bits
+    order = np.lexsort((owners, seeds))
+    cuts = np.flatnonzero(np.r_[True, np.diff(seeds[order]) != 0, True])
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        group = order[x:y].tolist()
+        if owners[group[0]] == owners[group[-1]]:
+            continue                              # one document only: nothing is smaller
+        automaton = Automaton()
+        words = {k: symbols[offsets[k]:offsets[k + 1]].tolist() for k in group}
+        for k in group:
+            automaton.add(words[k], int(owners[k]))
+        for k in group:
+            own, bits = int(owners[k]), 0
+            for i, least in enumerate(automaton.matches(words[k], length)):
+                if least is not None and least < own:
+                    bits |= 1 << (i + 1 - length)
+            hits[k] = bits
     return hits
 
 
