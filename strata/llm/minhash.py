@@ -83,8 +83,9 @@ def _sketches(size: int):
                 tokens += [x.tobytes() for x in out]
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cat(n), pa.int64()), pa.array(cat(k1)), pa.array(cat(k2)),
-                 pa.array(tokens, pa.binary())], names=["doc_id", "n", "k1", "k2", "tokens"])
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(cat(n), pa.int64()),
+                 pa.array(cat(k1)), pa.array(cat(k2)), pa.array(tokens, pa.binary())],
+                names=["doc_id", "print_a", "print_b", "n", "k1", "k2", "tokens"])
     return run
 
 
@@ -245,14 +246,19 @@ def _confirm(percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    percent: int = 85, trees: int = TREES, node_size: int = NODE) -> DataFrame:
+                    percent: int = 85, trees: int = TREES, node_size: int = NODE,
+                    keep_prints: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable
-    by links of similarity >= percent / 100) and kept (doc_id = component_id)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    by links of similarity >= percent / 100) and kept (doc_id = component_id); with
+    ``keep_prints`` also print_a and print_b, fingerprints of the text that name the row."""
+    text = F.col(text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"),
+                       F.xxhash64(text).alias("print_a"), F.xxhash64(text, F.lit(1)).alias("print_b"))
     s = percent / 100
     spread = 1 / max(0.5, s - 0.05)               # children of a node, on average
     least = s - 5.2 * math.sqrt(s * (1 - s) / COORDINATES)
-    rows = materialize(docs.mapInArrow(_sketches(shingle), "doc_id long, n long, k1 long, k2 long, tokens binary"))
+    rows = materialize(docs.mapInArrow(
+        _sketches(shingle), "doc_id long, print_a long, print_b long, n long, k1 long, k2 long, tokens binary"))
     reps = materialize(rows.filter("n > 0").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("v"), F.first("tokens").alias("tokens")))
     vertices = reps.filter("v is not null").select("v", "tokens")
@@ -267,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), shingle, rolling)],
                                                pa.binary())], names=["v", "s"])
-        chosen = docs.join(wanted.withColumnRenamed("v", "doc_id"), "doc_id", "left_semi")
+        chosen = docs.select("doc_id", "t").join(wanted.withColumnRenamed("v", "doc_id"), "doc_id", "left_semi")
         return chosen.mapInArrow(run, "v long, s binary")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -327,7 +333,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     add(confirmed(compared(rest, True)))
     named = (reps.select("k1", "k2", F.col("v")).join(classes, "v", "left")
              .select("k1", "k2", F.coalesce("c", "v").alias("class")))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2")
+    prints = ["print_a", "print_b"] if keep_prints else []
+    out = rows.select("doc_id", *prints, "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2")
     out = out.join(named, ["k1", "k2"], "left").withColumn("component_id", F.coalesce("class", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *prints)
