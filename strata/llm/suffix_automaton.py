@@ -88,6 +88,8 @@ def resolve(symbols: np.ndarray, offsets: np.ndarray, owners: np.ndarray, seeds:
     """Per segment a bitmap of the window starts whose window a smaller owner has too. Equal
     windows share their seed, so a shard holds one automaton per seed at a time."""
     hits = np.zeros(len(owners), U)
+    if not len(owners):
+        return hits
     order = np.lexsort((owners, seeds))
     cuts = np.flatnonzero(np.r_[True, np.diff(seeds[order]) != 0, True])
     for x, y in zip(cuts[:-1], cuts[1:]):
