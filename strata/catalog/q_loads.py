@@ -15,7 +15,7 @@ from strata.operators.project import project
 from strata.operators.stats import load_stats
 from strata.session import materialize, scratch_path
 from strata.sources.writers import (commit_table, fan_out, overwrite_slice, publish_slice,
-                                    snapshot_slice, upsert, write_partitioned)
+                                    read_history, snapshot_slice, upsert, write_partitioned)
 from strata.spec import ColumnMapping as M
 from strata.spec import LoadSpec, TargetSpec
 
@@ -48,10 +48,13 @@ def snk01(spark, sf):
     return commit_table(spark, upsert(target, incoming, KEYS), path)
 
 
-@query("snk02_write_partitioned", latest_lineitem_sql())
+@query("snk02_write_partitioned", f"SELECT * FROM ({latest_lineitem_sql()}) WHERE l_returnflag <> 'R'")
 def snk02(spark, sf):
-    latest = latest_by_key(t(spark, sf, "lineitem"), KEYS, ["l_shipdate desc"])
-    return write_partitioned(latest, scratch_path(spark, "snk02"), ["l_returnflag", "l_linestatus"])
+    """The first load holds everything, the second lacks one return flag: its partitions go."""
+    latest = materialize(latest_by_key(t(spark, sf, "lineitem"), KEYS, ["l_shipdate desc"]))
+    path, by = scratch_path(spark, "snk02"), ["l_returnflag", "l_linestatus"]
+    write_partitioned(latest, path, by)
+    return write_partitioned(latest.where("l_returnflag <> 'R'"), path, by)
 
 
 def _orders_table(spark, sf):
@@ -75,7 +78,7 @@ def snk03(spark, sf):
     empty input; other slices stay as they were."""
     orders, path = _orders_table(spark, sf)
     current = spark.read.schema(orders.schema).parquet(path)
-    urgent = {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}
+    urgent = {"o_orderpriority": "1-URGENT", "o_orderstatus": "F"}   # any order of columns
     repriced = current.where((F.col("o_orderstatus") == "F")
                              & (F.col("o_orderpriority") == "1-URGENT")) \
         .withColumn("o_totalprice", F.col("o_totalprice") * 1.1)
@@ -96,7 +99,9 @@ def snk04(spark, sf):
     history = scratch_path(spark, "snk04_history")
     snapshot_slice(spark, current, history, {"o_orderstatus": "O", "o_orderpriority": "2-HIGH"},
                    LOAD_TS)
-    return spark.read.parquet(history)
+    snapshot_slice(spark, current, history, {"o_orderstatus": "O", "o_orderpriority": "2-HIGH"},
+                   LOAD_TS)                      # a rerun of the load changes nothing
+    return read_history(spark, history, orders.schema).select(*orders.columns, "load_ts")
 
 
 @query("snk05_publish_slice", """

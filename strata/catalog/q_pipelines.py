@@ -60,8 +60,9 @@ LATEST_EVENTS = """latest AS (
 @query("pl01_run_silver", f"""WITH {LATEST_EVENTS}
 SELECT user_id, event_type, ts, CAST(value AS DECIMAL(18,2)) AS amount,
        CASE WHEN value > 50 THEN 'HIGH' ELSE 'LOW' END AS kind,
-       CASE WHEN ts >= TIMESTAMP '{SPLIT}' THEN TIMESTAMP '{LOAD_TS}'
-            ELSE TIMESTAMP '{FIRST_LOAD_TS}' END AS created_time,
+       CASE WHEN EXISTS (SELECT 1 FROM events e WHERE e.user_id = latest.user_id
+                         AND e.event_type = latest.event_type AND e.ts < TIMESTAMP '{SPLIT}')
+            THEN TIMESTAMP '{FIRST_LOAD_TS}' ELSE TIMESTAMP '{LOAD_TS}' END AS created_time,
        '{JOB_ID}' AS created_by,
        CASE WHEN ts >= TIMESTAMP '{SPLIT}' THEN TIMESTAMP '{LOAD_TS}'
             ELSE TIMESTAMP '{FIRST_LOAD_TS}' END AS updated_time,
@@ -74,6 +75,117 @@ def pl01(spark, sf):
     return result.table
 
 
+@query("pl01_load_stats", f"""
+WITH k AS (SELECT user_id, event_type, min(ts) < TIMESTAMP '{SPLIT}' AS old, max(ts) >= TIMESTAMP '{SPLIT}' AS new
+           FROM events GROUP BY ALL)
+SELECT count(*) AS row_count, count_if(NOT old) AS inserted, count_if(old AND new) AS updated,
+       count_if(NOT new) AS unchanged FROM k""")
+def pl01_stats(spark, sf):
+    """What the second load did: keys it inserted, updated and left as they were."""
+    result, _ = _two_loads(spark, sf)
+    return result.stats
+
+
+SINGLE_LOAD = LoadSpec.from_metadata("user_latest", {"merge_key": "user_id", "merge_type": "upsert"},
+                                     order_by="ts desc, event_id")
+SINGLE_MAPPING = (M("user_id", "BIGINT", "user_id"), M("last_ts", "TIMESTAMP_NTZ", "ts"),
+                  M("last_type", "STRING", "event_type"))
+
+
+@query("pl01_single_key", f"""
+WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id
+           ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST, event_type ASC NULLS FIRST,
+                    value ASC NULLS FIRST, props ASC NULLS FIRST) = 1)
+SELECT user_id, ts AS last_ts, event_type AS last_type,
+       CASE WHEN EXISTS (SELECT 1 FROM events e WHERE e.user_id = l.user_id AND e.ts < TIMESTAMP '{SPLIT}')
+            THEN TIMESTAMP '{FIRST_LOAD_TS}' ELSE TIMESTAMP '{LOAD_TS}' END AS created_time, 'one' AS created_by,
+       TIMESTAMP '{LOAD_TS}' AS updated_time, 'one' AS updated_by FROM l""")
+def pl01_single(spark, sf):
+    """Upsert on one key column, twice; the second load updates every user it sees."""
+    ev = t(spark, sf, "events")
+    path = scratch_path(spark, "pl01_single")
+    run_silver(spark, ev.where(F.col("ts") < F.lit(SPLIT).cast("timestamp_ntz")),
+               SilverJob(SINGLE_LOAD, SINGLE_MAPPING, path, FIRST_LOAD_TS, "one"))
+    return run_silver(spark, ev, SilverJob(SINGLE_LOAD, SINGLE_MAPPING, path, LOAD_TS, "one")).table
+
+
+APPEND_LOAD = LoadSpec.from_metadata("event_log", {"merge_type": "append", "partition_columns": "event_type"})
+APPEND_MAPPING = (M("event_id", "BIGINT", "event_id"), M("event_type", "STRING", "event_type"),
+                  M("amount", "DECIMAL(18,2)", "value"))
+
+
+@query("pl01_append", f"""
+SELECT event_id, event_type, CAST(value AS DECIMAL(18,2)) AS amount,
+       l AS created_time, 'app' AS created_by, l AS updated_time, 'app' AS updated_by
+FROM (SELECT *, CASE WHEN ts < TIMESTAMP '{SPLIT}' THEN TIMESTAMP '{FIRST_LOAD_TS}'
+                     ELSE TIMESTAMP '{LOAD_TS}' END AS l FROM events)""")
+def pl01_append(spark, sf):
+    """Two appends to a partitioned table: the first one's files stay as they are."""
+    ev = t(spark, sf, "events")
+    path, split = scratch_path(spark, "pl01_append"), F.lit(SPLIT).cast("timestamp_ntz")
+    run_silver(spark, ev.where(F.col("ts") < split),
+               SilverJob(APPEND_LOAD, APPEND_MAPPING, path, FIRST_LOAD_TS, "app"))
+    return run_silver(spark, ev.where(~F.coalesce(F.col("ts") < split, F.lit(False))),
+                      SilverJob(APPEND_LOAD, APPEND_MAPPING, path, LOAD_TS, "app")).table
+
+
+REJECT_LOAD = LoadSpec.from_metadata("part_sizes", {"merge_key": "part_id", "merge_type": "upsert"})
+REJECT_MAPPING = (M("part_id", "BIGINT", "part_id"), M("size_no", "INT", "word"))
+
+
+def _reject_source(spark, sf):
+    """Parts with a text column that is a number only for some brands."""
+    return t(spark, sf, "part").select("p_partkey", F.substring_index("p_brand", "#", -1).alias("digits"), "p_type") \
+        .select(F.col("p_partkey").alias("part_id"), F.when(F.col("p_type").startswith("S"), F.col("p_type"))
+                .otherwise(F.col("digits")).alias("word"))
+
+
+_REJECT_SQL = """(SELECT p_partkey, CASE WHEN p_type LIKE 'S%' THEN p_type ELSE split_part(p_brand, '#', -1) END AS word
+FROM part)"""
+
+
+@query("pl01_reject", f"""
+SELECT CAST(p_partkey AS BIGINT) AS part_id, TRY_CAST(word AS INTEGER) AS size_no, 'table' AS went FROM {_REJECT_SQL}
+WHERE word IS NULL OR TRY_CAST(word AS INTEGER) IS NOT NULL
+UNION ALL SELECT CAST(p_partkey AS BIGINT), NULL, 'quarantine' FROM {_REJECT_SQL}
+WHERE word IS NOT NULL AND TRY_CAST(word AS INTEGER) IS NULL""")
+def pl01_reject(spark, sf):
+    """Policy 'reject': values that do not cast go to the quarantine, the rest is loaded."""
+    job = SilverJob(REJECT_LOAD, REJECT_MAPPING, scratch_path(spark, "pl01_reject"), LOAD_TS, "rej", policy="reject")
+    got = run_silver(spark, _reject_source(spark, sf), job)
+    columns = ["part_id", "size_no"]
+    return got.table.select(*columns, F.lit("table").alias("went")).unionByName(
+        got.quarantined.select(*columns, F.lit("quarantine").alias("went")))
+
+
+STALE_LOAD = LoadSpec.from_metadata("order_state", {
+    "merge_key": "order_id", "merge_type": "upsert", "source_deduplication": "Y",
+    "source_partitionBy_columns": "o_orderkey", "source_orderBy_columns": "updated_time desc",
+    "stale_data_handling": "Y", "target_join_columns": "order_id", "target_audit_columns": "updated_time"})
+STALE_MAPPING = (M("order_id", "BIGINT", "o_orderkey"), M("price", "DECIMAL(18,2)", "o_totalprice"))
+
+
+@query("pl01_stale_bronze_time", f"""
+SELECT CAST(o_orderkey AS BIGINT) AS order_id,
+       CAST(o_totalprice + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS DECIMAL(18,2)) AS price,
+       TIMESTAMP '{FIRST_LOAD_TS}' AS created_time, 'st' AS created_by,
+       o_orderdate + CASE WHEN o_orderpriority = '1-URGENT' THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS updated_time,
+       'st' AS updated_by FROM orders""")
+def pl01_stale(spark, sf):
+    """Bronze brings its own updated time and no other audit column: the second batch (urgent
+    orders a day newer, the others a day older) changes the urgent ones only."""
+    orders = t(spark, sf, "orders")
+    first = orders.withColumn("updated_time", F.col("o_orderdate").cast("timestamp_ntz"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    second = first.withColumns({
+        "updated_time": F.when(urgent, F.expr("updated_time + interval 1 day"))
+        .otherwise(F.expr("updated_time - interval 1 day")),
+        "o_totalprice": F.col("o_totalprice") + 1})
+    path = scratch_path(spark, "pl01_stale")
+    run_silver(spark, first, SilverJob(STALE_LOAD, STALE_MAPPING, path, FIRST_LOAD_TS, "st"))
+    return run_silver(spark, second, SilverJob(STALE_LOAD, STALE_MAPPING, path, LOAD_TS, "st")).table
+
+
 @query("au01_audit_log", f"""
 SELECT 'user_events' AS table_name, '{JOB_ID}' AS job_id, status, message,
        CAST(row_count AS BIGINT) AS row_count, started_at, 'UTC' AS zone

@@ -156,10 +156,11 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_audit_stamp(df: DataFrame, load_ts, job_id: str, audit: AuditColumns | None = None,
                      system_id: int | None = None, reporting_unit_id: int | None = None,
-                     created: bool = True) -> DataFrame:
+                     created: bool = True, only_absent: bool = False) -> DataFrame:
     """PRJ-6: created/updated time and user set by the job with one fixed ``load_ts`` per
     run (not ``current_timestamp()``), so a rerun produces the same rows. Times are
-    zone-less (``timestamp_ntz``), like the source tables."""
+    zone-less (``timestamp_ntz``), like the source tables. ``only_absent`` leaves columns
+    that the frame brings along as they are (PRJ-5)."""
     a = audit or AuditColumns()
     ts = F.lit(load_ts).cast("timestamp_ntz")
     cols = {a.updated_time: ts, a.updated_by: F.lit(job_id)}
@@ -169,6 +170,8 @@ def with_audit_stamp(df: DataFrame, load_ts, job_id: str, audit: AuditColumns |
         cols[a.system_id] = F.lit(system_id).cast("int")
     if reporting_unit_id is not None:
         cols[a.reporting_unit_id] = F.lit(reporting_unit_id).cast("int")
+    if only_absent:
+        cols = {c: v for c, v in cols.items() if c not in df.columns}
     return df.withColumns(cols)
 
 

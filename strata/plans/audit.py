@@ -43,5 +43,19 @@ def append_audit(spark: SparkSession, path: str, events: Iterable[AuditEvent]) -
     spark.createDataFrame(rows, AUDIT_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
+def audit_log(spark: SparkSession, path: str | None, event: AuditEvent,
+              because: Exception | None = None) -> None:
+    """Appends one event as it happens. When the load failed (``because``), trouble with the
+    log is noted on the load's own error, which is the one to see."""
+    if not path:
+        return
+    try:
+        append_audit(spark, path, [event])
+    except Exception as e:
+        if because is None:
+            raise
+        because.add_note(f"the audit event could not be written either: {e}")
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT_SCHEMA).parquet(path)

@@ -9,9 +9,10 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.operators.project import conform, with_audit_stamp
-from strata.plans.audit import AuditEvent, append_audit
+from strata.operators.quality import Rule, quarantine_write
+from strata.plans.audit import AuditEvent, audit_log
 from strata.plans.steps import run_steps
-from strata.session import materialize
+from strata.session import materialize, scratch_path
 from strata.sources import fs
 from strata.sources.readers import register_inputs, slice_predicate
 from strata.sources.writers import overwrite_slice, publish_slice, snapshot_slice
@@ -32,6 +33,8 @@ class GoldJob:
     serving_path: str | None = None
     audit_path: str | None = None
     audit: AuditColumns | None = None
+    rules: Sequence[Rule] = ()                 # rows that break one are quarantined
+    quarantine_path: str | None = None         # where they go (a scratch path if unset)
 
 
 def run_gold(spark: SparkSession, inputs: Mapping[str, DataFrame], job: GoldJob) -> DataFrame:
@@ -41,7 +44,8 @@ def run_gold(spark: SparkSession, inputs: Mapping[str, DataFrame], job: GoldJob)
     ``gold_final_df`` and produce exactly the rows of ``slice_values``. The audit columns
     are stamped by the job (the SQL never sets them) with a fixed ``load_ts``.
     """
-    events = [AuditEvent(job.table_name, job.job_id, "I", "load started", None, job.load_ts)]
+    audit_log(spark, job.audit_path,
+              AuditEvent(job.table_name, job.job_id, "I", "load started", None, job.load_ts))
     try:
         register_inputs(spark, inputs)
         final = run_steps(spark, job.steps, job.params)
@@ -53,23 +57,27 @@ def run_gold(spark: SparkSession, inputs: Mapping[str, DataFrame], job: GoldJob)
                                             a.updated_by)]
         # written once: the slice guard and the slice write both read it, so the staged SQL
         # (joins and aggregates over silver) is evaluated once
-        shaped = materialize(conform(stamped, cols))
+        shaped = conform(stamped, cols)
+        schema = shaped.schema
+        if job.rules:
+            shaped, _ = quarantine_write(shaped, job.rules, job.quarantine_path or
+                                         scratch_path(spark, f"{job.table_name}-quarantine"))
+        else:
+            shaped = materialize(shaped)
+        gold = spark.read.schema(schema)
         if job.history_path and fs.exists(spark, job.gold_path):
-            snapshot_slice(spark, spark.read.parquet(job.gold_path), job.history_path,
+            snapshot_slice(spark, gold.parquet(job.gold_path), job.history_path,
                            job.slice_values, job.load_ts)
         overwrite_slice(shaped, job.gold_path, job.slice_values)
-        result = spark.read.parquet(job.gold_path)
+        result = gold.parquet(job.gold_path)
         if job.serving_path:
             fresh = result.where(slice_predicate(job.slice_values))
             result = publish_slice(spark, fresh, job.serving_path, job.slice_values)
         n = result.where(slice_predicate(job.slice_values)).count()
-        events.append(AuditEvent(job.table_name, job.job_id, "S", "gold slice published", n,
-                                 job.load_ts))
-        return result
     except Exception as e:
-        events.append(AuditEvent(job.table_name, job.job_id, "F", str(e)[:500], None,
-                                 job.load_ts))
+        audit_log(spark, job.audit_path, AuditEvent(job.table_name, job.job_id, "F", str(e), None, job.load_ts),
+                  because=e)
         raise
-    finally:
-        if job.audit_path:
-            append_audit(spark, job.audit_path, events)
+    audit_log(spark, job.audit_path,
+              AuditEvent(job.table_name, job.job_id, "S", "gold slice published", n, job.load_ts))
+    return result

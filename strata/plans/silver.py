@@ -14,15 +14,20 @@ from strata.operators.joins import drop_stale
 from strata.operators.project import parse_type, project, with_audit_stamp
 from strata.operators.quality import Rule, quarantine_write, schema_diff
 from strata.operators.stats import load_stats
-from strata.plans.audit import AuditEvent, append_audit
+from strata.plans.audit import AuditEvent, audit_log
 from strata.plans.steps import plan_shape
 from strata.session import materialize, scratch_path
 from strata.sources import fs
-from strata.sources.readers import read_target, read_target_slice
-from strata.sources.writers import commit_table, upsert
+from strata.sources.readers import read_job_slice, read_target, read_target_slice
+from strata.sources.writers import (append_table, check_keys, commit_table, restore_table,
+                                    upsert)
 from strata.spec import ColumnMapping, LoadSpec
 
 
+#: Rows whose values do not cast to the target's types (policy 'reject').
+REJECTED = Rule("rejected_cast", "NOT _rejected")
+
+
 @dataclass
 class SilverJob:
     load: LoadSpec
@@ -34,6 +39,7 @@ class SilverJob:
     audit_path: str | None = None
     target_slice: Mapping[str, object] = field(default_factory=dict)
     policy: str = "strict"
+    slice_column: str | None = None      # bronze column that names the job (SRC-2)
 
 
 @dataclass
@@ -54,63 +60,85 @@ def _target_schema(job: SilverJob, audit_cols: Sequence[str]):
     return T.StructType(fields)
 
 
-def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob) -> SilverResult:
+def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob, targets: int = 1) -> SilverResult:
     """PL-1. The shape (dedupe / stale) is chosen from this target's own flags (PL-5).
     The prepared batch is written once (quarantine split or checkpoint) before the upsert.
 
-    Audit columns pass through from bronze when present (PRJ-5), else the load stamps
-    them (PRJ-6). Merge types: ``upsert`` (on ``merge_key``), ``overwrite``, ``append``.
+    Order of steps: job slice (SRC-2), dedupe, mapping, stale filter on the source's own
+    times, audit stamp of the columns that bronze lacks (PRJ-5, PRJ-6), rules, commit. With
+    ``policy='reject'`` rows whose values do not cast go to the quarantine, not the table.
+    Merge types: ``upsert`` (on ``merge_key``, which must be set, non-NULL and unique in the
+    batch, in the first load too; created time and user stay those of the target's row),
+    ``overwrite``, ``append`` (adds files); any other is an error before anything is read.
     """
     spec = job.load
-    table = spec.target_table
-    audit = spec.audit
-    events = [AuditEvent(table, job.job_id, "I", "load started", None, job.load_ts)]
+    table, audit = spec.target_table, spec.audit
+    audit_log(spark, job.audit_path, AuditEvent(table, job.job_id, "I", "load started", None, job.load_ts))
     try:
+        if spec.merge_type not in ("upsert", "append", "overwrite"):
+            raise ValueError(f"{table}: unknown merge_type {spec.merge_type!r}")
         if spec.merge_type == "upsert" and not spec.merge_key:
             raise ValueError(f"{table}: merge_type 'upsert' needs a merge_key")
-        shape = plan_shape(spec)
-        deduped = dedupe_for(spec, bronze)
-        passthrough = [c for c in audit.all() if c in bronze.columns]
-        out = project(deduped, job.mappings, policy=job.policy, keep=passthrough)
-        missing_audit = [c for c in audit.all() if c not in out.columns]
-        if missing_audit:
-            out = with_audit_stamp(out, job.load_ts, job.job_id, audit)
-        schema = _target_schema(job, [c for c in audit.all() if c in out.columns])
+        shape = plan_shape(spec, targets)
+        restore_table(spark, job.target_path)
+        if job.slice_column:
+            bronze = read_job_slice(bronze, job.slice_column, job.job_id)
+        out = project(dedupe_for(spec, bronze), job.mappings, policy=job.policy,
+                      keep=[c for c in audit.all() if c in bronze.columns])
+        rejected = "_rejected" in out.columns
+        stamped = with_audit_stamp(out, job.load_ts, job.job_id, audit, only_absent=True)
+        schema = _target_schema(job, [c for c in audit.all() if c in stamped.columns])
         exists = fs.exists(spark, job.target_path)
         target = read_target(spark, job.target_path, schema)
         if shape.endswith("stale") and exists:
             tslice = read_target_slice(target, job.target_slice) if job.target_slice else target
-            out = drop_stale(out, tslice, list(spec.target_join_columns),
-                             spec.target_audit_column)
-        diff = schema_diff(out.select(*[f.name for f in schema.fields if f.name in out.columns]),
+            # a row that cannot be cast is no newer or older than another: it is quarantined
+            bad_rows = stamped.where("_rejected") if rejected else None
+            fresh = stamped.where("NOT _rejected") if rejected else stamped
+            stamped = drop_stale(fresh, tslice, list(spec.target_join_columns), spec.target_audit_column)
+            stamped = stamped.unionByName(bad_rows) if rejected else stamped
+        diff = schema_diff(stamped.select(*[f.name for f in schema.fields if f.name in stamped.columns]),
                            schema)
         problems = diff.where(F.col("issue") != "extra").collect()  # schema metadata only
         if problems:
             raise ValueError(f"{table}: frame does not match target schema: {problems}")
-        out = out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        extra = ["_rejected"] if rejected else []
+        batch = stamped.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], *extra)
         # materialize the prepared batch once: the key check and the upsert both read it,
         # so dedupe, stale join and mapping run once (rules: one tagged write, good/bad)
         bad = None
-        if job.rules:
-            out, bad = quarantine_write(out, job.rules, scratch_path(spark, f"{table}-batch"))
+        rules = [*job.rules, *([REJECTED] if rejected else [])]
+        if rules:
+            batch, bad = quarantine_write(batch, rules, scratch_path(spark, f"{table}-batch"))
+            batch, bad = batch.drop("_rejected"), bad.drop("_rejected")
         else:
-            out = materialize(out)
+            batch = materialize(batch)
+        if spec.merge_type == "upsert":
+            check_keys(batch, spec.merge_key)
         if spec.merge_type == "upsert" and exists:
-            commit_table(spark, upsert(target, out, spec.merge_key), job.target_path,
-                         spec.partition_columns)
+            created = [audit.created_time, audit.created_by]
+            merged = upsert(target, batch, spec.merge_key, validate=False, keep=created)
+            commit_table(spark, merged, job.target_path, spec.partition_columns, schema)
         elif spec.merge_type == "append" and exists:
-            commit_table(spark, target.unionByName(out), job.target_path, spec.partition_columns)
+            append_table(batch, job.target_path, spec.partition_columns)
         else:
-            commit_table(spark, out, job.target_path, spec.partition_columns)
+            commit_table(spark, batch, job.target_path, spec.partition_columns, schema)
         committed = spark.read.schema(schema).parquet(job.target_path)
         stats = load_stats(committed, job.load_ts, audit.created_time, audit.updated_time)
-        n = committed.count()
-        events.append(AuditEvent(table, job.job_id, "S", f"{shape} load succeeded", n,
-                                 job.load_ts))
-        return SilverResult(committed, stats, bad, shape)
+        message, count = f"{shape} load succeeded", committed.count()
     except Exception as e:
-        events.append(AuditEvent(table, job.job_id, "F", str(e)[:500], None, job.load_ts))
+        failed = AuditEvent(table, job.job_id, "F", str(e), None, job.load_ts)
+        audit_log(spark, job.audit_path, failed, because=e)
         raise
-    finally:
-        if job.audit_path:
-            append_audit(spark, job.audit_path, events)
+    audit_log(spark, job.audit_path, AuditEvent(table, job.job_id, "S", message, count, job.load_ts))
+    return SilverResult(committed, stats, bad, shape)
+
+
+def run_silver_targets(spark: SparkSession, bronze: DataFrame, jobs: Sequence[SilverJob]) -> dict:
+    """SNK-6, S4/S6: one bronze frame feeds several silver targets, each with its own keys,
+    flags, audit events and statistics. Returns target table -> SilverResult. Each target's
+    plan scans bronze itself, pruned to its columns."""
+    names = [j.load.target_table for j in jobs]
+    if len(set(names)) < len(names):
+        raise ValueError(f"repeated target tables: {names}")
+    return {j.load.target_table: run_silver(spark, bronze, j, targets=len(jobs)) for j in jobs}

@@ -31,3 +31,9 @@ def rename(spark: SparkSession, src: str, dst: str) -> None:
     _, d = _fs(spark, dst)
     if not fs.rename(s, d):
         raise IOError(f"rename {src} -> {dst} failed")
+
+
+def siblings(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern (a handful of directory names, never data files)."""
+    fs, p = _fs(spark, pattern)
+    return sorted(str(f.getPath()) for f in (fs.globStatus(p) or ()))

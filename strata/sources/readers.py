@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from typing import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.sources import fs
+
 
 def layer_path(root: str, layer: str | None, table: str) -> str:
     """``<root>/<layer>/<table>``; without a layer, the flat ``<root>/<table>.parquet``."""
@@ -60,14 +61,12 @@ def register_inputs(spark: SparkSession, inputs: Mapping[str, DataFrame],
 
 
 def read_target(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """SRC-4: the existing target, or an empty frame with the target schema if absent."""
-    try:
-        reader = spark.read.schema(schema) if schema is not None else spark.read
-        return reader.parquet(path)
-    except AnalysisException:
-        if schema is None:
-            raise
+    """SRC-4: the existing target, or an empty frame with the target schema if its path does
+    not exist. Any other error (unreadable files, no rights) is raised."""
+    if schema is not None and not fs.exists(spark, path):
         return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(path)
 
 
 def slice_predicate(slice_values: Mapping[str, object]) -> Column:
@@ -86,11 +85,18 @@ def read_target_slice(df: DataFrame, slice_values: Mapping[str, object]) -> Data
 def load_mapping_sheets(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """SRC-6: mapping sheets as a table, all-blank rows and all-blank columns dropped.
 
-    Sheets arrive as CSV (or JSON lines) files, one or many; every column is text. Blank
+    Sheets arrive as CSV (or JSON lines) files, one or many (sheets are configuration, not
+    data: there are as many files as sheets); every column is text. CSV is read by the
+    usual rules: quotes doubled inside quotes, line breaks inside a quoted cell. Blank
     columns are found with one aggregate (a count per column), which is one small row.
     """
     if fmt == "csv":
-        raw = spark.read.option("header", "true").csv(path)
+        files = fs.siblings(spark, path) if "*" in path else (
+            fs.siblings(spark, f"{path.rstrip('/')}/*.csv") or [path])
+        # each file's own header names its columns: sheets may order or omit them differently
+        parts = [spark.read.option("header", "true").option("multiLine", "true")
+                 .option("escape", '"').csv(f) for f in files]
+        raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     else:
         raw = spark.read.json(path)
     rows = raw.dropna(how="all")

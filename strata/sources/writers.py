@@ -1,19 +1,22 @@
 """Sinks (SNK-1..SNK-6).
 
 Parquet has no MERGE, so an upsert is a left-anti join plus a union written to a new
-path and swapped in. A slice overwrite writes straight into the slice's partition
-directory with ``mode('overwrite')``, which also clears the slice when the input is
-empty (dynamic partition overwrite alone would leave it untouched).
+path and swapped in. A slice overwrite is a dynamic partition overwrite of the slice's
+partition; an empty input clears it (dynamic overwrite alone would leave it untouched).
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strata.session import scratch_path
 from strata.sources import fs
 from strata.sources.readers import slice_predicate
 from strata.spec import TargetSpec
@@ -23,16 +26,31 @@ def check_keys(source: DataFrame, keys: Sequence[str]) -> None:
     """Upsert keys must be non-NULL and unique in the source, else a rerun is not
     idempotent. One grouped aggregate (partial aggregation first) proves it."""
     bad = (source.groupBy(*keys).count()
-           .where((F.col("count") > 1) | F.greatest(*[F.col(k).isNull() for k in keys]))
+           .where((F.col("count") > 1) | reduce(or_, [F.col(k).isNull() for k in keys]))
            .limit(1).count())
     if bad:
         raise ValueError(f"upsert source has NULL or repeated keys {list(keys)}")
 
 
+def carry_over(target: DataFrame, source: DataFrame, keys: Sequence[str],
+               columns: Sequence[str]) -> DataFrame:
+    """The source rows with ``columns`` (created time and user) taken from the target's row
+    of the same key, where there is one: an update does not reset them."""
+    columns = [c for c in columns if c in target.columns and c in source.columns]
+    if not columns:
+        return source
+    old = target.select(*keys, F.struct(*columns).alias("__old"))
+    joined = source.join(old, on=list(keys), how="left")
+    return joined.select(*[
+        F.when(F.col("__old").isNotNull(), F.col(f"__old.{c}")).otherwise(F.col(c)).alias(c)
+        if c in columns else F.col(c) for c in source.columns])
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
-           validate: bool = True) -> DataFrame:
-    """SNK-1: matched target rows are replaced by the source row, unmatched source rows
-    are inserted, all other target rows are kept.
+           validate: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """SNK-1: matched target rows are replaced by the source row (but for the columns in
+    ``keep``, which stay the target's), unmatched source rows are inserted, all other
+    target rows are kept.
 
     The anti join shuffles both sides on the keys; AQE splits a skewed target partition
     (left side of a left-anti join).
@@ -41,6 +59,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     if validate:
         check_keys(source, keys)
     kept = target.join(source.select(*keys), on=keys, how="left_anti")
+    source = carry_over(target, source, keys, keep)
     return kept.unionByName(source.select(*target.columns))
 
 
@@ -55,15 +74,33 @@ def clustered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *partition_by)
 
 
+def restore_table(spark: SparkSession, path: str) -> None:
+    """Brings back a table whose last swap was cut off between its two renames: the path is
+    missing and the old copy lies beside it. A staging copy that was never swapped in is
+    left behind by such a crash too; it is not the table's content and is removed."""
+    if fs.exists(spark, path):
+        return
+    old = fs.siblings(spark, f"{path}.__old-*")
+    if len(old) > 1:
+        raise IOError(f"{path} is missing and several old copies exist: {old}")
+    if old:
+        fs.rename(spark, old[0], path)
+        for staging in fs.siblings(spark, f"{path}.__staging-*"):
+            fs.delete(spark, staging)
+
+
 def commit_table(spark: SparkSession, df: DataFrame, path: str,
-                 partition_by: Sequence[str] = ()) -> DataFrame:
+                 partition_by: Sequence[str] = (), schema: T.StructType | None = None) -> DataFrame:
     """Write ``df`` as the new content of ``path``: write a staging copy, then swap it in.
 
     ``df`` may read ``path`` itself (an upsert does): the old files stay until the new
-    copy is complete. A crash before the swap leaves the old table readable; not safe for
+    copy is complete. A crash before the swap leaves the old table readable, and one
+    between its two renames is mended by ``restore_table`` at the next load; not safe for
     concurrent writers. Frames read from the old version are stale after the swap; the
-    committed table is returned freshly read.
+    committed table is returned freshly read, with the types it was written with.
     """
+    schema = schema or df.schema
+    restore_table(spark, path)
     tag = uuid.uuid4().hex[:12]
     staging, old = f"{path}.__staging-{tag}", f"{path}.__old-{tag}"
     w = clustered(df, partition_by).write.mode("overwrite")
@@ -74,67 +111,103 @@ def commit_table(spark: SparkSession, df: DataFrame, path: str,
         fs.rename(spark, path, old)
     fs.rename(spark, staging, path)
     fs.delete(spark, old)
-    return spark.read.parquet(path)
-
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
-def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str]) -> DataFrame:
-    """SNK-2: overwrite load, partitioned by ``partition_by``. Each load replaces the
-    table, so its schema is the new frame's (columns may be added between loads); it is
-    read back with that schema, which keeps partition column types (no inference from
-    directory names)."""
-    clustered(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-# Characters escaped in partition directory names (the Hive convention
-# Spark follows when it writes and discovers partitions).
-_ESCAPE = set('"#%\'*/:=?\\\x7f{[]^')
-NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Adds rows to a table; the files that are there stay as they are."""
+    w = clustered(df, partition_by).write.mode("append")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
 
 
-def partition_dir(slice_values: Mapping[str, object]) -> str:
-    parts = []
-    for c, v in slice_values.items():
-        if v is None:
-            s = NULL_PARTITION
-        else:
-            s = "".join(f"%{ord(ch):02X}" if ch in _ESCAPE or ord(ch) < 0x20 else ch
-                        for ch in str(v))
-        parts.append(f"{c}={s}")
-    return "/".join(parts)
+def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str]) -> DataFrame:
+    """SNK-2: overwrite load, partitioned by ``partition_by``. Each load replaces the
+    whole table, whatever the session's partition overwrite mode, so partitions that the
+    new frame lacks go and its schema is the new frame's (columns may be added between
+    loads); it is read back with that schema, which keeps partition column types (no
+    inference from directory names)."""
+    (clustered(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy(*partition_by).parquet(path))
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """Partition columns of a table, in directory order, from its directory names."""
+    out, at = [], path
+    while True:
+        inner = [x.rstrip("/").rsplit("/", 1)[1] for x in fs.siblings(spark, f"{at}/*=*")]
+        if not inner:
+            return out
+        out.append(inner[0].split("=", 1)[0])
+        at = f"{at}/*=*"
 
 
 def overwrite_slice(df: DataFrame, path: str, slice_values: Mapping[str, object],
                     check: bool = True) -> None:
     """SNK-3: replace only the rows of one slice (``col1 = v1 AND col2 = v2``).
 
-    The table is partitioned by the slice columns, so the slice is one directory and the
-    other slices are not read or rewritten. An empty input clears the slice. With
-    ``check``, rows outside the slice fail the load before anything is written.
+    The table is partitioned by the slice columns, so the slice is one partition and the
+    other slices are not read or rewritten. Spark's dynamic partition overwrite replaces
+    the partition when the job commits, so a job that fails leaves the old slice in place;
+    an empty input clears the slice. The slice's columns must be the table's partition
+    columns (their order in ``slice_values`` does not matter). With ``check``, rows outside
+    the slice fail the load before anything is written.
     """
+    spark = df.sparkSession
     pred = slice_predicate(slice_values)
-    if check and df.where(~F.coalesce(pred, F.lit(False))).limit(1).count():
+    if check and not df.where(~F.coalesce(pred, F.lit(False))).isEmpty():
         raise ValueError(f"rows outside slice {dict(slice_values)}")
-    (df.drop(*slice_values.keys()).write.mode("overwrite")
-     .parquet(f"{path}/{partition_dir(slice_values)}"))
+    columns = partition_columns(spark, path) or list(slice_values)
+    if sorted(columns) != sorted(slice_values):
+        raise ValueError(f"slice columns {list(slice_values)} are not the table's partition "
+                         f"columns {columns}")
+    if df.isEmpty():
+        clear_slice(spark, path, columns, slice_values)
+        return
+    (clustered(df, columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*columns).parquet(path))
+
+
+def clear_slice(spark: SparkSession, path: str, columns: Sequence[str],
+                slice_values: Mapping[str, object]) -> None:
+    """Removes a slice's directory. Its name is the one Spark itself writes for these values
+    (found through a scratch copy of one row), so no escaping rule is repeated here."""
+    row = spark.range(1).select(*[F.lit(slice_values[c]).cast("string").alias(c) for c in columns],
+                                F.lit(1).alias("__x"))
+    probe = scratch_path(spark, "slice-name")
+    row.write.partitionBy(*columns).parquet(probe)
+    (found,) = fs.siblings(spark, f"{probe}" + "/*=*" * len(columns))
+    fs.delete(spark, f"{path}/{'/'.join(found.rstrip('/').split('/')[-len(columns):])}")
+    fs.delete(spark, probe)
 
 
 def snapshot_slice(spark: SparkSession, target: DataFrame, history_path: str,
                    slice_values: Mapping[str, object], load_ts) -> None:
-    """SNK-4: before a slice is replaced, append its current rows to a history table
-    with the load time (our reading of the reference's history flag)."""
-    (target.where(slice_predicate(slice_values))
-     .withColumn("load_ts", F.lit(load_ts).cast("timestamp_ntz"))
-     .write.mode("append").parquet(history_path))
+    """SNK-4: before a slice is replaced, its current rows go to a history table with the
+    load time (our reading of the reference's history flag). History is partitioned by the
+    load time and the slice's columns, and a rerun of a load replaces its own snapshot."""
+    snapshot = (target.where(slice_predicate(slice_values))
+                .withColumn("load_ts", F.lit(load_ts).cast("timestamp_ntz")))
+    (snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("load_ts", *slice_values).parquet(history_path))
+
+
+def read_history(spark: SparkSession, history_path: str, target_schema: T.StructType) -> DataFrame:
+    """The history table with the target's types, and load_ts."""
+    schema = T.StructType([*target_schema.fields, T.StructField("load_ts", T.TimestampNTZType())])
+    return spark.read.schema(schema).parquet(history_path)
 
 
 def publish_slice(spark: SparkSession, df: DataFrame, sink_path: str,
                   slice_values: Mapping[str, object]) -> DataFrame:
     """SNK-5: publish a gold slice to the serving copy: the slice is deleted and the
-    re-read slice appended (as one directory overwrite). Rerunning gives the same result.
+    re-read slice appended (as one partition overwrite). Rerunning gives the same result;
+    the copy is read back with the frame's types.
     """
     overwrite_slice(df, sink_path, slice_values, check=True)
-    return spark.read.parquet(sink_path)
+    return spark.read.schema(df.schema).parquet(sink_path).select(*df.columns)
 
 
 def fan_out(bronze: DataFrame, targets: Sequence[TargetSpec], build,

@@ -129,6 +129,9 @@ class LoadSpec:
                       order_by: Any = None) -> "LoadSpec":
         """Build from the string metadata of a mapping (all values are strings)."""
         audit_cols = names(meta.get("target_audit_columns"))
+        if len(audit_cols) > 1:
+            raise ValueError(f"{target_table}: the stale rule compares one column, "
+                             f"target_audit_columns names {list(audit_cols)}")
         return cls(
             target_table=target_table,
             merge_key=names(meta.get("merge_key")),

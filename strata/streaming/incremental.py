@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from strata.plans.silver import SilverJob, run_silver
-from strata.session import scratch_path
 
 
 def incremental_silver(spark: SparkSession, source_path: str, schema: T.StructType,
-                       job: SilverJob, checkpoint: str | None = None,
-                       available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start the stream; returns the StreamingQuery (``availableNow`` processes what is
+                       job: SilverJob, checkpoint: str, available_now: bool = True, max_files_per_trigger: int | None = None):
+    """Start the stream, whose progress is kept in ``checkpoint`` (the same folder at every
+    start, so a restarted query goes on where it stopped); returns the StreamingQuery (``availableNow`` processes what is
     there and stops; otherwise it keeps polling the folder)."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -30,7 +29,7 @@ def incremental_silver(spark: SparkSession, source_path: str, schema: T.StructTy
         run_silver(batch.sparkSession, batch, job)
 
     writer = (stream.writeStream.foreachBatch(load)
-              .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt")))
+              .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime="1 minute")
     return writer.start()

@@ -5,8 +5,12 @@ from pyspark.sql import functions as F
 
 from strata.operators.dedupe import latest_by_key
 from strata.operators.joins import drop_stale
-from strata.sources.writers import (check_keys, commit_table, overwrite_slice, partition_dir,
-                                    upsert)
+from strata.plans.audit import read_audit
+from strata.plans.silver import SilverJob, run_silver, run_silver_targets
+from strata.sources.writers import (check_keys, commit_table, overwrite_slice, publish_slice,
+                                    restore_table, upsert, write_partitioned)
+from strata.spec import ColumnMapping as M
+from strata.spec import LoadSpec
 
 TDATA = "/root/testdata/sf0.001"
 
@@ -39,10 +43,11 @@ def test_upsert_twice_equals_once(spark, latest, scratch):
 
 def test_upsert_rejects_repeated_or_null_keys(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, v string")
-    with pytest.raises(ValueError):
-        check_keys(df, ["k"])
-    with pytest.raises(ValueError):
-        check_keys(df.where("k IS NULL"), ["k"])
+    for bad in (df, df.where("k IS NULL"), df.where("k = 1")):
+        with pytest.raises(ValueError, match="NULL or repeated keys"):
+            check_keys(bad, ["k"])
+    check_keys(df.where("v = 'a'"), ["k"])
+    check_keys(df.where("k = 1"), ["k", "v"])
 
 
 def test_stale_filter_on_its_own_output_is_empty(spark):
@@ -91,8 +96,106 @@ def test_slice_guard_rejects_rows_outside(spark, scratch):
         overwrite_slice(df, scratch("guard"), {"s": "A"})
 
 
-def test_partition_dir_escaping():
-    assert partition_dir({"a": "x/y", "b": None}) == "a=x%2Fy/b=__HIVE_DEFAULT_PARTITION__"
+def test_slice_values_keep_their_names_and_types(spark, scratch):
+    df = spark.createDataFrame([("001", "x/y =%", 1), ("002", "plain", 2)], "v string, n string, x int")
+    path = scratch("typed")
+    df.write.partitionBy("v", "n").parquet(path)
+    odd = {"n": "x/y =%", "v": "001"}                    # in another order than the directories
+    out = publish_slice(spark, df.where("v = '001'").withColumn("x", F.lit(7)), path, odd)
+    assert rows(out) == [("001", "x/y =%", 7), ("002", "plain", 2)]
+    overwrite_slice(df.where(F.lit(False)), path, odd)
+    assert rows(spark.read.schema(df.schema).parquet(path).select(*df.columns)) == [("002", "plain", 2)]
+    with pytest.raises(ValueError, match="partition"):
+        overwrite_slice(df.where("v = '002'"), path, {"v": "002"})
+
+
+def test_overwrite_drops_old_partitions(spark, scratch):
+    df = spark.createDataFrame([(2020, 1), (2021, 2)], "y int, x int")
+    path = scratch("static")
+    write_partitioned(df, path, ["y"])
+    assert rows(write_partitioned(df.where("y = 2021"), path, ["y"])) == [(2021, 2)]
+
+
+def test_table_survives_a_crash_between_the_renames(spark, scratch):
+    from strata.sources import fs
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    path = scratch("crash")
+    commit_table(spark, df, path)
+    fs.rename(spark, path, f"{path}.__old-0123456789ab")  # what a lost driver leaves behind
+    df.limit(0).write.parquet(f"{path}.__staging-0123456789ab")
+    job = SilverJob(LoadSpec("t", merge_key=("k",)), [M("k", "INT", "k"), M("v", "STRING", "v")],
+                    path, "2024-01-01 00:00:00", "j")
+    with pytest.raises(ValueError):
+        run_silver(spark, df, SilverJob(LoadSpec("t", merge_key=("k",), merge_type="merge"), job.mappings, path,
+                                        job.load_ts, "j"))
+    restore_table(spark, path)
+    assert rows(spark.read.parquet(path)) == [(1, "a"), (2, "b")]
+    assert not fs.siblings(spark, f"{path}.__*")
+
+
+def silver(spark, path, frame, key="k", **kw):
+    spec = LoadSpec("t", merge_key=(key,) if key else (), merge_type=kw.pop("merge_type", "upsert"))
+    return run_silver(spark, frame, SilverJob(spec, [M("k", "INT", "k"), M("v", "INT", "v")], path,
+                                              kw.pop("ts", "2024-01-01 00:00:00"), "j", **kw))
+
+
+def test_silver_refuses_what_it_does_not_know(spark, scratch):
+    df = spark.createDataFrame([(1, 1)], "k int, v int")
+    path = scratch("merge_type")
+    silver(spark, path, df)
+    with pytest.raises(ValueError, match="merge_type"):
+        silver(spark, path, df, merge_type="merge")
+    assert spark.read.parquet(path).count() == 1
+    with pytest.raises(ValueError, match="NULL or repeated"):
+        silver(spark, scratch("null_key"), spark.createDataFrame([(None, 1)], "k int, v int"))
+    with pytest.raises(ValueError, match="one column"):
+        LoadSpec.from_metadata("t", {"target_audit_columns": "a, b"})
+
+
+def test_silver_statistics_of_an_upsert(spark, scratch):
+    path = scratch("stats")
+    silver(spark, path, spark.createDataFrame([(1, 1), (2, 2)], "k int, v int"))
+    out = silver(spark, path, spark.createDataFrame([(2, 5), (3, 3)], "k int, v int"), ts="2024-02-01 00:00:00")
+    assert tuple(out.stats.first()) == (3, 1, 1, 1)
+    assert {r.k: (r.v, str(r.created_time)[:7]) for r in out.table.collect()} == {
+        1: (1, "2024-01"), 2: (5, "2024-01"), 3: (3, "2024-02")}
+
+
+def test_append_keeps_old_files(spark, scratch):
+    import os
+    path = scratch("append")
+    silver(spark, path, spark.createDataFrame([(1, 1)], "k int, v int"), key=None, merge_type="append")
+    local = path.removeprefix("file://").removeprefix("file:")
+    before = {f for f in os.listdir(local) if f.endswith(".parquet")}
+    silver(spark, path, spark.createDataFrame([(1, 1)], "k int, v int"), key=None, merge_type="append")
+    assert before < {f for f in os.listdir(local) if f.endswith(".parquet")}
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_rejected_values_are_quarantined(spark, scratch):
+    df = spark.createDataFrame([(1, "7"), (2, "x"), (3, None)], "k int, v string")
+    out = silver(spark, scratch("reject"), df, policy="reject")
+    assert {r.k: r.v for r in out.table.collect()} == {1: 7, 3: None}
+    assert [(r.k, r.failed_rules) for r in out.quarantined.collect()] == [(2, ["rejected_cast"])]
+
+
+def test_audit_start_is_seen_before_the_load_fails(spark, scratch):
+    audit = scratch("audit")
+    with pytest.raises(ValueError):
+        silver(spark, scratch("audited"), spark.createDataFrame([(1, 1)], "k int, v int"), merge_type="x", audit_path=audit)
+    assert sorted(r.status for r in read_audit(spark, audit).collect()) == ["F", "I"]
+
+
+def test_several_targets_and_the_job_slice(spark, scratch):
+    df = spark.createDataFrame([(1, 1, "j "), (2, 2, "other"), (1, 3, "j")], "k int, v int, updater string")
+    one = SilverJob(LoadSpec("one", merge_key=("k",), order_by=(("v", "desc"),)), [M("k", "INT", "k"), M("v", "INT", "v")],
+                    scratch("one"), "2024-01-01 00:00:00", "j", slice_column="updater")
+    two = SilverJob(LoadSpec("two", merge_type="append", source_deduplication=True, source_partition_by=("k",),
+                             source_order_by=(("v", "asc"),)), [M("k", "INT", "k"), M("v", "INT", "v")],
+                    scratch("two"), "2024-01-01 00:00:00", "j")
+    out = run_silver_targets(spark, df, [one, two])
+    assert rows(out["one"].table.select("k", "v")) == [(1, 3)] and out["one"].shape == "multi"
+    assert rows(out["two"].table.select("k", "v")) == [(1, 1), (2, 2)] and out["two"].shape == "multi_dedupe"
 
 
 def test_quarantine_write_matches_filter_split(spark, scratch):

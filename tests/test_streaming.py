@@ -15,7 +15,7 @@ def test_stream_equals_batch(spark, scratch):
     ev.where("ts >= '2024-01-10'").write.parquet(f"{src}/part=2")
     streamed = scratch("stream_target")
     job = SilverJob(EVENT_LOAD, EVENT_MAPPING, streamed, "2024-06-30 12:00:00", "job-s")
-    q = incremental_silver(spark, f"{src}/*", ev.schema, job, max_files_per_trigger=1)
+    q = incremental_silver(spark, f"{src}/*", ev.schema, job, scratch("ckpt"), max_files_per_trigger=1)
     q.awaitTermination(300)
     batch = scratch("batch_target")
     run_silver(spark, ev, SilverJob(EVENT_LOAD, EVENT_MAPPING, batch, "2024-06-30 12:00:00", "job-s"))
