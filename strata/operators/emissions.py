@@ -1,7 +1,7 @@
 """Emissions calculations (EN-1..EN-7) and summaries (AG-1, AG-2).
 
-Unit and factor tables are configuration-sized lookups (a row per unit / fuel type), so
-they are broadcast; every calculation is a DECIMAL expression, cast to DECIMAL(18,6).
+Unit and factor tables are lookups (a row per unit / fuel type; a repeated key is refused,
+as it would multiply emissions); every calculation is a DECIMAL expression, cast to DECIMAL(18,6).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators.joins import maybe_broadcast
+from strata.operators.joins import unique_lookup
 
 RESULT = "decimal(18,6)"
 # Energy units to kWh. 1 GJ = 1 / 0.0036 kWh (physical constant, not in the
@@ -22,8 +22,6 @@ UNIT_TO_KWH = (
     ("MWh", Decimal("1000")),
     ("GJ", Decimal("277.777777777778")),
 )
-# Lookups larger than this are joined without a broadcast hint.
-LOOKUP_ROWS = 10_000
 
 
 def unit_table(spark: SparkSession, units=UNIT_TO_KWH) -> DataFrame:
@@ -33,7 +31,7 @@ def unit_table(spark: SparkSession, units=UNIT_TO_KWH) -> DataFrame:
 def to_kwh(df: DataFrame, value: str, unit: str, units: DataFrame,
            out: str = "energy_kwh") -> DataFrame:
     """EN-1: energy in kWh via the unit table; an unknown unit gives NULL."""
-    u = maybe_broadcast(units.select(F.col("unit").alias("__unit"), "to_kwh"), LOOKUP_ROWS)
+    u = unique_lookup(units.select(F.col("unit").alias("__unit"), "to_kwh"), ["__unit"], "units")
     j = df.join(u, df[unit] == u["__unit"], "left")
     return j.withColumn(out, (F.col(value) * F.col("to_kwh")).cast(RESULT)) \
             .drop("__unit", "to_kwh")
@@ -42,8 +40,8 @@ def to_kwh(df: DataFrame, value: str, unit: str, units: DataFrame,
 def fill_factor(df: DataFrame, fuel: str, factor: str, defaults: DataFrame) -> DataFrame:
     """EN-3: a missing factor takes the fuel type's default (defaults: fuel_type,
     default_factor)."""
-    d = maybe_broadcast(defaults.select(F.col("fuel_type").alias("__fuel"), "default_factor"),
-                        LOOKUP_ROWS)
+    d = unique_lookup(defaults.select(F.col("fuel_type").alias("__fuel"), "default_factor"),
+                      ["__fuel"], "default factors")
     j = df.join(d, df[fuel] == d["__fuel"], "left")
     return j.withColumn(factor, F.coalesce(F.col(factor), F.col("default_factor"))) \
             .drop("__fuel", "default_factor")
@@ -53,8 +51,8 @@ def to_co2e(df: DataFrame, energy: str, fuel: str, factors: DataFrame,
             out: str = "co2e") -> DataFrame:
     """EN-2: CO2e = energy x factor of the fuel type (factors: fuel_type, factor), as
     DECIMAL(18,6). Factor values are an input table, not constants."""
-    f = maybe_broadcast(factors.select(F.col("fuel_type").alias("__fuel"),
-                                       F.col("factor").alias("__factor")), LOOKUP_ROWS)
+    f = unique_lookup(factors.select(F.col("fuel_type").alias("__fuel"),
+                                     F.col("factor").alias("__factor")), ["__fuel"], "factors")
     j = df.join(f, df[fuel] == f["__fuel"], "left")
     return j.withColumn(out, (F.col(energy) * F.col("__factor")).cast(RESULT)) \
             .drop("__fuel", "__factor")
@@ -63,8 +61,8 @@ def to_co2e(df: DataFrame, energy: str, fuel: str, factors: DataFrame,
 def scope_of(df: DataFrame, scope: str, fuel: str, rules: DataFrame) -> DataFrame:
     """EN-4: keep a given scope category; derive a missing one from the fuel type via the
     rule table (fuel_type, scope)."""
-    r = maybe_broadcast(rules.select(F.col("fuel_type").alias("__fuel"),
-                                     F.col("scope").alias("__scope")), LOOKUP_ROWS)
+    r = unique_lookup(rules.select(F.col("fuel_type").alias("__fuel"),
+                                   F.col("scope").alias("__scope")), ["__fuel"], "scope rules")
     j = df.join(r, df[fuel] == r["__fuel"], "left")
     return j.withColumn(scope, F.coalesce(F.col(scope), F.col("__scope"))) \
             .drop("__fuel", "__scope")

@@ -1,4 +1,4 @@
-"""Joins of the mapping model (JN-1..JN-5) and the size-checked broadcast they use."""
+"""Joins of the mapping model (JN-1..JN-5)."""
 
 from __future__ import annotations
 
@@ -11,19 +11,18 @@ from pyspark.sql import types as T
 
 from strata.spec import Lookup
 
-# A side is broadcast only when it is proven to have at most this many rows.
-DEFAULT_BROADCAST_ROWS = 100_000
 
-
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only behind a proof of its size.
-
-    The proof is a bounded count (``limit(max_rows + 1).count()``): it stops reading once
-    the bound is passed. Above the bound the frame is returned unhinted and the join falls
-    back to a shuffle join that AQE may still convert at run time from measured sizes.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def unique_lookup(lookup: DataFrame, keys: Sequence[str], name: str = "lookup") -> DataFrame:
+    """The lookup, one row per key; a key that repeats fails the job that reads it (it would
+    multiply the main rows). The check is part of the plan: the rows are grouped on the join
+    key, so the join needs no further shuffle and no job runs while the plan is built. No
+    broadcast hint is given: Spark's byte threshold and AQE decide from measured sizes."""
+    rest = [c for c in lookup.columns if c not in keys]
+    grouped = lookup.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
+                                        *[F.first(c).alias(c) for c in rest])
+    message = f"lookup {name}: key {list(keys)} is not unique"
+    once = F.when(F.col("__n") > 1, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)
+    return grouped.where(once).select(*lookup.columns)
 
 
 def _keys(on) -> list[str] | None:
@@ -50,14 +49,11 @@ def declared_join(left: DataFrame, right: DataFrame, on, how: str = "inner") ->
     return left.join(right, on=on, how=how)
 
 
-def enrich(df: DataFrame, lookups: Sequence[Lookup], check_unique: bool = True,
-           broadcast_rows: int | None = None) -> DataFrame:
+def enrich(df: DataFrame, lookups: Sequence[Lookup], check_unique: bool = True) -> DataFrame:
     """JN-2: chain of LEFT joins onto reference tables.
 
     Each lookup is pruned to its key and wanted columns first. With ``check_unique`` a
-    lookup whose key repeats raises (a repeated key would multiply the main rows); the
-    check is a grouped count over the lookup only. ``broadcast_rows`` broadcasts lookups
-    proven smaller than that many rows.
+    lookup whose key repeats fails the job (``unique_lookup``).
     """
     out = df
     for lk in lookups:
@@ -68,11 +64,7 @@ def enrich(df: DataFrame, lookups: Sequence[Lookup], check_unique: bool = True,
         if keys:
             right = right.dropna(subset=keys)
             if check_unique:
-                dup = right.groupBy(*keys).count().where(F.col("count") > 1).limit(1).count()
-                if dup:
-                    raise ValueError(f"lookup {lk.name}: key {keys} is not unique")
-        if broadcast_rows:
-            right = maybe_broadcast(right, broadcast_rows)
+                right = unique_lookup(right, keys, lk.name)
         out = out.join(right, on=lk.on, how=lk.how)
     return out
 

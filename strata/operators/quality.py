@@ -90,13 +90,10 @@ def rule_units(col: str, units: DataFrame, unit_col: str = "unit",
     return Rule(rule_id, F.col(col).isNull() | F.col("__known_unit").isNotNull()), known
 
 
-def with_unit_flag(df: DataFrame, col: str, known: DataFrame,
-                   broadcast_rows: int = 10_000) -> DataFrame:
-    """Flag rows whose unit is in the unit table; the table is broadcast only when proven
-    to have at most ``broadcast_rows`` rows (it is de-duplicated first, so the left join
+def with_unit_flag(df: DataFrame, col: str, known: DataFrame) -> DataFrame:
+    """Flag rows whose unit is in the unit table (de-duplicated first, so the left join
     cannot multiply rows)."""
-    from strata.operators.joins import maybe_broadcast
-    units = maybe_broadcast(known.dropDuplicates(["__unit"]), broadcast_rows)
+    units = known.dropDuplicates(["__unit"])
     return df.join(units, df[col] == units["__unit"], "left").drop("__unit")
 
 

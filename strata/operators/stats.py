@@ -12,6 +12,9 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strata.session import materialize
 
 
 def load_stats(df: DataFrame, load_ts, created: str = "created_time",
@@ -26,17 +29,10 @@ def load_stats(df: DataFrame, load_ts, created: str = "created_time",
 
 
 def round_ratio(num: Column, den: Column, digits: int = 2) -> Column:
-    """``num / den`` rounded half-up to ``digits`` places as DECIMAL(38, digits).
-
-    Computed as ``floor((num * 2 * 10^d + den) / (2 * den))``: exact for non-negative
-    integer ``num`` and positive ``den`` below 2^53 / (2 * 10^d), so every engine and every
-    partitioning gives the same digits.
-    """
-    scale = 10 ** digits
-    n, d = num.cast("bigint"), den.cast("bigint")
-    scaled = F.floor((n * (2 * scale) + d) / (d * 2))
-    step = F.lit(f"{1 / scale:.{digits}f}").cast(f"decimal(38,{digits})")
-    return (scaled.cast("decimal(38,0)") * step).cast(f"decimal(38,{digits})")
+    """``num / den`` rounded half away from zero to ``digits`` places as DECIMAL(38, digits),
+    by DECIMAL division, so every partitioning gives the same digits."""
+    quotient = num.cast("decimal(38,10)") / den.cast("decimal(20,0)")
+    return F.round(quotient, digits).cast(f"decimal(38,{digits})")
 
 
 def exact_median(df: DataFrame, by: Sequence[str], value: str,
@@ -52,7 +48,10 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str,
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__m"))
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(n, *by, value).withColumn("__p", F.spark_partition_id())
+    # written once: both branches below must see the same ranges, also when Spark would
+    # compute the shuffle twice or run a lost task again
+    ranged = materialize(counts.repartitionByRange(n, *by, value)
+                         .withColumn("__p", F.spark_partition_id()))
     local = Window.partitionBy(*by, "__p").orderBy(value) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranged = ranged.withColumn("__cum", F.sum("__m").over(local))
@@ -74,23 +73,27 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str,
         .alias("median"))
 
 
-def run_stats(df: DataFrame, by: Sequence[str], value: str, scale: int = 2) -> DataFrame:
+def run_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """AG-4: count, mean, median, min, max, sample stddev and variance per group.
 
-    ``value`` is taken at ``scale`` decimal places as an integer u = value * 10^scale;
-    sums of u and u^2 are exact DECIMAL(38,0), so mean and variance
-    ``(n*sum(u^2) - sum(u)^2) / (n*(n-1)) / 10^(2*scale)`` do not depend on partitioning.
-    Standard deviation and variance are 0 for a single value (not NULL).
+    Values are taken as they are. For a DECIMAL column the sums of the unscaled values u and
+    u^2 are exact, so mean and variance do not depend on the partitioning; where those sums
+    leave 38 digits, and for other column types, Spark's double-precision aggregates stand
+    in. Standard deviation and variance are 0 for a single value (not NULL).
     """
     by = list(by)
-    v = F.col(value)
-    u = (v.cast(f"decimal(38,{scale})") * (10 ** scale)).cast("decimal(38,0)")
-    n, s1, s2 = F.count(v), F.sum(u), F.sum(u * u)
-    var = ((n * s2 - s1 * s1).cast("double") / (n * (n - 1)).cast("double")
-           / float(10 ** (2 * scale)))
+    v, kind = F.col(value), df.schema[value].dataType
+    n = F.count(v)
+    mean, var = F.avg(v.cast("double")), F.var_samp(v.cast("double"))
+    if isinstance(kind, T.DecimalType):
+        unit = 10 ** kind.scale
+        u = (v.cast(f"decimal(38,{kind.scale})") * F.lit(unit).cast("decimal(38,0)")).cast("decimal(38,0)")
+        s1, s2 = F.try_sum(u), F.try_sum(F.try_multiply(u, u).try_cast("decimal(38,0)"))
+        spread = F.try_subtract(F.try_multiply(n.cast("decimal(20,0)"), s2), F.try_multiply(s1, s1))
+        mean = F.coalesce(s1.cast("double") / n / float(unit), mean)
+        var = F.coalesce(spread.cast("double") / (n * (n - 1)).cast("double") / float(unit) / float(unit), var)
     basic = df.groupBy(*by).agg(
-        n.alias("count"),
-        (s1.cast("double") / n / float(10 ** scale)).alias("mean"),
+        n.alias("count"), F.when(n > 0, mean).alias("mean"),
         F.min(v).alias("min"), F.max(v).alias("max"),
         F.when(n > 1, F.sqrt(var)).otherwise(F.lit(0.0)).alias("std_dev"),
         F.when(n > 1, var).otherwise(F.lit(0.0)).alias("variance"))
@@ -106,20 +109,21 @@ def outcome_rates(df: DataFrame, by: Sequence[str], success: Column,
     cols = [total.alias("total"), ok.alias("successes"), (total - ok).alias("failures"),
             round_ratio(ok * 100, F.greatest(total, F.lit(1)), 2).alias("success_pct")]
     if attempts is not None:
-        cents = F.sum((attempts.cast("decimal(18,2)") * 100).cast("bigint"))
-        cols.append(round_ratio(cents, F.greatest(F.count(attempts), F.lit(1)) * 100, 2)
+        total_of = F.coalesce(F.sum(attempts.cast("decimal(28,10)")), F.lit(0).cast("decimal(38,10)"))
+        cols.append(round_ratio(total_of, F.greatest(F.count(attempts), F.lit(1)), 2)
                     .alias("avg_attempts"))
     return df.groupBy(*by).agg(*cols)
 
 
 def compare_groups(df: DataFrame, by: Sequence[str], version: str, a: str, b: str,
-                   metrics: Sequence[str], scale: int = 2) -> DataFrame:
+                   metrics: Sequence[str]) -> DataFrame:
     """AG-6: per group, mean of each metric under version ``a`` and ``b``, their absolute
     difference and percent improvement ``(a - b) / a * 100``; one pass (conditional
     aggregation), NULL when ``a`` is missing or zero."""
     cols = []
     for m in metrics:
-        dec = F.col(m).cast(f"decimal(38,{scale})")
+        kind = df.schema[m].dataType           # exact sums of DECIMAL metrics, none cut
+        dec = F.col(m).cast(f"decimal(38,{kind.scale})" if isinstance(kind, T.DecimalType) else "double")
         for tag, ver in (("a", a), ("b", b)):
             hit = F.col(version) == ver
             cols.append((F.sum(F.when(hit, dec)).cast("double")

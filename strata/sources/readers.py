@@ -26,20 +26,6 @@ def read_layer(spark: SparkSession, root: str, layer: str | None, table: str,
     return reader.parquet(layer_path(root, layer, table))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a frame whose scan yields fewer splits than the cluster has task slots
-    (e.g. one small file with one row group) over ``min_partitions`` (default: the
-    default parallelism). Rows are placed by a hash of their leading columns (ids in the
-    tables used here): deterministic if
-    a task is retried after an executor loss, and no sort (a round-robin repartition would
-    need one for that). Large inputs already have enough splits and are returned
-    unchanged, so this costs nothing at scale."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns[:2]]))
-
-
 def read_job_slice(df: DataFrame, id_col: str, job_id: str) -> DataFrame:
     """SRC-2: rows written by one job: trimmed updater id equals the trimmed job id.
 

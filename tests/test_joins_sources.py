@@ -2,23 +2,16 @@
 
 import pytest
 
-from strata.operators.joins import declared_join, enrich, maybe_broadcast, orphans
+from strata.operators.joins import declared_join, enrich, orphans
 from strata.sources.readers import load_mapping_sheets, read_job_slice, read_target
 from strata.spec import Lookup
 
 
-def test_broadcast_only_below_bound(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert "broadcast" in str(maybe_broadcast(small, 100)._jdf.queryExecution().logical()).lower()
-    assert "broadcast" not in str(maybe_broadcast(big, 100)._jdf.queryExecution().logical()).lower()
-
-
 def test_enrich_rejects_repeated_lookup_keys(spark):
     main = spark.createDataFrame([(1,), (2,)], "k int")
     dup = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
-    with pytest.raises(ValueError, match="not unique"):
-        enrich(main, [Lookup(dup, "k", ["v"], name="dup")])
+    with pytest.raises(Exception, match="not unique"):
+        enrich(main, [Lookup(dup, "k", ["v"], name="dup")]).collect()
     uniq = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string")
     got = sorted((r.k, r.v) for r in enrich(main, [Lookup(uniq, "k", ["v"])]).collect())
     assert got == [(1, "a"), (2, None)]
@@ -55,3 +48,26 @@ def test_mapping_sheet_drops_blank_rows_and_columns(spark, scratch):
         .coalesce(1).write.option("header", "true").csv(path)
     df = load_mapping_sheets(spark, path)
     assert df.columns == ["Target Column", "Transformation"] and df.count() == 2
+
+
+def test_mapping_sheets_written_by_other_programs(spark, scratch):
+    import os
+    path = scratch("sheets")
+    local = path.removeprefix("file://").removeprefix("file:")
+    os.makedirs(local)
+    with open(f"{local}/one.csv", "w") as f:
+        f.write('Target Column,Transformation\r\na,"Concatenate(x, ""|"", y)"\r\nb,"two\nlines"\r\n,\r\n')
+    with open(f"{local}/two.csv", "w") as f:
+        f.write("Transformation,Source Table,Target Column\nDirect,orders,c\n")
+    df = load_mapping_sheets(spark, path)
+    got = sorted((r["Target Column"], r["Transformation"], r["Source Table"]) for r in df.collect())
+    assert got == [("a", 'Concatenate(x, "|", y)', None), ("b", "two\nlines", None), ("c", "Direct", "orders")]
+
+
+def test_repeated_emission_lookup_is_refused(spark):
+    from strata.operators.emissions import to_kwh, unit_table
+    df = spark.createDataFrame([(1, "kWh")], "v int, u string").selectExpr("CAST(v AS DECIMAL(18,6)) AS v", "u")
+    twice = unit_table(spark).union(unit_table(spark))
+    assert to_kwh(df, "v", "u", unit_table(spark)).count() == 1
+    with pytest.raises(Exception, match="not unique"):
+        to_kwh(df, "v", "u", twice).collect()

@@ -53,11 +53,3 @@ def test_plan_shape_per_target():
     assert plan_shape(LoadSpec("a", source_deduplication=True)) == "single_dedupe"
     assert plan_shape(LoadSpec("a", source_deduplication=True, stale_data_handling=True),
                       n_targets=3) == "multi_dedupe_stale"
-
-
-def test_feedback_top_k_is_limited_before_the_shuffle(spark):
-    from strata.operators.lint import classify_issues, feedback
-    df = spark.createDataFrame([("t", f"Missing target columns: ['c{i}']") for i in range(50)],
-                               "target_table string, issue string")
-    s = feedback(classify_issues(df))._jdf.queryExecution().sparkPlan().toString()
-    assert "WindowGroupLimit" in s and "Partial" in s

@@ -41,3 +41,29 @@ def test_latest_per_group_ties_are_deterministic(spark):
                                "g int, ts int, v string")
     got = sorted(tuple(r) for r in latest_per_group(df, ["g"], "ts").collect())
     assert got == [(1, 5, "b"), (2, 1, "q")]
+
+
+def test_median_without_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(60_000).selectExpr("'g' AS g", "CAST(hash(id) % 100003 AS DOUBLE) AS v")
+        want = statistics.median(r.v for r in df.collect())
+        assert exact_median(df, ["g"], "v", partitions=16).first().median == want
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_run_stats_cuts_nothing_and_does_not_overflow(spark):
+    for kind in ("double", "decimal(18,6)"):
+        df = spark.createDataFrame([("a", "0.001"), ("a", "0.004")], "g string, v string").selectExpr("g", f"CAST(v AS {kind}) AS v")
+        r = run_stats(df, ["g"], "v").first()
+        assert abs(r.mean - 0.0025) < 1e-12 and abs(r.variance - 4.5e-6) < 1e-12 and r.median == 0.0025
+    for kind in ("double", "bigint", "decimal(38,0)", "decimal(38,6)"):
+        df = spark.createDataFrame([(10**18,), (3 * 10**18,)], "x bigint").selectExpr("'a' AS g", f"CAST(x AS {kind}) AS v")
+        r = run_stats(df, ["g"], "v").first()
+        assert abs(r.mean / 2e18 - 1) < 1e-9 and abs(r.variance / 2e36 - 1) < 1e-9
+
+
+def test_round_ratio_of_large_numbers(spark):
+    df = spark.createDataFrame([(2**60 + 1, 2**60)], "n long, d long")
+    assert df.select(round_ratio(F.col("n"), F.col("d"), 2)).first()[0] == Decimal("1.00")
