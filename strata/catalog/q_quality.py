@@ -8,10 +8,10 @@ from strata.catalog.q_emissions import ACTIVITY_SQL, activity
 from strata.catalog.q_glossary import ORDER_MAPPING
 from strata.operators.emissions import unit_table
 from strata.operators.project import project
-from strata.operators.quality import (quality_report, quarantine, required_columns,
+from strata.operators.quality import (quality_report, quarantine, required_report,
                                       rule_in_set, rule_max, rule_negative, rule_period,
                                       rule_range, rule_results, rule_units, run_rules,
-                                      schema_diff, with_quality_stamp, with_unit_flag)
+                                      schema_report, with_quality_stamp, with_unit_flag)
 
 
 def emission_rules():
@@ -44,14 +44,18 @@ RULES_SQL = f"""WITH {ACTIVITY_SQL}
     f"count_if({_fails(r)}) AS failed, count(*) AS total FROM activity" for r in FAIL_SQL)
 
 
-@query("dq01_schema_diff")
+@query("dq01_schema_diff", """
+SELECT 'region' AS "column", 'missing' AS issue, 'string' AS expected, CAST(NULL AS VARCHAR) AS actual,
+       CAST(0 AS BIGINT) AS filled
+UNION ALL SELECT 'customer_id', 'type_changed', 'bigint', 'string', count(o_custkey) FROM orders
+UNION ALL SELECT 'order_year', 'extra', NULL, 'int', count(o_orderdate) FROM orders""")
 def dq01(spark, sf):
-    """Projected orders against a target schema with a missing, an extra and a
-    type-changed column (rows-only check: the output is schema metadata)."""
+    """Projected orders against a target schema: the columns that differ, and how many rows
+    have a value in them."""
     df = project(t(spark, sf, "orders"), ORDER_MAPPING)
-    return schema_diff(df, [("order_id", "BIGINT"), ("customer_id", "BIGINT"),
-                            ("status", "STRING"), ("total", "DECIMAL(18,2)"),
-                            ("region", "STRING")])
+    return schema_report(df, [("order_id", "BIGINT"), ("customer_id", "BIGINT"),
+                              ("status", "STRING"), ("total", "DECIMAL(18,2)"),
+                              ("region", "STRING")])
 
 
 @query("dq02_run_rules", RULES_SQL)
@@ -95,13 +99,17 @@ def dq05(spark, sf):
     return run_rules(activity(spark, sf), [rule_max("energy_consumption")])
 
 
-@query("dq06_required_columns")
+@query("dq06_required_columns", f"""WITH {ACTIVITY_SQL}
+SELECT 'emissions_value' AS required_column, true AS present, count(emissions_value) AS filled FROM activity
+UNION ALL SELECT 'emission_factor', false, CAST(0 AS BIGINT)
+UNION ALL SELECT 'scope_category', true, count(scope_category) FROM activity
+UNION ALL SELECT 'reporting_period', true, count(reporting_period) FROM activity""")
 def dq06(spark, sf):
-    """Required GHG fields against the activity frame without its factor column
-    (rows-only check: the output lists missing column names)."""
+    """Required GHG fields against the activity frame without its factor column: which are
+    there, and in how many rows they are filled."""
     a = activity(spark, sf).drop("emission_factor")
-    return required_columns(a, ["emissions_value", "emission_factor", "scope_category",
-                                "reporting_period"])
+    return required_report(a, ["emissions_value", "emission_factor", "scope_category",
+                               "reporting_period"])
 
 
 @query("dq07_rule_in_set", _single("invalid_scopes"))

@@ -164,6 +164,30 @@ def required_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "missing_column string")
 
 
+def schema_report(df: DataFrame, target: T.StructType | Iterable[tuple[str, str]]) -> DataFrame:
+    """DQ-1 over the rows: the columns that differ from the target schema, each with the
+    number of rows in which it is filled (0 for a missing one), from one aggregate."""
+    return _with_filled(df, schema_diff(df, target), "column")
+
+
+def required_report(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """DQ-6 over the rows: every required column, whether the frame has it, and the number of
+    rows in which it is filled; compliant loads have every one present and filled."""
+    have = {c.lower() for c in df.columns}
+    rows = df.sparkSession.createDataFrame([(c, c.lower() in have) for c in required],
+                                           "required_column string, present boolean")
+    return _with_filled(df, rows, "required_column")
+
+
+def _with_filled(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Adds ``filled``, the count of non-NULL values of the named column, to metadata rows."""
+    one = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    pairs = ", ".join(f"'{c.lower()}', `{c}`" for c in df.columns)
+    counts = one.select(F.expr(f"stack({len(df.columns)}, {pairs}) AS (__name, __filled)"))
+    out = rows.join(counts, F.lower(F.col(key)) == F.col("__name"), "left")
+    return out.select(*rows.columns, F.coalesce("__filled", F.lit(0)).cast("bigint").alias("filled"))
+
+
 def rule_results(df: DataFrame, rules: Sequence[Rule]) -> dict:
     """Run the rules once and return {rule_id: failed} plus severity per rule. The result
     has one entry per configured rule (bounded by configuration, not by data)."""
