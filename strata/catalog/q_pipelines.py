@@ -265,13 +265,35 @@ SELECT scope_category, reporting_period, CAST(sum(co2e) AS DECIMAL(38,6)) AS tot
        count(*) AS record_count
 FROM c GROUP BY ALL""")
 def pl03(spark, sf):
+    return _emissions(spark, sf).summary
+
+
+def _emissions(spark, sf):
     job = EmissionsJob(
         target_path=scratch_path(spark, "pl03_emissions"), processed_at=LOAD_TS,
         factor_source="IPCC_2023", units=unit_table(spark), factors=factors(spark),
         default_factors=defaults(spark),
         scope_rules=spark.createDataFrame(list(SCOPE_RULES), "fuel_type string, scope string"),
         source_table="lineitem", key_cols=["l_orderkey", "l_linenumber"])
-    return run_emissions(spark, activity(spark, sf), job).summary
+    return run_emissions(spark, activity(spark, sf), job)
+
+
+@query("pl03_emissions_report", f"""WITH {ACTIVITY_SQL}, {SCOPES_SQL},
+f AS (SELECT a.*, COALESCE(a.scope_category, r.scope) AS scope FROM activity a
+      LEFT JOIN scope_rules r ON a.fuel_type = r.fuel_type),
+n AS (SELECT count(*) AS total_records, count_if(emissions_value < 0) AS negative_emissions,
+             count_if(emission_factor < 0.1 OR emission_factor > 3.0) AS factor_n,
+             count_if(energy_consumption > 1000000) AS energy_n,
+             count_if(scope NOT IN ('Scope1', 'Scope2', 'Scope3')) AS scope_n FROM f)
+SELECT total_records, negative_emissions, factor_n AS invalid_emission_factors, energy_n AS excessive_energy_consumption,
+       scope_n AS invalid_scopes,
+       CAST(CAST(negative_emissions > 0 AS INT) + CAST(factor_n > 0 AS INT) + CAST(energy_n > 0 AS INT)
+            + CAST(scope_n > 0 AS INT) AS INTEGER) AS failed_checks,
+       negative_emissions + factor_n + energy_n = 0 AS compliant,
+       'IPCC_2023' AS emission_factor_source FROM n""")
+def pl03_report(spark, sf):
+    """The load's quality report: the results of the checks that also made the stamp."""
+    return _emissions(spark, sf).report
 
 
 STEP_SQL = (
