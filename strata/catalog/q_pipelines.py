@@ -12,6 +12,7 @@ from strata.operators.emissions import unit_table
 from strata.operators.project import with_audit_stamp
 from strata.operators.quality import rule_negative
 from strata.plans.audit import read_audit
+from strata.plans.documents import load_document
 from strata.plans.emissions import EmissionsJob, run_emissions
 from strata.plans.gold import GoldJob, run_gold
 from strata.plans.silver import SilverJob, run_silver
@@ -319,3 +320,33 @@ def pl04(spark, sf):
                           customer=v["pl04_customer"], since="CAST(:since AS TIMESTAMP_NTZ)"))
              for n, s in STEP_SQL]
     return run_steps(spark, steps, {"since": "1997-01-01"})
+
+
+ORDER_DOCUMENT = {
+    "target_table": "big_orders",
+    "source_tables": [{"name": "orders"}, {"name": "customer"}],
+    "parameters": {"merge_key": "o_orderkey", "merge_type": "upsert"},
+    "column_mapping": {
+        "o_orderkey": {"target_datatype": "BIGINT", "sources": {
+            "source_table": "orders", "source_field": "o_orderkey", "transformation": "Direct",
+            "filter": "o_totalprice > 1000"}},
+        "status": {"target_datatype": "STRING", "sources": [
+            {"source_table": "orders", "source_field": "o_orderstatus", "transformation": "Lowercase"}]},
+        "segment": {"target_datatype": "STRING", "sources": {
+            "source_table": "customer", "source_field": "c_mktsegment",
+            "join_condition": "LEFT JOIN customer ON orders.o_custkey = customer.c_custkey",
+            "filter": "c_mktsegment <> 'BUILDING'"}},
+        "year": {"target_datatype": "INT", "sources": {
+            "source_table": "orders", "transformation": 'DateExtraction("o_orderdate", "yyyy")'}}}}
+
+
+@query("pl06_from_document", f"""
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, lower(o_orderstatus) AS status, c_mktsegment AS segment,
+       CAST(year(o_orderdate) AS INTEGER) AS year, TIMESTAMP '{LOAD_TS}' AS created_time, 'doc' AS created_by,
+       TIMESTAMP '{LOAD_TS}' AS updated_time, 'doc' AS updated_by
+FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON o_custkey = c_custkey
+WHERE o_totalprice > 1000""")
+def pl06(spark, sf):
+    """A load as its mapping document declares it: filters, a left join, terms, and upsert."""
+    tables = {"orders": t(spark, sf, "orders"), "customer": t(spark, sf, "customer")}
+    return load_document(spark, ORDER_DOCUMENT, tables, scratch_path(spark, "pl06"), LOAD_TS, "doc").table

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strata.operators.dedupe import dedupe_for
 from strata.operators.joins import drop_stale
-from strata.operators.project import parse_type, project, with_audit_stamp
+from strata.operators.project import apply_filters, parse_type, project, with_audit_stamp
 from strata.operators.quality import Rule, quarantine_write, schema_diff
 from strata.operators.stats import load_stats
 from strata.plans.audit import AuditEvent, audit_log
@@ -81,6 +81,9 @@ def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob, targets:
             raise ValueError(f"{table}: merge_type 'upsert' needs a merge_key")
         shape = plan_shape(spec, targets)
         restore_table(spark, job.target_path)
+        if any(m.join_condition for m in job.mappings):
+            raise ValueError(f"{table}: join conditions need the source tables (joined_sources)")
+        bronze = apply_filters(bronze, dict.fromkeys(m.filter for m in job.mappings))
         if job.slice_column:
             bronze = read_job_slice(bronze, job.slice_column, job.job_id)
         out = project(dedupe_for(spec, bronze), job.mappings, policy=job.policy,

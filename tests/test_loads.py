@@ -186,6 +186,16 @@ def test_audit_start_is_seen_before_the_load_fails(spark, scratch):
     assert sorted(r.status for r in read_audit(spark, audit).collect()) == ["F", "I"]
 
 
+def test_mapping_filter_is_applied_and_joins_are_refused(spark, scratch):
+    df = spark.createDataFrame([(1, 1), (2, 9)], "k int, v int")
+    job = SilverJob(LoadSpec("t", merge_type="append"), [M("k", "INT", "k", filter="v > 5")], scratch("filter"),
+                    "2024-01-01 00:00:00", "j")
+    assert [r.k for r in run_silver(spark, df, job).table.collect()] == [2]
+    job.mappings = [M("k", "INT", "k", join_condition="a.x = b.x")]
+    with pytest.raises(ValueError, match="join"):
+        run_silver(spark, df, job)
+
+
 def test_several_targets_and_the_job_slice(spark, scratch):
     df = spark.createDataFrame([(1, 1, "j "), (2, 2, "other"), (1, 3, "j")], "k int, v int, updater string")
     one = SilverJob(LoadSpec("one", merge_key=("k",), order_by=(("v", "desc"),)), [M("k", "INT", "k"), M("v", "INT", "v")],
