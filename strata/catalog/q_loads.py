@@ -14,8 +14,8 @@ from strata.operators.dedupe import dedupe_for, latest_by_key
 from strata.operators.project import project
 from strata.operators.stats import load_stats
 from strata.session import materialize, scratch_path
-from strata.sources.writers import (commit_table, fan_out, overwrite_slice, publish_slice,
-                                    read_history, snapshot_slice, upsert, write_partitioned)
+from strata.sources.writers import (fan_out, overwrite_slice, publish_slice,
+                                    read_history, snapshot_slice, upsert_buckets, write_partitioned)
 from strata.spec import ColumnMapping as M
 from strata.spec import LoadSpec, TargetSpec
 
@@ -42,10 +42,11 @@ def snk01(spark, sf):
     # the deduped bronze feeds both loads: cut its lineage once instead of recomputing it
     latest = materialize(latest_by_key(t(spark, sf, "lineitem"), KEYS, ["l_shipdate desc"]))
     path = scratch_path(spark, "snk01")
-    target = commit_table(spark, latest.where(F.col("l_shipdate") < _ts(Y2000)), path)
+    first = latest.where(F.col("l_shipdate") < _ts(Y2000))
+    upsert_buckets(spark, first, path, latest.schema, KEYS, 16)
     incoming = latest.where(F.col("l_shipdate") >= _ts(Y1999)) \
                      .withColumn("l_quantity", F.col("l_quantity") + 1)
-    return commit_table(spark, upsert(target, incoming, KEYS), path)
+    return upsert_buckets(spark, incoming, path, latest.schema, KEYS, 16)
 
 
 @query("snk02_write_partitioned", f"SELECT * FROM ({latest_lineitem_sql()}) WHERE l_returnflag <> 'R'")

@@ -20,7 +20,7 @@ from strata.session import materialize, scratch_path
 from strata.sources import fs
 from strata.sources.readers import read_job_slice, read_target, read_target_slice
 from strata.sources.writers import (append_table, check_keys, commit_table, restore_table,
-                                    upsert)
+                                    upsert, upsert_buckets)
 from strata.spec import ColumnMapping, LoadSpec
 
 
@@ -39,6 +39,8 @@ class SilverJob:
     audit_path: str | None = None
     target_slice: Mapping[str, object] = field(default_factory=dict)
     policy: str = "strict"
+    buckets: int = 0                     # > 0: the table lies in so many key buckets, and an
+                                         # upsert rewrites only those it touches
     slice_column: str | None = None      # bronze column that names the job (SRC-2)
 
 
@@ -77,6 +79,8 @@ def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob, targets:
     try:
         if spec.merge_type not in ("upsert", "append", "overwrite"):
             raise ValueError(f"{table}: unknown merge_type {spec.merge_type!r}")
+        if job.buckets and (spec.merge_type != "upsert" or spec.partition_columns):
+            raise ValueError(f"{table}: buckets are for upserts without partition columns")
         if spec.merge_type == "upsert" and not spec.merge_key:
             raise ValueError(f"{table}: merge_type 'upsert' needs a merge_key")
         shape = plan_shape(spec, targets)
@@ -116,17 +120,20 @@ def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob, targets:
             batch, bad = batch.drop("_rejected"), bad.drop("_rejected")
         else:
             batch = materialize(batch)
+        created = [audit.created_time, audit.created_by]
         if spec.merge_type == "upsert":
             check_keys(batch, spec.merge_key)
-        if spec.merge_type == "upsert" and exists:
-            created = [audit.created_time, audit.created_by]
+        if job.buckets:
+            committed = upsert_buckets(spark, batch, job.target_path, schema, spec.merge_key, job.buckets, created)
+        elif spec.merge_type == "upsert" and exists:
             merged = upsert(target, batch, spec.merge_key, validate=False, keep=created)
             commit_table(spark, merged, job.target_path, spec.partition_columns, schema)
         elif spec.merge_type == "append" and exists:
             append_table(batch, job.target_path, spec.partition_columns)
         else:
             commit_table(spark, batch, job.target_path, spec.partition_columns, schema)
-        committed = spark.read.schema(schema).parquet(job.target_path)
+        if not job.buckets:
+            committed = spark.read.schema(schema).parquet(job.target_path)
         stats = load_stats(committed, job.load_ts, audit.created_time, audit.updated_time)
         message, count = f"{shape} load succeeded", committed.count()
     except Exception as e:

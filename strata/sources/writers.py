@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.session import scratch_path
+from strata.session import materialize, scratch_path
 from strata.sources import fs
 from strata.sources.readers import slice_predicate
 from strata.spec import TargetSpec
@@ -114,6 +114,34 @@ def commit_table(spark: SparkSession, df: DataFrame, path: str,
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
+BUCKET = "__bucket"
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A bucketed table's rows, with the bucket each lies in."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
+
+
+def upsert_buckets(spark: SparkSession, source: DataFrame, path: str, schema: T.StructType,
+                   keys: Sequence[str], buckets: int, keep: Sequence[str] = ()) -> DataFrame:
+    """SNK-1 on a table that is laid out in ``buckets`` directories by a hash of its keys: only
+    the buckets that the source touches are read and rewritten (their list is bounded by the
+    number of buckets); the files of the others stay as they are. Each bucket is replaced as
+    one partition when the job commits; an upsert that is run again gives the same table.
+    The first load creates the table. Returns the table's rows."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    batch = materialize(source.select(*schema.names).withColumn(BUCKET, place))
+    check_keys(batch, keys)
+    merged = batch
+    if fs.exists(spark, path):
+        touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]
+        old = read_buckets(spark, path, schema).where(F.col(BUCKET).isin(touched))
+        merged = upsert(old, batch, keys, validate=False, keep=keep)
+    (clustered(merged, [BUCKET]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(BUCKET).parquet(path))
+    return read_buckets(spark, path, schema).drop(BUCKET)
+
+
 def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Adds rows to a table; the files that are there stay as they are."""
     w = clustered(df, partition_by).write.mode("append")

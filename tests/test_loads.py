@@ -161,6 +161,23 @@ def test_silver_statistics_of_an_upsert(spark, scratch):
         1: (1, "2024-01"), 2: (5, "2024-01"), 3: (3, "2024-02")}
 
 
+def test_upsert_leaves_untouched_buckets_alone(spark, scratch):
+    import os
+    path = scratch("buckets")
+    local = path.removeprefix("file://").removeprefix("file:")
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(local) for f in names if f.endswith(".parquet")}
+
+    silver(spark, path, spark.range(200).selectExpr("CAST(id AS INT) AS k", "0 AS v"), buckets=8)
+    before = files()
+    out = silver(spark, path, spark.createDataFrame([(5, 1), (500, 2)], "k int, v int"), ts="2024-02-01 00:00:00", buckets=8)
+    assert tuple(out.stats.first()) == (201, 1, 1, 199)
+    assert len({f.rsplit("/", 2)[1] for f in before - files()}) <= 2 and before & files()
+    again = silver(spark, path, spark.createDataFrame([(5, 1), (500, 2)], "k int, v int"), ts="2024-02-01 00:00:00", buckets=8)
+    assert tuple(again.stats.first()) == (201, 1, 1, 199)
+
+
 def test_append_keeps_old_files(spark, scratch):
     import os
     path = scratch("append")
