@@ -16,10 +16,9 @@ def components(links: DataFrame) -> DataFrame:
     Each round is written with checkpoint(), so a lost executor costs one round at most.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.filter("a <> b").distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("v"), F.least("a", "m").alias("c"))
-    labels = materialize(labels)
+    both = both.filter("a <> b")
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(
+        F.col("a").alias("v"), F.least("a", "m").alias("c")))
     while True:
         near = (both.join(labels.withColumnRenamed("v", "b"), "b")
                 .groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m")))

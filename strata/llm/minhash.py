@@ -5,17 +5,20 @@ branches the documents: a node picks one or two coordinates (1 / lambda of them
 by a hash of its path, and a document goes to the child named by its minwise token at each.
 Similar documents agree on most tokens and stay together; others part. Nodes of one document
 end; nodes of up to ``NODE`` documents are compared exhaustively; larger ones are compared
-with one document of theirs and branched again, unless all in them are already known to be
-in one class. Independent trees are run until the target recall: a pair at the threshold s
+with one document of theirs (a pivot) and branched again. After ``LEVELS`` levels the classes
+found so far are computed: a large node whose documents are all in one class ends, the
+others branch on. Independent trees are run until the target recall: a pair at the threshold s
 shares a first-level node in one tree with probability of at least s, so ``TREES`` trees
 miss it with (1 - s) ** TREES (6e-9 for 0.85 and ten trees).
 
 Comparison uses the tokens to estimate similarity with a slack of five standard deviations;
 every link is then confirmed on the full sets. Equal sets are collapsed before the trees, so
 a group of copies of any size is one vertex. In an exhaustive node the surest links come
-first (a spanning forest); once confirmed, pairs inside a class need no comparison, and
-all pairs that still join different classes are confirmed one by one. Classes are what is
-returned; no group's pairs are expanded.
+first (a spanning forest); once confirmed, pairs inside a class need no comparison. Likely
+links that still would join classes are borderline pairs; they are counted exactly, all
+pairs of a node at once, in the nodes of the first ``BORDER`` trees (which hold a pair at the
+threshold but for (1 - s) ** BORDER, 5e-4 for 0.85, of those few). Classes are what is
+returned; no group's pairs leave a task.
 
 Cases: NULL or blank text gives an empty set, linked with nothing and kept; fewer words than
 a shingle count as one shingle; an empty table gives no rows; rows that share a doc_id are
@@ -35,9 +38,12 @@ from strata.llm._graph import components
 from strata.llm._text import BYTE_UNITS, LOWER, Rolling, U, mix, ranges, slices, word_bounds
 from strata.session import materialize
 
-COORDINATES = 128
+COORDINATES = 128          # minwise tokens that estimate similarity, by one byte each
+BRANCHING = 64             # the first of them, whole, branch the trees
 TREES = 10
-NODE = 512
+NODE = 2048
+BORDER = 4                 # trees in which likely links between classes are counted exactly
+LEVELS = 6                 # levels of a tree before classes are computed and nodes of one class end
 FACTORS = (mix(np.arange(1, COORDINATES + 1, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -63,7 +69,7 @@ def _sketches(size: int):
     def run(batches):
         rolling = Rolling()
         for batch in batches:
-            n, k1, k2, tokens = [], [], [], []
+            n, k1, k2, tokens, marks = [], [], [], [], []
             for part in _groups(shingle_sets(batch.column(1), size, rolling)):
                 sizes = np.array([len(s) for s in part])
                 full = np.flatnonzero(sizes)
@@ -80,12 +86,13 @@ def _sketches(size: int):
                 n.append(sizes)
                 k1.append(keys[0].view(np.int64))
                 k2.append(keys[1].view(np.int64))
-                tokens += [x.tobytes() for x in out]
+                tokens += [x.tobytes() for x in out[:, :BRANCHING]]
+                marks += [x.tobytes() for x in out.astype(np.uint8)]
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(cat(n), pa.int64()),
-                 pa.array(cat(k1)), pa.array(cat(k2)), pa.array(tokens, pa.binary())],
-                names=["doc_id", "print_a", "print_b", "n", "k1", "k2", "tokens"])
+                 pa.array(cat(k1)), pa.array(cat(k2)), pa.array(tokens, pa.binary()), pa.array(marks, pa.binary())],
+                names=["doc_id", "print_a", "print_b", "n", "k1", "k2", "tokens", "marks"])
     return run
 
 
@@ -102,97 +109,163 @@ def _groups(sets, items: int = 200_000):
         yield part
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, kind=np.uint8) -> np.ndarray:
+    """A binary column of equally long arrays as a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    width = COORDINATES if kind == np.uint8 else BRANCHING
     column = column.cast(pa.large_binary())
     if not len(column):
-        return np.zeros((0, COORDINATES), np.uint32)
+        return np.zeros((0, width), kind)
     first = np.frombuffer(column.buffers()[1], np.int64)[column.offset]
-    return np.frombuffer(column.buffers()[2], np.uint32, len(column) * COORDINATES, first).reshape(-1, COORDINATES)
+    return np.frombuffer(column.buffers()[2], kind, len(column) * width, first).reshape(-1, width)
 
 
 def _children(spread: float):
-    """Rows (v, node, tokens) to the rows (v, node) of their child nodes."""
+    """Rows (v, node, tokens, tree) to the rows (v, node, tree) of their child nodes."""
     def run(batches):
         for batch in batches:
-            tokens = _matrix(batch.column(2))
+            tokens = _matrix(batch.column(2), np.uint32)
             node = batch.column(1).to_numpy().view(U)
-            v = batch.column(0).to_numpy()
+            v, tree = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             h = mix(node ^ U(0x51ED270B1F3A9C4D))
-            first = (h >> U(8)).astype(np.int64) % COORDINATES
-            step = 1 + (h >> U(24)).astype(np.int64) % (COORDINATES - 1)
+            first = (h >> U(8)).astype(np.int64) % BRANCHING
+            step = 1 + (h >> U(24)).astype(np.int64) % (BRANCHING - 1)
             twice = (h >> U(40)).astype(np.float64) / (1 << 24) < spread - 1
             outs = []
-            for pick, rows in ((first, np.arange(len(v))), ((first + step) % COORDINATES, np.flatnonzero(twice))):
+            for pick, rows in ((first, np.arange(len(v))), ((first + step) % BRANCHING, np.flatnonzero(twice))):
                 c = pick[rows]
                 child = mix(node[rows] + mix(tokens[rows, c].astype(U) | (c.astype(U) << U(32))))
-                outs.append((v[rows], child))
+                outs.append((v[rows], child, tree[rows]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([o[0] for o in outs])),
-                 pa.array(np.concatenate([o[1] for o in outs]).view(np.int64))], names=["v", "node"])
+                 pa.array(np.concatenate([o[1] for o in outs]).view(np.int64)),
+                 pa.array(np.concatenate([o[2] for o in outs]))], names=["v", "node", "tree"])
     return run
 
 
-def _compare(least: float, all_pairs: bool):
-    """Rows (node, v, c, tokens) sorted by node to pairs (a, b) worth confirming: a spanning
-    forest of the likely links between classes, or all likely links between classes."""
-    def pairs_of(v, c, tokens, cut):
-        size = np.diff(cut)
-        small = np.flatnonzero((size > 1) & (size <= 16))
-        big = np.flatnonzero(size > 16)
+def _by_node(batches, emit):
+    """Feeds batches sorted by node to ``emit`` as tables of whole nodes."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        node = table.column("node").to_numpy()
+        if not len(node):
+            continue
+        last = int(np.searchsorted(node, node[-1], "left"))
+        rest = table.slice(last)
+        if last:
+            yield from emit(table.slice(0, last).combine_chunks())
+    if rest is not None:
+        yield from emit(rest.combine_chunks())
+
+
+def _cuts(node: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
+
+
+def _likely(least: float, c, marks, cut):
+    """Pairs of one node and of different classes that are likely links: (i, j, the node's
+    first row, how many marks agree)."""
+    size = np.diff(cut)
+
+    def pairs():
         for m in range(2, 17):                    # all nodes of one size together
-            at = cut[small[size[small] == m]]
+            at = cut[:-1][size == m]
             if len(at):
                 x, y = np.triu_indices(m, 1)
                 yield (at[:, None] + x).ravel(), (at[:, None] + y).ravel(), np.repeat(at, len(x))
-        for k in big:
+        for k in np.flatnonzero(size > 16):
             for x in range(cut[k], cut[k + 1] - 1):
                 y = np.arange(x + 1, cut[k + 1])
                 yield np.full(len(y), x), y, np.full(len(y), cut[k])
 
-    def likely(v, c, tokens, cut):
-        found = []
-        for x, y, node in pairs_of(v, c, tokens, cut):
-            for s in range(0, len(x), 20_000):
-                p, q, r = x[s:s + 20_000], y[s:s + 20_000], node[s:s + 20_000]
-                ok = c[p] != c[q]
-                p, q, r = p[ok], q[ok], r[ok]
-                agree = (tokens[p] == tokens[q]).sum(axis=1)
-                ok = agree >= least * COORDINATES
-                found.append((p[ok], q[ok], r[ok], agree[ok]))
-        if not found:
-            return np.zeros((2, 0), np.int64)
-        p, q, r, agree = (np.concatenate(f) for f in zip(*found))
-        if not all_pairs:
-            keep = _forest(p, q, r, agree, c, v)
-            p, q = p[keep], q[keep]
-        out = np.unique(np.sort(np.stack((v[p], v[q])), axis=0), axis=1)
-        return out
+    found = [[np.zeros(0, np.int64)] * 4]
+    for x, y, node in pairs():
+        for s in range(0, len(x), 20_000):
+            p, q, r = x[s:s + 20_000], y[s:s + 20_000], node[s:s + 20_000]
+            ok = c[p] != c[q]
+            p, q, r = p[ok], q[ok], r[ok]
+            agree = (marks[p] == marks[q]).sum(axis=1)
+            ok = agree >= least * COORDINATES
+            found.append((p[ok], q[ok], r[ok], agree[ok]))
+    return [np.concatenate(f) for f in zip(*found)]
+
+
+def _surest(least: float):
+    """Rows (node, v, c, marks) sorted by node to the pairs (a, b) of a spanning forest of each
+    node's likely links, the surest first."""
+    def emit(table):
+        v, c = table.column("v").to_numpy(), table.column("c").to_numpy()
+        p, q, node, agree = _likely(least, c, _matrix(table.column("marks")), _cuts(table.column("node").to_numpy()))
+        keep = _forest(p, q, node, agree, c, v)
+        pairs = np.unique(np.sort(np.stack((v[p[keep]], v[q[keep]])), axis=0), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return lambda batches: _by_node(batches, emit)
 
-    def run(batches):
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            node = table.column("node").to_numpy()
-            if not len(node):
-                continue
-            last = int(np.searchsorted(node, node[-1], "left"))
-            rest = table.slice(last)
-            if last:
-                yield emit(table.slice(0, last))
-        if rest is not None:
-            yield emit(rest)
 
+def _open(least: float):
+    """Rows (node, v, c, marks) to the rows (node, v, c) that still have a likely link to
+    another class of their node."""
     def emit(table):
-        table = table.combine_chunks()
-        node = table.column("node").to_numpy()
-        cut = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
-        a, b = likely(table.column("v").to_numpy(), table.column("c").to_numpy(),
-                      _matrix(table.column("tokens")), cut)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-    return run
+        p, q, _, _ = _likely(least, table.column("c").to_numpy(), _matrix(table.column("marks")),
+                             _cuts(table.column("node").to_numpy()))
+        yield from table.select(["node", "v", "c"]).take(pa.array(np.unique(np.concatenate((p, q))))).to_batches()
+
+    return lambda batches: _by_node(batches, emit)
+
+
+def _exact(percent: int, columns: int = 4096):
+    """Rows (node, v, c, s) with full sets, sorted by node, to links (a, b): all pairs of a node
+    are counted by products of its incidence matrix, and links that join classes go out."""
+    def emit(table):
+        v, c = table.column("v").to_numpy(), table.column("c").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), U) for x in table.column("s")]
+        cut = _cuts(table.column("node").to_numpy())
+        a, b = [], []
+        for x, y in zip(cut[:-1], cut[1:]):
+            here = sets[x:y]
+            size = np.array([len(s) for s in here])
+            row = np.repeat(np.arange(y - x), size)
+            _, column, often = np.unique(np.concatenate(here), return_inverse=True, return_counts=True)
+            shared = often > 1                    # only these count for an intersection
+            rank = np.cumsum(shared) - 1
+            ok = shared[column]
+            row, column = row[ok], rank[column[ok]]
+            both = np.zeros((y - x, y - x), np.float32)
+            for start in range(0, int(shared.sum()), columns):
+                inside = (column >= start) & (column < start + columns)
+                matrix = np.zeros((y - x, columns), np.float32)
+                matrix[row[inside], column[inside] - start] = 1
+                both += matrix @ matrix.T
+            both = both.astype(np.int64)
+            linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            linked |= c[x:y, None] == c[None, x:y]
+            for i, j in _tree(linked):
+                if c[x + i] != c[x + j]:
+                    a.append(min(v[x + i], v[x + j]))
+                    b.append(max(v[x + i], v[x + j]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return lambda batches: _by_node(batches, emit)
+
+
+def _tree(linked: np.ndarray):
+    """Edges of breadth-first trees of a symmetric link matrix."""
+    todo = np.ones(len(linked), bool)
+    for start in range(len(linked)):
+        if not todo[start]:
+            continue
+        todo[start] = False
+        frontier = np.array([start])
+        while len(frontier):
+            fresh = np.flatnonzero(linked[frontier].any(axis=0) & todo)
+            if len(fresh):
+                yield from zip(frontier[linked[np.ix_(frontier, fresh)].argmax(axis=0)].tolist(), fresh.tolist())
+            todo[fresh] = False
+            frontier = fresh
 
 
 def _forest(p, q, node, agree, c, v) -> list:
@@ -219,7 +292,7 @@ def _forest(p, q, node, agree, c, v) -> list:
 
 
 def _with_pivot(least: float):
-    """Rows (v, tokens, pivot, pivot's tokens) to the pairs that are likely links."""
+    """Rows (v, marks, pivot, pivot's marks) to the pairs that are likely links."""
     def run(batches):
         for batch in batches:
             v, pivot = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -258,79 +331,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = 1 / max(0.5, s - 0.05)               # children of a node, on average
     least = s - 5.2 * math.sqrt(s * (1 - s) / COORDINATES)
     rows = materialize(docs.mapInArrow(
-        _sketches(shingle), "doc_id long, print_a long, print_b long, n long, k1 long, k2 long, tokens binary"))
+        _sketches(shingle), "doc_id long, print_a long, print_b long, n long, k1 long, k2 long, tokens binary, marks binary"))
     reps = materialize(rows.filter("n > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("v"), F.first("tokens").alias("tokens")))
-    vertices = reps.filter("v is not null").select("v", "tokens")
-    none = docs.sparkSession.createDataFrame([], "v long, c long")
-    links, classes, leaves = None, none, None
+        F.min("doc_id").alias("v"), F.first("tokens").alias("tokens"), F.first("marks").alias("marks")))
+    usable = reps.filter("v is not null")
+    vertices, marked = usable.select("v", "tokens"), usable.select("v", "marks")
 
-    def sets(wanted: DataFrame) -> DataFrame:
-        """(v, set) of the wanted vertices, from their whole texts."""
+    def sets(pairs: DataFrame) -> DataFrame:
+        """(v, set) of the pairs' ends, from their whole texts."""
         def run(batches):
             rolling = Rolling()
             for batch in batches:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), shingle, rolling)],
                                                pa.binary())], names=["v", "s"])
-        chosen = docs.select("doc_id", "t").join(wanted.withColumnRenamed("v", "doc_id"), "doc_id", "left_semi")
-        return chosen.mapInArrow(run, "v long, s binary")
+        ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        return materialize(docs.select("doc_id", "t").join(ends, "doc_id", "left_semi")
+                           .mapInArrow(run, "v long, s binary"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.distinct())
-        ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-        full = materialize(sets(ends))
+    def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
         with_a = pairs.join(full.toDF("a", "x"), "a")
-        return (with_a.join(full.toDF("b", "y"), "b").select("a", "b", "x", "y")
-                .mapInArrow(_confirm(percent), "a long, b long"))
-
-    def label(nodes: DataFrame) -> DataFrame:
-        return nodes.join(classes, "v", "left").withColumn("c", F.coalesce("c", "v"))
-
-    def mixed(nodes: DataFrame) -> DataFrame:
-        """Nodes (and their sizes) that hold more than one class."""
-        return (nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("c").alias("lo"),
-                                          F.max("c").alias("hi"))
-                .filter("lo <> hi").select("node", "size"))
-
-    def compared(nodes: DataFrame, all_pairs: bool) -> DataFrame:
-        return (nodes.join(vertices, "v").select("node", "v", "c", "tokens")
-                .repartition("node").sortWithinPartitions("node", "v")
-                .mapInArrow(_compare(least, all_pairs), "a long, b long"))
-
-    def add(found: DataFrame):
-        nonlocal links, classes
-        found = materialize(found.distinct())
-        links = found if links is None else links.unionByName(found).distinct()
-        classes = components(links)
-
-    roots = F.explode(F.array(*[F.lit(int(x)) for x in mix(np.arange(7, 7 + trees, dtype=U)).view(np.int64)]))
-    nodes = vertices.select("v", roots.alias("node"), "tokens")
+        return materialize(with_a.join(full.toDF("b", "y"), "b").select("a", "b", "x", "y")
+                           .mapInArrow(_confirm(percent), "a long, b long").distinct())
+
+    def branched(nodes: DataFrame) -> DataFrame:
+        """Child nodes of two documents and more: (node, v, size)."""
+        level = nodes.select("v", "node", "tokens", "tree").mapInArrow(_children(spread), "v long, node long, tree int")
+        sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        return materialize(level.join(sizes, "node").select("node", "v", "tree", "size"))
+
+    def mixed(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+        """The rows (node, v, c) of the nodes that hold more than one class."""
+        named = nodes.select("node", "v", "tree").join(classes, "v", "left").select(
+            "node", "v", "tree", F.coalesce("c", "v").alias("c"))
+        many = named.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
+        return materialize(named.join(many.select("node"), "node", "left_semi"))
+
+    def by_node(nodes: DataFrame, column: DataFrame) -> DataFrame:
+        return nodes.join(column, "v").repartition("node").sortWithinPartitions("node", "v")
+
+    def compared(nodes: DataFrame, what) -> DataFrame:
+        return by_node(nodes.select("node", "v", "c"), marked).select("node", "v", "c", "marks").mapInArrow(
+            what(least), "a long, b long" if what is _surest else "node long, v long, c long")
+
+    def with_pivots(big: DataFrame) -> DataFrame:
+        rows_ = big.join(marked, "v").select("node", "v", "marks")
+        pivot = rows_.groupBy("node").agg(
+            F.min(F.struct(F.xxhash64("node", "v").alias("h"), F.col("v").alias("pivot"),
+                           F.col("marks").alias("its"))).alias("p")).select("node", "p.pivot", "p.its")
+        return (rows_.join(pivot, "node").select("v", "marks", "pivot", "its")
+                .mapInArrow(_with_pivot(least), "a long, b long"))
+
+    def grown(nodes: DataFrame, levels: int):
+        """Branches ``nodes`` up to ``levels`` times: small nodes, the large ones left over (or
+        None), and the likely links of a spanning forest of each small node and of pivots."""
+        leaves, pairs = None, None
+        for _ in range(levels):
+            level = branched(nodes)
+            small, big = level.filter(F.col("size") <= node_size), level.filter(F.col("size") > node_size)
+            leaves = small if leaves is None else leaves.unionByName(small)
+            if big.isEmpty():
+                big = None
+                break
+            found = with_pivots(big)
+            pairs = found if pairs is None else pairs.unionByName(found)
+            nodes = big.join(vertices, "v").select("v", "node", "tokens", "tree")
+        found = compared(leaves.withColumn("c", F.col("v")), _surest)
+        pairs = found if pairs is None else pairs.unionByName(found)
+        return leaves, big, materialize(pairs.distinct())
+
+    roots = F.posexplode(F.array(*[F.lit(int(x)) for x in mix(np.arange(7, 7 + trees, dtype=U)).view(np.int64)]))
+    nodes = vertices.select("v", "tokens", roots.alias("tree", "node")).select("v", "node", "tokens", "tree")
+    links, classes = None, None
     while nodes is not None:
-        level = materialize(nodes.mapInArrow(_children(spread), "v long, node long").distinct())
-        level = label(level)
-        level = materialize(level.join(mixed(level), "node"))
-        small, big = level.filter(F.col("size") <= node_size), level.filter(F.col("size") > node_size)
-        found = compared(small, False)
-        more = not big.isEmpty()
-        if more:
-            tokens = big.join(vertices, "v").select("node", "v", "tokens")
-            pivot = tokens.groupBy("node").agg(
-                F.min(F.struct(F.xxhash64("node", "v").alias("h"), F.col("v").alias("pivot"),
-                               F.col("tokens").alias("its"))).alias("p")).select("node", "p.pivot", "p.its")
-            found = found.unionByName(tokens.join(pivot, "node").select("v", "tokens", "pivot", "its")
-                                      .mapInArrow(_with_pivot(least), "a long, b long"))
-        add(confirmed(found))
-        leaves = small.select("node", "v") if leaves is None else leaves.unionByName(small.select("node", "v"))
+        leaves, big, pairs = grown(nodes, LEVELS)
+        full = sets(pairs)
+        found = confirmed(pairs, full)
+        links = found if links is None else links.unionByName(found)
+        classes = components(links)
+        # What the forests leave open: likely links between classes, in the first trees. Their
+        # ends are ends of a forest too, so their sets are at hand.
+        first = leaves.filter(F.col("tree") < BORDER)
+        rest = materialize(compared(mixed(first, classes), _open))
+        if not rest.isEmpty():
+            found = by_node(rest, full.toDF("v", "s").dropDuplicates(["v", "s"])).select("node", "v", "c", "s")
+            links = links.unionByName(materialize(found.mapInArrow(_exact(percent), "a long, b long").distinct()))
+            classes = components(links)
         nodes = None
-        if more:
-            again = label(big.select("node", "v"))
-            again = materialize(again.join(mixed(again).select("node"), "node"))
-            if not again.isEmpty():
-                nodes = again.join(vertices, "v").select("v", "node", "tokens")
-    rest = label(leaves)
-    rest = rest.join(mixed(rest).select("node"), "node")
-    add(confirmed(compared(rest, True)))
+        if big is not None:
+            left = mixed(big, classes)
+            if not left.isEmpty():
+                nodes = left.join(vertices, "v").select("v", "node", "tokens", "tree")
     named = (reps.select("k1", "k2", F.col("v")).join(classes, "v", "left")
              .select("k1", "k2", F.coalesce("c", "v").alias("class")))
     prints = ["print_a", "print_b"] if keep_prints else []
