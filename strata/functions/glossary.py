@@ -114,18 +114,58 @@ def sql_expression(text: str, ctx: TermContext, numeric: bool = False) -> Column
             name = tok.strip("`")
             ref = ctx.sql_name(name)
             prev_ = toks[i - 1] if i > 0 else (None, None)
-            next_ = toks[i + 1] if i + 1 < len(toks) else (None, None)
-            near_number = (
-                (next_[1] in _CMP and i + 2 < len(toks) and toks[i + 2][0] == "num")
-                or (prev_[1] in _CMP and i >= 2 and toks[i - 2][0] == "num"))
+            near_number = (_meets_number(toks, i + 1)
+                           or (prev_[1] in _CMP and i >= 2 and toks[i - 2][0] == "num"))
             if _is_string(ctx.dtype(name)) and (numeric or near_number):
                 ref = f"try_cast({ref} AS DOUBLE)"
             out.append(ref)
         else:
             out.append("!=" if tok == "<>" else tok)
+    if ctx.policy == "reject":
+        out = _null_divisors(out)
     return F.expr(" ".join(out))
 
 
+def _meets_number(toks: list, i: int) -> bool:
+    """Is what starts at token ``i`` a comparison with a number: an operator, [NOT] BETWEEN or
+    [NOT] IN (, then a number that may have a sign?"""
+    def token(k):
+        return toks[k][1].upper() if k < len(toks) else ""
+
+    if token(i) == "NOT":
+        i += 1
+    if token(i) == "IN" and token(i + 1) == "(":
+        i += 2
+    elif token(i) == "BETWEEN" or token(i) in _CMP:
+        i += 1
+    else:
+        return False
+    if token(i) in ("-", "+"):
+        i += 1
+    return i < len(toks) and toks[i][0] == "num"
+
+
+def _null_divisors(parts: list) -> list:
+    """Divisors as NULLIF(divisor, 0): a division by zero gives NULL, which rejects the row,
+    and does not fail the job."""
+    out, k = [], 0
+    while k < len(parts):
+        out.append(parts[k])
+        if parts[k] in ("/", "%") and k + 1 < len(parts):
+            end = k + 2
+            if parts[k + 1] == "(":
+                depth = 1
+                while end < len(parts) and depth:
+                    depth += {"(": 1, ")": -1}.get(parts[end], 0)
+                    end += 1
+            inner = _null_divisors(parts[k + 1:end])
+            out += ["NULLIF(", *inner, ", 0)"]
+            k = end
+        else:
+            k += 1
+    return out
+
+
 def _lit_value(a: Arg) -> Column:
     return F.lit(a.value)
 

@@ -15,10 +15,6 @@ from pyspark.sql import types as T
 
 from strata.spec import LoadSpec, order_spec
 
-_ORDERABLE = (T.NumericType, T.StringType, T.DateType, T.TimestampType,
-              T.TimestampNTZType, T.BooleanType, T.BinaryType)
-
-
 def order_columns(order) -> list[Column]:
     """Order items as Columns: ``desc`` is NULLS LAST and ``asc`` NULLS FIRST (Spark's
     defaults), written out so every direction is explicit (D1)."""
@@ -47,11 +43,30 @@ def _named(order) -> set[str]:
     return names
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def tie_breakers(df: DataFrame, keys: Sequence[str], order) -> list[Column]:
-    """Remaining atomic columns, ascending, so the order is total (D2)."""
+    """All remaining columns, ascending, so the order is total (D2). Arrays and structs are
+    ordered as they are; a map by its sorted entries, and what
+    holds a map deeper inside by its JSON text."""
     used = {k.lower() for k in keys} | _named(order)
-    return [F.col(f"`{f.name}`").asc_nulls_first() for f in df.schema.fields
-            if f.name.lower() not in used and isinstance(f.dataType, _ORDERABLE)]
+    out = []
+    for f in df.schema.fields:
+        if f.name.lower() in used:
+            continue
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.MapType) and not _has_map(f.dataType.valueType):
+            c = F.array_sort(F.map_entries(c))
+        elif _has_map(f.dataType):
+            c = F.to_json(F.struct(c))
+        out.append(c.asc_nulls_first())
+    return out
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order, ties: str = "all") -> DataFrame:

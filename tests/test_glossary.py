@@ -192,3 +192,18 @@ def test_expression_rejects_unsupported_text(spark):
     df = spark.createDataFrame([(1,)], "n int")
     with pytest.raises(TermError):
         project(df, [M("x", "INT", transformation="NumericCalculation(n; DROP TABLE t)")])
+
+
+def test_text_against_signed_numbers_and_zero_divisors(spark):
+    df = spark.createDataFrame([("-3", 0), ("x", 2), ("7", 4)], "t string, z int")
+
+    def one(text, policy="strict", kind="STRING"):
+        out = project(df, [M("o", kind, transformation=text)], policy=policy)
+        return [r.o for r in out.collect()]
+
+    assert one('Conditional("t > -5", "y", "n")') == ["y", "n", "y"]
+    assert one('Conditional("t BETWEEN -5 AND 5", "y", "n")') == ["y", "n", "n"]
+    assert one('Conditional("t IN (7, 8)", "y", "n")') == ["n", "n", "y"]
+    assert one('Conditional("t NOT IN (7, 8)", "y", "n")') == ["y", "n", "n"]
+    assert one("NumericCalculation(8 / z)", "reject", "DOUBLE") == [None, 4.0, 2.0]
+    assert one("NumericCalculation(8 / (z * 1) + 1)", "reject", "DOUBLE") == [None, 5.0, 3.0]

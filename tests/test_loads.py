@@ -29,6 +29,13 @@ def test_dedupe_one_row_per_key(latest):
     assert latest.count() == latest.select("l_orderkey", "l_linenumber").distinct().count()
 
 
+def test_ties_in_nested_columns_are_broken(spark):
+    rows_ = [(1, [2, 1], {"b": 1}), (1, [1, 9], {"z": 1}), (1, [1, 9], {"a": 3, "y": 0})]
+    for order in (rows_, rows_[::-1]):
+        df = spark.createDataFrame(order, "k int, a array<int>, m map<string,int>").repartition(3)
+        assert latest_by_key(df, ["k"], []).first().m == {"a": 3, "y": 0}
+
+
 def test_upsert_twice_equals_once(spark, latest, scratch):
     path = scratch("upsert")
     keys = ["l_orderkey", "l_linenumber"]
