@@ -11,8 +11,9 @@ places, so all copies of a window meet where their seed is dealt:
    where a seed stands in segments that differ, all of those are asked for.
 3. ``_segments`` deals the differing segments into shards, and ``resolve`` (a suffix array
    or a suffix automaton) finds in a shard which windows of a segment a smaller document
-   has too. A seed with very many segments is dealt by window instead, so that no shard
-   grows with it.
+   has too. A seed with very many segments is dealt in parts instead: ``FAN`` neighbouring
+   windows together, by the fingerprint of what they have in common, so that its segments
+   spread over shards.
 4. ``_finish`` marks the repeated spans in each chunk and makes the output rows.
 
 Seeds and segments travel as packed arrays, one row per (chunk, bucket). No step holds all
@@ -30,10 +31,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from strata.llm._text import Rolling, U, covered, mix, ranges, slices, sliding
+from strata.llm._text import Rolling, U, covered, mix, ranges, release, slices, sliding
+from strata.session import materialize
 
 CHUNK = 4 << 20          # bytes of text in a chunk
-CROWDED = 2_000           # distinct segments of one seed beyond which they are dealt by window
+FAN = 8                   # windows of a crowded seed's segment that are dealt together
 LAST = np.iinfo(np.int64).max
 
 
@@ -47,6 +49,7 @@ class Repeats:
     resolve: Callable         # (symbols, segment offsets, owners, seeds, length) -> uint64 bitmaps
     output: Callable          # (bytes, offsets, unit offsets, extra, flags) -> dict of columns
     schema: str
+    crowded: int              # distinct segments of a seed beyond which they are dealt in parts
 
     @property
     def reach(self) -> int:
@@ -120,11 +123,11 @@ def _parts(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20):
 
 
 def _seeds(job: Repeats, units: np.ndarray, at: np.ndarray, rolling: Rolling):
-    """(seed, segment, row, segment start, segment end) of each chosen seed place."""
+    """(seed, segment, row, segment start, segment end, place) of each chosen seed."""
     s, w, length = job.seed, job.reach, job.length
     none = np.zeros(0, np.int64)
     if len(units) < length:
-        return none.view(U), none.view(U), none, none, none
+        return none.view(U), none.view(U), none, none, none, none
     sums = rolling.sums(units)
     seeds = rolling.windows(sums, s)
     low = sliding(seeds, w)                       # the seed of the window at each place
@@ -143,7 +146,7 @@ def _seeds(job: Repeats, units: np.ndarray, at: np.ndarray, rolling: Rolling):
     p, row, start, end = p[ok], row[ok], start[ok], end[ok]
     segment = rolling.spans(sums, start, end)
     segment = mix(segment ^ ((p - start).astype(U) * U(0xD6E8FEB86659FD93)))
-    return seeds[p], segment, row, start, end
+    return seeds[p], segment, row, start, end, p
 
 
 def _dealt(hashes: np.ndarray, count: int) -> np.ndarray:
@@ -158,8 +161,8 @@ def _table(job: Repeats, ids: np.ndarray, texts: list, buckets: int, rolling: Ro
     keep, found = [], []
     for i, j, part, off, at, symbols, extra, f in _occurrences(job, texts, rolling):
         keep.append((i, part, off, at, symbols, extra, len(f[0])))
-        found.append((f[0], f[1], f[2] + i, f[3], f[4]))
-    seed, segment, row, start, end = (np.concatenate(x) for x in zip(*found))
+        found.append((f[0], f[1], f[2] + i, f[3], f[4], f[5]))
+    seed, segment, row, start, end, at = (np.concatenate(x) for x in zip(*found))
     bucket = _dealt(seed, buckets).astype(np.int32)
     order = np.argsort(segment)                   # a fingerprint of the segment and the seed's place
     order = order[np.argsort(bucket[order], kind="stable")]
@@ -174,7 +177,7 @@ def _table(job: Repeats, ids: np.ndarray, texts: list, buckets: int, rolling: Ro
     mine = np.flatnonzero(doc == owner[entry])    # an occurrence of each entry in its owner
     place = np.empty(len(head), np.int64)
     place[entry[mine]] = mine
-    return (keep, row, start, end, entry, seed[order][head], sorted_segment[head], owner,
+    return (keep, row, start, end, at, entry, seed[order][head], sorted_segment[head], owner,
             bucket[order][head].astype(np.int64), place)
 
 
@@ -189,12 +192,13 @@ def repeats(job: Repeats, docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_pydict({
                 "chunk": pa.array([_chunk_id(ids, texts)], pa.int64()),
                 "body": pa.array([_pack(ids, texts)], pa.binary())})
+        release()
 
     def entries(batches):
         rolling = Rolling()
         for ids, texts in _chunks(batches):
             chunk = _chunk_id(ids, texts)
-            _, _, _, _, _, seed, segment, owner, bucket, _ = _table(job, ids, texts, buckets, rolling)
+            _, _, _, _, _, _, seed, segment, owner, bucket, _ = _table(job, ids, texts, buckets, rolling)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             out = []
             for b in np.flatnonzero(np.diff(cuts)):
@@ -209,10 +213,12 @@ def repeats(job: Repeats, docs: DataFrame, id_col: str = "doc_id", text_col: str
                 "bucket": pa.array([b for b, _ in out], pa.int32()),
                 "chunk": pa.array([chunk] * len(out), pa.int64()),
                 "body": pa.array([x for _, x in out], pa.binary())})
+        release()
 
     answers = "chunk long, bucket int, kind string, body binary"
-    found = (rows.mapInArrow(entries, "bucket int, chunk long, body binary")
-             .groupBy("bucket").applyInArrow(_reduce, answers))
+    # written once: two later steps read the answers, and a lost executor costs no bucket
+    found = materialize(rows.mapInArrow(entries, "bucket int, chunk long, body binary")
+                        .groupBy("bucket").applyInArrow(_reduce(job.crowded), answers))
     text = rows.mapInArrow(packed, "chunk long, body binary")
 
     def segments(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -221,12 +227,13 @@ def repeats(job: Repeats, docs: DataFrame, id_col: str = "doc_id", text_col: str
         asked = _answers(right, "many"), _answers(right, "crowded")
         if left.num_rows and any(asked):
             ids, texts = _unpack(left.column("body")[0].as_py())
-            keep, row, start, end, entry, seed, _, _, bucket, place = _table(job, ids, texts, buckets, Rolling())
+            keep, row, start, end, at, _, seed, _, _, bucket, place = _table(job, ids, texts, buckets, Rolling())
             base = np.searchsorted(bucket, np.arange(buckets + 1))
-            for want, by_window in zip(asked, (False, True)):
+            for want, in_parts in zip(asked, (False, True)):
                 wanted = np.sort(np.concatenate([base[b] + x for b, x in want] or [np.zeros(0, np.int64)]))
-                _collect(job, shards, ids, keep, row, start, end, place, seed, wanted, by_window, 8 * buckets)
+                _collect(job, shards, ids, keep, row, (start, end, at), place, seed, wanted, in_parts, 8 * buckets)
         chunk = left.column("chunk")[0].as_py() if left.num_rows else 0
+        release()
         return pa.table({"shard": pa.array(list(shards), pa.int32()),
                          "chunk": pa.array([chunk] * len(shards), pa.int64()),
                          "body": pa.array([_pack(*(np.concatenate(x) for x in zip(*v)))
@@ -266,51 +273,56 @@ def repeats(job: Repeats, docs: DataFrame, id_col: str = "doc_id", text_col: str
         for body in left.column("body"):
             ids, texts = _unpack(body.as_py())
             tables.append(_finish(job, ids, texts, right, buckets))
+            release()
         return pa.concat_tables(tables)
 
     return (text.groupBy("chunk").cogroup(found.unionByName(windows).groupBy("chunk"))
             .applyInArrow(finish, job.schema))
 
 
-def _reduce(table: pa.Table) -> pa.Table:
+def _reduce(most: int):
     """One bucket: which entries of each chunk a smaller document holds too ('repeat'), and
-    which segments share a seed with other segments ('many', or 'crowded')."""
-    seeds, segs, docs, row, idx = [], [], [], [], []
-    for r, body in enumerate(table.column("body")):
-        planes, segment, least, near = _unpack(body.as_py())
-        seeds.append(_values(planes, np.uint64))
-        segs.append(segment)
-        docs.append(near.astype(np.int64) + least)
-        row.append(np.full(len(segment), r, np.int32))
-        idx.append(np.arange(len(segment), dtype=np.uint32))
-    seeds, segs, docs, row, idx = (np.concatenate(x) for x in (seeds, segs, docs, row, idx))
-    order = np.lexsort((segs, seeds))
-    seeds, segs, docs, row, idx = seeds[order], segs[order], docs[order], row[order], idx[order]
-    new_seed = np.r_[True, seeds[1:] != seeds[:-1]]
-    new_seg = new_seed | np.r_[True, segs[1:] != segs[:-1]]
-    head = np.flatnonzero(new_seg)
-    owner = np.repeat(np.minimum.reduceat(docs, head), np.diff(np.r_[head, len(docs)]))
-    group = np.cumsum(new_seed) - 1
-    many = np.bincount(group, weights=new_seg).astype(np.int64)
-    cut = np.flatnonzero(new_seed)
-    differ = np.maximum.reduceat(owner, cut) != np.minimum.reduceat(owner, cut)
-    asked = ((many > 1) & differ)[group] & (docs == owner)
-    crowded = asked & (many > CROWDED)[group]
-    out = {"chunk": [], "bucket": [], "kind": [], "body": []}
-    chunks = table.column("chunk").to_pylist()
-    bucket = table.column("bucket")[0].as_py()
-    for kind, flag in (("repeat", docs > owner), ("many", asked & ~crowded), ("crowded", crowded)):
-        r, x = row[flag], idx[flag]
-        o = np.lexsort((x, r))
-        r, x = r[o], x[o]
-        cuts = np.searchsorted(r, np.arange(len(chunks) + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            out["chunk"].append(chunks[k])
-            out["bucket"].append(bucket)
-            out["kind"].append(kind)
-            out["body"].append(_pack(x[cuts[k]:cuts[k + 1]]))
-    return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()),
-                     "kind": pa.array(out["kind"], pa.string()), "body": pa.array(out["body"], pa.binary())})
+    which segments share a seed with other segments ('many', or 'crowded' over ``most``)."""
+    def run(table: pa.Table) -> pa.Table:
+        seeds, segs, docs, row, idx = [], [], [], [], []
+        for r, body in enumerate(table.column("body")):
+            planes, segment, least, near = _unpack(body.as_py())
+            seeds.append(_values(planes, np.uint64))
+            segs.append(segment)
+            docs.append(near.astype(np.int64) + least)
+            row.append(np.full(len(segment), r, np.int32))
+            idx.append(np.arange(len(segment), dtype=np.uint32))
+        seeds, segs, docs, row, idx = (np.concatenate(x) for x in (seeds, segs, docs, row, idx))
+        order = np.lexsort((segs, seeds))
+        seeds, segs, docs, row, idx = seeds[order], segs[order], docs[order], row[order], idx[order]
+        new_seed = np.r_[True, seeds[1:] != seeds[:-1]]
+        new_seg = new_seed | np.r_[True, segs[1:] != segs[:-1]]
+        head = np.flatnonzero(new_seg)
+        owner = np.repeat(np.minimum.reduceat(docs, head), np.diff(np.r_[head, len(docs)]))
+        group = np.cumsum(new_seed) - 1
+        many = np.bincount(group, weights=new_seg).astype(np.int64)
+        cut = np.flatnonzero(new_seed)
+        differ = np.maximum.reduceat(owner, cut) != np.minimum.reduceat(owner, cut)
+        asked = ((many > 1) & differ)[group] & (docs == owner)
+        crowded = asked & (many > most)[group]
+        out = {"chunk": [], "bucket": [], "kind": [], "body": []}
+        chunks = table.column("chunk").to_pylist()
+        bucket = table.column("bucket")[0].as_py()
+        for kind, flag in (("repeat", docs > owner), ("many", asked & ~crowded), ("crowded", crowded)):
+            r, x = row[flag], idx[flag]
+            o = np.lexsort((x, r))
+            r, x = r[o], x[o]
+            cuts = np.searchsorted(r, np.arange(len(chunks) + 1))
+            for k in np.flatnonzero(np.diff(cuts)):
+                out["chunk"].append(chunks[k])
+                out["bucket"].append(bucket)
+                out["kind"].append(kind)
+                out["body"].append(_pack(x[cuts[k]:cuts[k + 1]]))
+        release()
+        return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()),
+                         "kind": pa.array(out["kind"], pa.string()), "body": pa.array(out["body"], pa.binary())})
+
+    return run
 
 
 def _known(left: pa.Table, right: pa.Table) -> None:
@@ -332,39 +344,50 @@ def _answers(table: pa.Table, kind: str) -> list:
     return out
 
 
-def _collect(job, shards, ids, keep, row, start, end, place, seed, wanted, by_window, count):
-    """Adds the wanted segments (sizes, owners, entries, shifts, seeds, symbols) to their
-    shards. Dealt by window, a window's own fingerprint stands for the seed."""
+def _collect(job, shards, ids, keep, row, spans, place, seed, wanted, in_parts, count):
+    """Adds the wanted segments (sizes, owners, entries, shifts, keys, symbols) to their shards.
+    Whole segments have their seed as key. In parts, windows are taken by their places before
+    the seed, which are alike in all copies, and the key is what all windows of a part share."""
     if not len(wanted):
         return
-    at = place[wanted]                            # an occurrence of each wanted entry, by the owner
+    occurrence = place[wanted]                    # one of each wanted entry, in its owner
     base = np.concatenate(([0], np.cumsum([k[6] for k in keep])))
-    part = np.searchsorted(base, at, "right") - 1
-    for k in np.unique(part):
-        here = np.flatnonzero(part == k)
-        entry, occ = wanted[here], at[here]
-        a, b, owner, key = start[occ], end[occ], ids[row[occ]], seed[entry]
-        shift = np.zeros(len(entry), np.int64)
-        symbols = keep[k][4]
-        if by_window:
-            n = b - a - job.length + 1
-            shift = ranges(np.zeros(len(n), np.int64), n)
-            a, entry, owner = np.repeat(a, n) + shift, np.repeat(entry, n), np.repeat(owner, n)
-            b = a + job.length
-            sums = Rolling().sums(symbols.astype(U) + U(1))
-            key = Rolling().spans(sums, a, b)
-        shard = _dealt(key, count) + by_window * count
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            o = order[x:y]
-            size = b[o] - a[o]
-            shards.setdefault(int(shard[o[0]]), []).append(
-                (size, owner[o], entry[o], shift[o], key[o], symbols[ranges(a[o], size)]))
+    step = np.searchsorted(base, occurrence, "right") - 1
+    length, reach = job.length, job.reach
+    for k in np.unique(step):
+        here = step == k
+        entry, occ = wanted[here], occurrence[here]
+        start, end, at = (x[occ] for x in spans)
+        owner, symbols = ids[row[occ]], keep[k][4]
+        if not in_parts:
+            _deal(shards, symbols, start, end, owner, entry, start * 0, seed[entry], count, 0)
+            continue
+        rolling = Rolling()
+        sums = rolling.sums(symbols.astype(U) + U(1))
+        for low in range(1 - reach, 1, FAN):
+            high = min(low + FAN, 1)              # windows that start at places low .. high - 1
+            a, b = np.maximum(start, at + low), np.minimum(end, at + high - 1 + length)
+            ok = b - a >= length
+            core = rolling.spans(sums, at[ok] + high - 1, at[ok] + low + length)
+            _deal(shards, symbols, a[ok], b[ok], owner[ok], entry[ok], (a - start)[ok],
+                  mix(core ^ U(low + reach)), count, count)
+
+
+def _deal(shards, symbols, start, end, owner, entry, shift, key, count, first):
+    shard = _dealt(key, count) + first
+    order = np.argsort(shard, kind="stable")
+    if not len(order):
+        return
+    cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        o = order[x:y]
+        size = end[o] - start[o]
+        shards.setdefault(int(shard[o[0]]), []).append(
+            (size, owner[o], entry[o], shift[o], key[o], symbols[ranges(start[o], size)]))
 
 
 def _finish(job, ids, texts, right, buckets) -> pa.Table:
-    keep, row, start, end, entry, _, _, owner, bucket, _ = _table(job, ids, texts, buckets, Rolling())
+    keep, row, start, end, _, entry, _, _, owner, bucket, _ = _table(job, ids, texts, buckets, Rolling())
     base = np.searchsorted(bucket, np.arange(buckets + 1))
     whole = np.zeros(len(owner), bool)
     for b, x in _answers(right, "repeat"):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from strata.llm._repeats import Repeats, repeats
 from strata.llm._text import BYTE_UNITS, U, ranges, word_bounds
 
-LENGTH, SEED = 50, 25
+LENGTH, SEED, CROWDED = 50, 25, 2_000
 
 
 class Automaton:
@@ -142,5 +142,5 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with a smaller id. Returns doc_id, n_words, n_removed, kept (UTF-8 bytes of the words
     left, joined by one space) and kept_sha256. ``length - seed`` must be under 64."""
     job = Repeats(length, seed, _units, resolve, _output,
-                  "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string")
+                  "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string", CROWDED)
     return repeats(job, docs, id_col, text_col)

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 import strata.llm._repeats as engine
+import strata.llm.suffix_array as suffix_array_module
+import strata.llm.suffix_automaton as suffix_automaton_module
 from strata.llm.suffix_array import common_prefixes, dedup_bytes, suffix_array
 from strata.llm.suffix_automaton import Automaton, dedup_words
 from tests.llm.conftest import sentence
@@ -64,10 +66,12 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("crowded", [engine.CROWDED, 1])
-def test_both_match_brute_force(frame, monkeypatch, crowded):
-    monkeypatch.setattr(engine, "CROWDED", crowded)
-    rows = corpus(1)
+@pytest.mark.parametrize("crowded, fan, seed", [(2000, 8, 1), (1, 8, 1), (1, 1, 1), (1, 3, 4)])
+def test_both_match_brute_force(frame, monkeypatch, crowded, fan, seed):
+    monkeypatch.setattr(suffix_array_module, "CROWDED", crowded)
+    monkeypatch.setattr(suffix_automaton_module, "CROWDED", crowded)
+    monkeypatch.setattr(engine, "FAN", fan)
+    rows = corpus(seed)
     docs = frame(rows)
     assert got(dedup_bytes(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_of(rows)
     assert got(dedup_words(docs), "n_words", "n_removed", "kept_sha256") == words_of(rows)
