@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from strata.llm._text import Rolling, U, covered, mix, ranges, release, slices, sliding
+from strata.llm._text import SLICE, Rolling, U, covered, mix, ranges, release, slices, sliding
 from strata.session import materialize
 
 CHUNK = 4 << 20          # bytes of text in a chunk
@@ -81,7 +81,7 @@ def _chunks(batches):
             continue
         column = batch.column(1).cast(pa.large_binary()).fill_null(b"")
         doc = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-        for i, j, data, offsets in slices(column):
+        for i, j, data, offsets in slices(column, CHUNK):
             ids.append(doc[i:j])
             texts.append((data.tobytes(), offsets.copy()))
             held += len(data)
@@ -113,7 +113,7 @@ def _occurrences(job: Repeats, texts: list, rolling: Rolling):
         row += len(offsets) - 1
 
 
-def _parts(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20):
+def _parts(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE):
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)

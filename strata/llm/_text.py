@@ -6,13 +6,18 @@ arrays; a Python loop never runs over characters or words.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C16 | 1                     # odd; BASE - 1 has a single factor of 2
 INVERSE = pow(BASE, -1, 1 << 64)
-SLICE = 1 << 20                                   # bytes of text handled by one array step
+SLICE = 1 << 18                                   # bytes of text handled by one array step
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -139,3 +144,29 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     np.add.at(delta, starts, 1)
     np.add.at(delta, ends, -1)
     return np.cumsum(delta[:-1]) > 0
+
+
+def with_results(docs: DataFrame, text_col: str, run, schema: StructType) -> DataFrame:
+    """Columns ``doc`` (a struct of the input's columns) and those of ``schema``, which
+    ``run`` makes of the texts: a function from an iterator of text arrays to one of struct
+    arrays. Only texts go to Python, and only results come back."""
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(texts)
+        release()
+
+    # not deterministic for the optimizer: a filter on a result must not evaluate it again
+    made = F.arrow_udf(scored, schema).asNondeterministic()
+    names = docs.columns
+    doc = F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")
+    out = docs.select(doc, F.col(f"`{text_col}`").cast("string").alias("t")).select("doc", made("t").alias("made"))
+    return out.select("doc", *[F.col(f"made.{f.name}") for f in schema.fields])
+
+
+def release() -> None:
+    """Gives freed memory back at the end of a task: a worker that Spark uses again should
+    not hold the most that any earlier task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass                                      # another C library

@@ -30,10 +30,12 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import (ArrayType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
+from strata.llm._text import with_results
+
 WORDS = 200_000            # results of words that a task keeps
 
 
@@ -331,16 +333,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text",
     here and sent to the tasks."""
     with open(tokenizer, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
-    at = names.index(text_col)
 
-    def run(batches):
+    def run(texts):
         merges = Merges(json.loads(source.value))
         encoder = Encoder(merges)
-        for batch in batches:
-            doc = batch.column(0)
-            text = doc.field(at)
+        for text in texts:
+            parts = []
             for i, j in _blocks(text):
                 made = {c: [] for c in columns}
                 counts = []
@@ -361,7 +359,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text",
                         machine = Decoder(merges)
                         made["plain_text"].append("".join(map(machine.push, np.frombuffer(ids, np.int32).tolist()))
                                                   + machine.close())
-                arrays = [doc.slice(i, j - i)]
+                arrays = []
                 for c in columns:
                     if c == "n_tokens":
                         arrays.append(pa.array(counts, pa.int64()))
@@ -371,17 +369,19 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text",
                             offsets, pa.array(np.frombuffer(b"".join(made[c]), np.int32))))
                     else:
                         arrays.append(pa.array(made[c], pa.string()))
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc", *columns])
+                parts.append(pa.StructArray.from_arrays(arrays, names=list(columns)))
+            yield pa.concat_arrays(parts)
 
-    schema = StructType([*packed.schema.fields, *[StructField(c, COLUMNS[c]) for c in columns]])
-    return packed.mapInArrow(run, schema)
+    return with_results(docs, text_col, run, StructType([StructField(c, COLUMNS[c]) for c in columns]))
 
 
 def _blocks(text: pa.Array, limit: int = 1 << 20):
-    """Row ranges of about ``limit`` bytes."""
+    """Row ranges of about ``limit`` bytes (one of no rows for an empty array)."""
     size = pa.compute.binary_length(text.cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(size)
     i = 0
+    if not len(size):
+        yield 0, 0
     while i < len(size):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
         yield i, j

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from strata.llm._text import slices
+from strata.llm._text import slices, with_results
 
 SAMPLE, DIMENSIONS, ROWS = 400, 4096, 256
 
@@ -165,20 +165,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
     """Columns ``doc`` (a struct of the input's columns), lang_pred and score."""
-    def run(batches):
-        for batch in batches:
-            doc = batch.column(0)
-            text = doc.field(names.index(text_col)).cast(pa.large_string())
+    def run(texts):
+        for text in texts:
+            text = text.cast(pa.large_string())
             letters = pc.match_substring_regex(text, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
-            lang, score = np.full(len(doc), "und", object), np.zeros(len(doc))
+            lang, score = np.full(len(text), "und", object), np.zeros(len(text))
             if model:
                 for i, j, x in features(text):
                     lang[i:j], score[i:j] = predict(model, x)
             lang[~letters], score[~letters] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([doc, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=["doc", "lang_pred", "score"])
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
-    schema = StructType([*packed.schema.fields, StructField("lang_pred", StringType()),
-                         StructField("score", DoubleType())])
-    return packed.mapInArrow(run, schema)
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                             names=["lang_pred", "score"])
+
+    return with_results(docs, text_col, run, StructType([StructField("lang_pred", StringType()),
+                                                         StructField("score", DoubleType())]))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, LongType, StructField,
                                StructType)
 
-from strata.llm._text import BYTE_UNITS, LOWER, Rolling, U, slices
+from strata.llm._text import BYTE_UNITS, LOWER, Rolling, U, slices, with_results
 from strata.session import materialize
 
 MATCH, COVERAGE, BLOCK = 5, 0.5, 500_000
@@ -110,17 +110,16 @@ def _seeds(items: list, least: int, rolling: Rolling):
     return prints[order], owner[order]
 
 
-def _find(block: list, least: int, coverage: float, at: int):
-    """Rows (doc, hits) with the block's hits appended."""
-    def run(batches):
+def _find(block: list, least: int, coverage: float):
+    """Arrays of texts to arrays of the block's hits in each."""
+    def run(texts):
         rolling = Rolling()
         ids = [i for i, _ in block]
         items = [np.frombuffer(w, U) for _, w in block]
         prints, owner = _seeds(items, least, rolling)
-        for batch in batches:
-            doc = batch.column(0)
-            hits = batch.column(1).to_pylist()
-            for first, words, cut in words_of(doc.field(at), rolling):
+        for text in texts:
+            hits: list = [[] for _ in range(len(text))]
+            for first, words, cut in words_of(text, rolling):
                 windows = rolling.windows(rolling.sums(words), least)
                 k = np.minimum(np.searchsorted(prints, windows), len(prints) - 1)
                 places = np.flatnonzero(prints[k] == windows)
@@ -128,17 +127,14 @@ def _find(block: list, least: int, coverage: float, at: int):
                 ok = places + least <= cut[row + 1]
                 places, row = places[ok], row[ok]
                 for r in np.unique(row):
-                    text = words[cut[r]:cut[r + 1]]
+                    here = words[cut[r]:cut[r + 1]]
                     seen = windows[places[row == r]]
                     left, right = np.searchsorted(prints, seen), np.searchsorted(prints, seen, "right")
                     for item in np.unique(np.concatenate([owner[x:y] for x, y in zip(left, right)])):
-                        got = sum(size for _, _, size in tiles(text, items[item], least, rolling))
+                        got = sum(size for _, _, size in tiles(here, items[item], least, rolling))
                         if got >= coverage * len(items[item]):
                             hits[first + int(r)].append((ids[item], got / len(items[item])))
-            yield pa.RecordBatch.from_arrays(
-                [doc, pa.array([sorted(h, key=lambda x: (x[0] is None, x)) for h in
-                                ([tuple(y.values()) if isinstance(y, dict) else y for y in h] for h in hits)],
-                               hit_type)], names=["doc", "hits"])
+            yield pa.StructArray.from_arrays([pa.array(hits, hit_type)], names=["found"])
     hit_type = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
     return run
 
@@ -165,16 +161,14 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     listed = materialize(listed)
     total = listed.agg(F.sum(F.length("w") / 8)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_words))
-    names = docs.columns
-    schema = StructType([*docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")).schema.fields,
-                         StructField("hits", HITS)])
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"),
-                      F.array().cast(HITS).alias("hits"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.array().cast(HITS).alias("hits"))
     for b in range(blocks):
         part = listed.filter(F.pmod(F.xxhash64("i", "w"), F.lit(blocks)) == b)
         block = sorted(((r.i, bytes(r.w)) for r in part.collect()), key=lambda x: (x[0] is None, x))
         if block:
-            out = out.mapInArrow(_find(block, least, coverage, names.index(text_col)), schema)
+            out = with_results(out.select("doc", "hits", F.col(f"doc.`{text_col}`").alias("t")), "t",
+                               _find(block, least, coverage), StructType([StructField("found", HITS)]))
+            out = out.select("doc.doc", F.concat("doc.hits", "found").alias("hits"))
             if b + 1 < blocks:
                 out = materialize(out)
-    return out
+    return out.select("doc", F.array_sort("hits").alias("hits"))
