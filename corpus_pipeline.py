@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strata.llm.bpe import encode_decode
 from strata.llm.language import identify, train
 from strata.llm.lines import drop_site_lines
-from strata.llm.minhash import near_duplicates
+from strata.llm.minhash import near_duplicates, row_prints
 from strata.llm.queries import tokenizer_path
 from strata.llm.tiling import find_items
 from strata.session import scratch_path
@@ -39,11 +39,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates (five-word shingles, 0.8) the document with the
     smallest doc_id stays, in one copy; documents with a blank text are in no class."""
     classes = near_duplicates(docs, shingle=5, percent=80, keep_prints=True)
-    stay = classes.filter("kept").select("doc_id", "print_a", "print_b").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("a"),
-                       F.xxhash64("text", F.lit(1)).alias("b"), F.struct("*").alias("doc"))
-    same = (rows["i"].eqNullSafe(stay["doc_id"])) & (rows["a"] == stay["print_a"]) & (rows["b"] == stay["print_b"])
-    return rows.join(stay, same, "left_semi").dropDuplicates(["i", "a", "b"]).select("doc.*")
+    names = ["print_a", "print_b"]
+    stay = classes.filter("kept").select(*names).distinct()
+    rows = docs.select(*row_prints("doc_id", "text"), F.struct("*").alias("doc"))
+    # copies of a row meet in the join's partitions, so dropping them moves nothing more
+    return rows.join(stay, names, "left_semi").dropDuplicates(names).select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

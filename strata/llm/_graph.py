@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from strata.session import materialize
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, c): for every vertex of the links (a, b), the smallest vertex it can reach.
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(v, c): for every vertex of the links (a, b), the smallest vertex it can reach; with
+    ``rounds``, a smaller one that it can reach by the end of so many rounds.
 
     Each round takes the least label among a vertex and its neighbours, then follows that
     label one step further, until no label changes. A hub's links meet their label in a
@@ -19,7 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     both = both.filter("a <> b")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("v"), F.least("a", "m").alias("c")))
-    while True:
+    while rounds is None or rounds > 0:
+        rounds = rounds and rounds - 1
         near = (both.join(labels.withColumnRenamed("v", "b"), "b")
                 .groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m")))
         step = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
@@ -29,3 +31,4 @@ def components(links: DataFrame) -> DataFrame:
         if after.filter("c <> old").isEmpty():
             return after.select("v", "c")
         labels = after.select("v", "c")
+    return labels

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strata.llm._graph import components
-from strata.llm._text import BYTE_UNITS, LOWER, Rolling, U, mix, ranges, slices, word_bounds
+from strata.llm._text import BYTE_UNITS, LOWER, Rolling, U, mix, release, slices, word_bounds
 from strata.session import materialize
 
 COORDINATES = 128          # minwise tokens that estimate similarity, by one byte each
@@ -93,6 +93,7 @@ def _sketches(size: int):
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(cat(n), pa.int64()),
                  pa.array(cat(k1)), pa.array(cat(k2)), pa.array(tokens, pa.binary()), pa.array(marks, pa.binary())],
                 names=["doc_id", "print_a", "print_b", "n", "k1", "k2", "tokens", "marks"])
+        release()
     return run
 
 
@@ -159,6 +160,7 @@ def _by_node(batches, emit):
             yield from emit(table.slice(0, last).combine_chunks())
     if rest is not None:
         yield from emit(rest.combine_chunks())
+    release()
 
 
 def _cuts(node: np.ndarray) -> np.ndarray:
@@ -318,15 +320,20 @@ def _confirm(percent: int):
     return run
 
 
+def row_prints(id_col: str, text_col: str) -> list:
+    """Two fingerprints of a row's id and text; rows that agree in both have the same."""
+    i, text = F.col(id_col).cast("long"), F.col(text_col)
+    return [F.xxhash64(i, F.lit("i"), text).alias("print_a"), F.xxhash64(text, F.lit("t"), i).alias("print_b")]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     percent: int = 85, trees: int = TREES, node_size: int = NODE,
                     keep_prints: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable
     by links of similarity >= percent / 100) and kept (doc_id = component_id); with
-    ``keep_prints`` also print_a and print_b, fingerprints of the text that name the row."""
-    text = F.col(text_col)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"),
-                       F.xxhash64(text).alias("print_a"), F.xxhash64(text, F.lit(1)).alias("print_b"))
+    ``keep_prints`` also print_a and print_b, which name the row (``row_prints``)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"),
+                       *row_prints(id_col, text_col))
     s = percent / 100
     spread = 1 / max(0.5, s - 0.05)               # children of a node, on average
     least = s - 5.2 * math.sqrt(s * (1 - s) / COORDINATES)
@@ -408,7 +415,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = sets(pairs)
         found = confirmed(pairs, full)
         links = found if links is None else links.unionByName(found)
-        classes = components(links)
+        # Labels of a few rounds will do here: a class that is still in pieces costs only
+        # comparisons that were not needed.
+        classes = components(links, rounds=2)
         # What the forests leave open: likely links between classes, in the first trees. Their
         # ends are ends of a forest too, so their sets are at hand.
         first = leaves.filter(F.col("tree") < BORDER)
@@ -416,7 +425,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not rest.isEmpty():
             found = by_node(rest, full.toDF("v", "s").dropDuplicates(["v", "s"])).select("node", "v", "c", "s")
             links = links.unionByName(materialize(found.mapInArrow(_exact(percent), "a long, b long").distinct()))
-            classes = components(links)
+        classes = components(links)
         nodes = None
         if big is not None:
             left = mixed(big, classes)
