@@ -136,5 +136,6 @@ def op4(spark, sf_dir):
     from strata.llm.tiling import find_items
     found = find_items(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc.doc_id", (F.size("hits") > 0).alias("contaminated"),
+                        (F.size("hits") == 0).alias("kept"),
                         F.transform("hits", lambda h: h["item_id"]).alias("item_ids"),
                         F.coalesce(F.array_max(F.transform("hits", lambda h: h["coverage"])), F.lit(0.0)).alias("coverage"))
