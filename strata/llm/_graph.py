@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.session import materialize
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of steps whose results are written: it
+    does so when the driver's JVM collects the plans that nobody holds any more, which else
+    may be long after (spark.cleaner.periodicGC.interval is half an hour)."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(v, c): for every vertex of the links (a, b), the smallest vertex it can reach; with
     ``rounds``, a smaller one that it can reach by the end of so many rounds.

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strata.llm._graph import components
+from strata.llm._graph import components, forget_shuffles
 from strata.llm._text import BYTE_UNITS, LOWER, Rolling, U, mix, release, slices, word_bounds
 from strata.session import materialize
 
@@ -334,6 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``keep_prints`` also print_a and print_b, which name the row (``row_prints``)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"),
                        *row_prints(id_col, text_col))
+    spark = docs.sparkSession
     s = percent / 100
     spread = 1 / max(0.5, s - 0.05)               # children of a node, on average
     least = s - 5.2 * math.sqrt(s * (1 - s) / COORDINATES)
@@ -413,11 +414,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while nodes is not None:
         leaves, big, pairs = grown(nodes, LEVELS)
         full = sets(pairs)
+        forget_shuffles(spark)
         found = confirmed(pairs, full)
         links = found if links is None else links.unionByName(found)
         # Labels of a few rounds will do here: a class that is still in pieces costs only
         # comparisons that were not needed.
         classes = components(links, rounds=2)
+        forget_shuffles(spark)
         # What the forests leave open: likely links between classes, in the first trees. Their
         # ends are ends of a forest too, so their sets are at hand.
         first = leaves.filter(F.col("tree") < BORDER)
@@ -425,12 +428,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not rest.isEmpty():
             found = by_node(rest, full.toDF("v", "s").dropDuplicates(["v", "s"])).select("node", "v", "c", "s")
             links = links.unionByName(materialize(found.mapInArrow(_exact(percent), "a long, b long").distinct()))
+        forget_shuffles(spark)
         classes = components(links)
         nodes = None
         if big is not None:
             left = mixed(big, classes)
             if not left.isEmpty():
                 nodes = left.join(vertices, "v").select("v", "node", "tokens", "tree")
+    forget_shuffles(spark)
     named = (reps.select("k1", "k2", F.col("v")).join(classes, "v", "left")
              .select("k1", "k2", F.coalesce("c", "v").alias("class")))
     prints = ["print_a", "print_b"] if keep_prints else []
