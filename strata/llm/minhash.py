@@ -16,8 +16,8 @@ every link is then confirmed on the full sets. Equal sets are collapsed before t
 a group of copies of any size is one vertex. In an exhaustive node the surest links come
 first (a spanning forest); once confirmed, pairs inside a class need no comparison. Likely
 links that still would join classes are borderline pairs; they are counted exactly, all
-pairs of a node at once, in the nodes of the first ``BORDER`` trees (which hold a pair at the
-threshold but for (1 - s) ** BORDER, 5e-4 for 0.85, of those few). Classes are what is
+pairs of a node at once, in the nodes of all trees: ``BORDER`` trees at a time, with the
+classes computed anew in between, so that later trees find few. Classes are what is
 returned; no group's pairs leave a task.
 
 Cases: NULL or blank text gives an empty set, linked with nothing and kept; fewer words than
@@ -42,7 +42,7 @@ COORDINATES = 128          # minwise tokens that estimate similarity, by one byt
 BRANCHING = 64             # the first of them, whole, branch the trees
 TREES = 10
 NODE = 2048
-BORDER = 4                 # trees in which likely links between classes are counted exactly
+BORDER = 5                 # trees at a time in which likely links between classes are counted exactly
 LEVELS = 6                 # levels of a tree before classes are computed and nodes of one class end
 FACTORS = (mix(np.arange(1, COORDINATES + 1, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
 
@@ -421,14 +421,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # comparisons that were not needed.
         classes = components(links, rounds=2)
         forget_shuffles(spark)
-        # What the forests leave open: likely links between classes, in the first trees. Their
-        # ends are ends of a forest too, so their sets are at hand.
-        first = leaves.filter(F.col("tree") < BORDER)
-        rest = materialize(compared(mixed(first, classes), _open))
-        if not rest.isEmpty():
-            found = by_node(rest, full.toDF("v", "s").dropDuplicates(["v", "s"])).select("node", "v", "c", "s")
-            links = links.unionByName(materialize(found.mapInArrow(_exact(percent), "a long, b long").distinct()))
-        forget_shuffles(spark)
+        # What the forests leave open: likely links between classes, in all trees. Their ends
+        # are ends of a forest too, so their sets are at hand.
+        for first in range(0, trees, BORDER):
+            here = leaves.filter(F.col("tree").between(first, first + BORDER - 1))
+            rest = materialize(compared(mixed(here, classes), _open))
+            if not rest.isEmpty():
+                found = by_node(rest, full.toDF("v", "s").dropDuplicates(["v", "s"])).select("node", "v", "c", "s")
+                links = links.unionByName(materialize(found.mapInArrow(_exact(percent), "a long, b long").distinct()))
+                if first + BORDER < trees:
+                    classes = components(links, rounds=2)
+            forget_shuffles(spark)
         classes = components(links)
         nodes = None
         if big is not None:

@@ -73,6 +73,18 @@ def test_large_group_of_copies_and_near_copies(frame):
     assert {r.component_id for r in out} == {100} and sum(r.kept for r in out) == 1
 
 
+def test_links_that_surer_pairs_shadow_are_found_in_every_tree(frame):
+    rows = []
+    for g in (61, 190, 284):                      # their pair meets in none of the first four trees
+        common = [f"g{g}c{k}" for k in range(47)]
+        sets = [common + [f"g{g}{x}{k}" for k in range(53)] for x in "ab"]         # just above the threshold
+        for x in range(5):                        # just below it, to both
+            sets.append(common[:x] + common[x + 1:] + [f"g{g}x{x}n{k}" for k in range(54)])
+        rows += [(100 * g + i, " ".join(w)) for i, w in enumerate(sets)]
+    out = near_duplicates(frame(rows), shingle=1, percent=30)
+    assert sorted(tuple(r) for r in out.collect()) == brute(rows, 1, 30)
+
+
 def test_near_duplicates_nulls_and_repeats(frame):
     text = "a b c d e f g h"
     out = near_duplicates(frame([(5, text), (5, text), (5, "other words stand here now"), (None, text),
