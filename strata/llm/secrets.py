@@ -44,8 +44,8 @@ LEAST = 0.75
 
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 TOKEN = re.compile(
-    r"(?P<comment>/\*.{0,4000}?\*/)"
-    r"|<(?P<tag>" + NAME + r")>(?P<tagged>[^<>\n]{1,400})</(?P=tag)>"
+    r"(?P<comment>/\*)"
+    r"|<(?P<tag>" + NAME + r")>(?P<tagged>[^<>\n]+)</(?P=tag)>"
     r"|(?P<string>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')"
     r"|(?P<name>" + NAME + r")"
     r"|(?P<op>:=|=>|==|!=|<=|>=|[=:+;,])"
@@ -131,6 +131,7 @@ def pairs(text: str):
                         yield name, *got
                     known[name] = got
 
+    last = text.rfind("*/")
     while pos < n:
         m = TOKEN.search(text, pos)
         if not m:
@@ -141,12 +142,15 @@ def pairs(text: str):
         elif kind == "line" or m["op"] in (";", ","):
             yield from statement(tokens)
             tokens = []
-        elif kind != "comment":
+        elif kind == "comment" and pos <= last:
+            pos = text.find("*/", pos) + 2
+        else:
             tokens.append((kind, m[0], m.start(), m.end()))
     yield from statement(tokens)
 
 
-CANDIDATE = re.compile(r"(?i)(pass|pwd|secret|token|cred|key|auth|bearer|private|salt|signing|encrypt|session|access)")
+# A sensitive word anywhere, also in parts that a name joins; no other text can reach LEAST.
+CANDIDATE = re.compile("(?i)" + "|".join(r"[_.\-]*".join(w) for w in sorted(SENSITIVE)))
 
 
 def method_spans(text: str, base: list) -> list:

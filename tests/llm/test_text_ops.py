@@ -208,6 +208,14 @@ def test_secret_names(text, literal):
     assert [text[a:b] for a, b in spans] == ([literal] if literal else [])
 
 
+def test_secrets_of_any_length():
+    value = "Zx81-kkPq!22" * 60
+    for text, literal in ((f"<clientSecret>{value}</clientSecret>", value), ('client_api = "Zx81-kyPq!93_aB7wLm#Td5"', "Zx81-kyPq!93_aB7wLm#Td5"),
+                          ("/*" + " x" * 3000 + ' db_pwd = "Zx81-kkPq!22" */ y', None), ('/* db_pwd = "Zx81-kkPq!22"', "Zx81-kkPq!22")):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in secrets.scan(text)[2].split(",") if s]
+        assert [text[a:b] for a, b in spans] == ([literal] if literal else [])
+
+
 def plain_lines(rows, percent=10, least=5):
     hosts, count = {}, {}
     for _, t, h in rows:
