@@ -139,3 +139,14 @@ def op4(spark, sf_dir):
                         (F.size("hits") == 0).alias("kept"),
                         F.transform("hits", lambda h: h["item_id"]).alias("item_ids"),
                         F.coalesce(F.array_max(F.transform("hits", lambda h: h["coverage"])), F.lit(0.0)).alias("coverage"))
+
+
+@_query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    """Whole ``embeddings``: up to 16 whitened components of each row."""
+    from strata.llm.whitening import whiten
+    out = whiten(_read(spark, sf_dir, "embeddings"))
+    return (out.select("row.vec_id", "n", "deviation", "explained", "identity_error",
+                       F.posexplode("whitened").alias("at", "whitened"))
+            .select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+                    F.element_at("explained", F.col("at") + 1).alias("explained"), "identity_error"))
