@@ -150,3 +150,11 @@ def op13(spark, sf_dir):
                        F.posexplode("whitened").alias("at", "whitened"))
             .select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
                     F.element_at("explained", F.col("at") + 1).alias("explained"), "identity_error"))
+
+
+@_query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    """Whole ``conversations``, damaged by a checksum of conversation and turn, and repaired."""
+    from strata.llm.conversations import damage, repair
+    rows, left = damage(_read(spark, sf_dir, "conversations"))
+    return repair(rows, copies=left)
