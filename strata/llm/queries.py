@@ -158,3 +158,11 @@ def op12(spark, sf_dir):
     from strata.llm.conversations import damage, repair
     rows, left = damage(_read(spark, sf_dir, "conversations"))
     return repair(rows, copies=left)
+
+
+@_query("op11_best_fit_packing")
+def op11(spark, sf_dir):
+    """Whole ``documents`` through word_bpe_49k.json, in sequences of 4096 ids."""
+    from strata.llm.packing import pack
+    out = pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), by_word=True)
+    return out.select("doc.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
