@@ -14,6 +14,7 @@ from strata.operators.dedupe import dedupe_for, latest_by_key
 from strata.operators.project import project
 from strata.operators.stats import load_stats
 from strata.session import materialize, scratch_path
+from strata.sources import versions
 from strata.sources.writers import (fan_out, overwrite_slice, publish_slice,
                                     read_history, snapshot_slice, upsert_buckets, write_partitioned)
 from strata.spec import ColumnMapping as M
@@ -61,7 +62,7 @@ def snk02(spark, sf):
 def _orders_table(spark, sf):
     orders = t(spark, sf, "orders")
     path = scratch_path(spark, "orders_gold")
-    orders.write.partitionBy("o_orderstatus", "o_orderpriority").parquet(path)
+    versions.commit(spark, orders, path, ["o_orderstatus", "o_orderpriority"])
     return orders, path
 
 
@@ -78,17 +79,15 @@ def snk03(spark, sf):
     """Replace slice (F, 1-URGENT) with repriced rows, clear slice (P, 5-LOW) with an
     empty input; other slices stay as they were."""
     orders, path = _orders_table(spark, sf)
-    current = spark.read.schema(orders.schema).parquet(path)
+    current = versions.read_table(spark, path)
     urgent = {"o_orderpriority": "1-URGENT", "o_orderstatus": "F"}   # any order of columns
     repriced = current.where((F.col("o_orderstatus") == "F")
                              & (F.col("o_orderpriority") == "1-URGENT")) \
         .withColumn("o_totalprice", F.col("o_totalprice") * 1.1)
-    staged = scratch_path(spark, "snk03_stage")   # the new slice must not read its own files
-    repriced.write.parquet(staged)
-    overwrite_slice(spark.read.parquet(staged), path, urgent)
+    overwrite_slice(repriced, path, urgent)        # it may read the slice that it replaces
     empty = current.where(F.lit(False))
     overwrite_slice(empty, path, {"o_orderstatus": "P", "o_orderpriority": "5-LOW"})
-    return spark.read.schema(orders.schema).parquet(path)
+    return versions.read_table(spark, path)
 
 
 @query("snk04_snapshot_slice", f"""
@@ -96,7 +95,7 @@ SELECT *, TIMESTAMP '{LOAD_TS}' AS load_ts FROM orders
 WHERE o_orderstatus = 'O' AND o_orderpriority = '2-HIGH'""")
 def snk04(spark, sf):
     orders, path = _orders_table(spark, sf)
-    current = spark.read.schema(orders.schema).parquet(path)
+    current = versions.read_table(spark, path)
     history = scratch_path(spark, "snk04_history")
     snapshot_slice(spark, current, history, {"o_orderstatus": "O", "o_orderpriority": "2-HIGH"},
                    LOAD_TS)
@@ -118,7 +117,7 @@ def snk05(spark, sf):
                  .withColumn("o_totalprice", F.round("o_totalprice"))
     publish_slice(spark, gold, serving, sl)
     publish_slice(spark, gold, serving, sl)
-    return spark.read.schema(orders.schema).parquet(serving)
+    return versions.read_table(spark, serving)
 
 
 @query("snk06_fan_out", f"""

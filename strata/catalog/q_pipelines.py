@@ -18,6 +18,7 @@ from strata.plans.gold import GoldJob, run_gold
 from strata.plans.silver import SilverJob, run_silver
 from strata.plans.steps import run_steps
 from strata.session import scratch_path
+from strata.sources import versions
 from strata.sources.readers import register_inputs
 from strata.spec import ColumnMapping as M
 from strata.spec import LoadSpec
@@ -237,7 +238,7 @@ def pl02(spark, sf):
                                    customer="pl02_customer_temp_vw") + " GROUP BY ALL")
     old = with_audit_stamp(old, GOLD_TS0, "init")
     for path in (gold_path, serving):
-        old.write.partitionBy("o_orderstatus", "o_orderpriority").parquet(path)
+        versions.commit(spark, old, path, ["o_orderstatus", "o_orderpriority"])
     job = GoldJob(
         table_name="order_totals",
         steps=[("slice_totals", _TOTALS.format(orders="orders_temp_vw", customer="customer_temp_vw")

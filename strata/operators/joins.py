@@ -83,13 +83,15 @@ def drop_stale(src: DataFrame, target: DataFrame, keys: Sequence[str], ts: str,
 
     The rule is ``src.ts > COALESCE(target.ts, '1970-01-01 00:00:00')`` with a strict
     ``>`` (equal times are stale), unmatched rows pass when newer than 1970, a NULL time
-    never passes and NULL keys never match. The target is first reduced to ``max(ts)``
-    per key (partial aggregation, no fan-out on repeated target keys); the output has
-    exactly the source columns.
+    never passes and NULL keys never match. Of the target only rows with a key of the source
+    count (a semi-join: a small source is broadcast by size, and then only those rows move);
+    they are reduced to ``max(ts)`` per key, so repeated target keys do not fan out. The
+    output has exactly the source columns. The source is read twice: pass a written one.
     """
     keys = list(keys)
     tts = target_ts or ts
-    newest = (target.where(F.col(tts).isNotNull())
+    newest = (target.where(F.col(tts).isNotNull()).select(*keys, tts)
+              .join(src.select(*keys), keys, "left_semi")
               .groupBy(*keys).agg(F.max(tts).alias("__target_ts")))
     ts_type = src.schema[ts].dataType
     joined = src.join(newest, on=keys, how="left")

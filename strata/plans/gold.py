@@ -15,6 +15,7 @@ from strata.plans.steps import run_steps
 from strata.session import materialize, scratch_path
 from strata.sources import fs
 from strata.sources.readers import register_inputs, slice_predicate
+from strata.sources.versions import read_table
 from strata.sources.writers import overwrite_slice, publish_slice, snapshot_slice
 from strata.spec import AuditColumns
 
@@ -64,12 +65,11 @@ def run_gold(spark: SparkSession, inputs: Mapping[str, DataFrame], job: GoldJob)
                                          scratch_path(spark, f"{job.table_name}-quarantine"))
         else:
             shaped = materialize(shaped)
-        gold = spark.read.schema(schema)
         if job.history_path and fs.exists(spark, job.gold_path):
-            snapshot_slice(spark, gold.parquet(job.gold_path), job.history_path,
+            snapshot_slice(spark, read_table(spark, job.gold_path, schema), job.history_path,
                            job.slice_values, job.load_ts)
         overwrite_slice(shaped, job.gold_path, job.slice_values)
-        result = gold.parquet(job.gold_path)
+        result = read_table(spark, job.gold_path, schema)
         if job.serving_path:
             fresh = result.where(slice_predicate(job.slice_values))
             result = publish_slice(spark, fresh, job.serving_path, job.slice_values)

@@ -17,10 +17,10 @@ from strata.operators.stats import load_stats
 from strata.plans.audit import AuditEvent, audit_log
 from strata.plans.steps import plan_shape
 from strata.session import materialize, scratch_path
-from strata.sources import fs
-from strata.sources.readers import read_job_slice, read_target, read_target_slice
-from strata.sources.writers import (append_table, check_keys, commit_table, restore_table,
-                                    upsert, upsert_buckets)
+from strata.sources import versions
+from strata.sources.readers import read_job_slice, read_target_slice
+from strata.sources.writers import (bucketed, buckets_in, check_keys, partition_columns, read_buckets,
+                                    restore_table, upsert, upsert_buckets)
 from strata.spec import ColumnMapping, LoadSpec
 
 
@@ -62,9 +62,32 @@ def _target_schema(job: SilverJob, audit_cols: Sequence[str]):
     return T.StructType(fields)
 
 
+def _base(spark: SparkSession, job: SilverJob, schema) -> versions.Version | None:
+    """The version that the load builds on; a plain table is taken over as it lies."""
+    if job.buckets:
+        return bucketed(spark, job.target_path, schema, job.load.merge_key, job.buckets)
+    return versions.adopt(spark, job.target_path, schema, partition_columns(spark, job.target_path))
+
+
+def _matching_target(spark: SparkSession, job: SilverJob, base: versions.Version, schema, batch: DataFrame) -> DataFrame:
+    """The target's rows that the stale filter may need: of a table in key buckets only the
+    batch's buckets are read, where the stale join is on the bucket keys (and more)."""
+    spec = job.load
+    if job.buckets:
+        touched = None
+        if {k.lower() for k in spec.merge_key} <= {k.lower() for k in spec.target_join_columns}:
+            touched = buckets_in(batch, spec.merge_key, job.buckets)
+        target = read_buckets(spark, job.target_path, base, schema, touched)
+    else:
+        target = versions.read(spark, job.target_path, base, schema=schema)
+    return read_target_slice(target, job.target_slice) if job.target_slice else target
+
+
 def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob, targets: int = 1) -> SilverResult:
     """PL-1. The shape (dedupe / stale) is chosen from this target's own flags (PL-5).
-    The prepared batch is written once (quarantine split or checkpoint) before the upsert.
+    The prepared batch is written once before the stale filter and the upsert read it, and
+    the load is published by one rename (``versions``): cut off at any point, it leaves the
+    old table. Of a target in key buckets only those of the batch are read.
 
     Order of steps: job slice (SRC-2), dedupe, mapping, stale filter on the source's own
     times, audit stamp of the columns that bronze lacks (PRJ-5, PRJ-6), rules, commit. With
@@ -95,15 +118,6 @@ def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob, targets:
         rejected = "_rejected" in out.columns
         stamped = with_audit_stamp(out, job.load_ts, job.job_id, audit, only_absent=True)
         schema = _target_schema(job, [c for c in audit.all() if c in stamped.columns])
-        exists = fs.exists(spark, job.target_path)
-        target = read_target(spark, job.target_path, schema)
-        if shape.endswith("stale") and exists:
-            tslice = read_target_slice(target, job.target_slice) if job.target_slice else target
-            # a row that cannot be cast is no newer or older than another: it is quarantined
-            bad_rows = stamped.where("_rejected") if rejected else None
-            fresh = stamped.where("NOT _rejected") if rejected else stamped
-            stamped = drop_stale(fresh, tslice, list(spec.target_join_columns), spec.target_audit_column)
-            stamped = stamped.unionByName(bad_rows) if rejected else stamped
         diff = schema_diff(stamped.select(*[f.name for f in schema.fields if f.name in stamped.columns]),
                            schema)
         problems = diff.where(F.col("issue") != "extra").collect()  # schema metadata only
@@ -111,29 +125,38 @@ def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob, targets:
             raise ValueError(f"{table}: frame does not match target schema: {problems}")
         extra = ["_rejected"] if rejected else []
         batch = stamped.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], *extra)
-        # materialize the prepared batch once: the key check and the upsert both read it,
-        # so dedupe, stale join and mapping run once (rules: one tagged write, good/bad)
+        base = _base(spark, job, schema)
+        stale = shape.endswith("stale") and base is not None
+        # the prepared batch is written once: what comes after (the target's reduction, the
+        # key check, the upsert) reads it, so dedupe and mapping run once
+        if stale:
+            batch = materialize(batch)
+            target = _matching_target(spark, job, base, schema, batch)
+            # a row that cannot be cast is no newer or older than another: it is quarantined
+            bad_rows = batch.where("_rejected") if rejected else None
+            fresh = batch.where("NOT _rejected") if rejected else batch
+            batch = drop_stale(fresh, target, list(spec.target_join_columns), spec.target_audit_column)
+            batch = batch.unionByName(bad_rows) if rejected else batch
         bad = None
         rules = [*job.rules, *([REJECTED] if rejected else [])]
         if rules:
             batch, bad = quarantine_write(batch, rules, scratch_path(spark, f"{table}-batch"))
             batch, bad = batch.drop("_rejected"), bad.drop("_rejected")
-        else:
+        elif not stale:
             batch = materialize(batch)
         created = [audit.created_time, audit.created_by]
         if spec.merge_type == "upsert":
             check_keys(batch, spec.merge_key)
         if job.buckets:
-            committed = upsert_buckets(spark, batch, job.target_path, schema, spec.merge_key, job.buckets, created)
-        elif spec.merge_type == "upsert" and exists:
-            merged = upsert(target, batch, spec.merge_key, validate=False, keep=created)
-            commit_table(spark, merged, job.target_path, spec.partition_columns, schema)
-        elif spec.merge_type == "append" and exists:
-            append_table(batch, job.target_path, spec.partition_columns)
+            committed = upsert_buckets(spark, batch, job.target_path, schema, spec.merge_key, job.buckets, created,
+                                       prepared=True)
         else:
-            commit_table(spark, batch, job.target_path, spec.partition_columns, schema)
-        if not job.buckets:
-            committed = spark.read.schema(schema).parquet(job.target_path)
+            replaces = () if spec.merge_type == "append" else versions.ALL
+            if spec.merge_type == "upsert" and base is not None:
+                batch = upsert(versions.read(spark, job.target_path, base, schema=schema), batch, spec.merge_key,
+                               validate=False, keep=created)
+            done = versions.commit(spark, batch, job.target_path, spec.partition_columns, replaces, base)
+            committed = versions.read(spark, job.target_path, done, schema=schema)
         stats = load_stats(committed, job.load_ts, audit.created_time, audit.updated_time)
         message, count = f"{shape} load succeeded", committed.count()
     except Exception as e:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.sources import fs
+from strata.sources import fs, versions
 
 
 def layer_path(root: str, layer: str | None, table: str) -> str:
@@ -19,11 +19,15 @@ def layer_path(root: str, layer: str | None, table: str) -> str:
 
 def read_layer(spark: SparkSession, root: str, layer: str | None, table: str,
                merge_schema: bool = False) -> DataFrame:
-    """SRC-1: scan a layer table. Filters and column pruning reach the parquet scan."""
+    """SRC-1: scan a layer table, versioned or plain. Filters and column pruning reach the
+    parquet scan."""
+    path = layer_path(root, layer, table)
+    if versions.is_versioned(spark, path):
+        return versions.read_table(spark, path)
     reader = spark.read
     if merge_schema:
         reader = reader.option("mergeSchema", "true")
-    return reader.parquet(layer_path(root, layer, table))
+    return reader.parquet(path)
 
 
 def read_job_slice(df: DataFrame, id_col: str, job_id: str) -> DataFrame:
@@ -51,8 +55,7 @@ def read_target(spark: SparkSession, path: str, schema: T.StructType | None = No
     not exist. Any other error (unreadable files, no rights) is raised."""
     if schema is not None and not fs.exists(spark, path):
         return spark.createDataFrame([], schema)
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path)
+    return versions.read_table(spark, path, schema)
 
 
 def slice_predicate(slice_values: Mapping[str, object]) -> Column:

@@ -1,8 +1,9 @@
 """Sinks (SNK-1..SNK-6).
 
-Parquet has no MERGE, so an upsert is a left-anti join plus a union written to a new
-path and swapped in. A slice overwrite is a dynamic partition overwrite of the slice's
-partition; an empty input clears it (dynamic overwrite alone would leave it untouched).
+Parquet has no MERGE, so an upsert is a left-anti join plus a union. Loads write the
+partitions that they touch into a folder of their own and publish them with one rename
+(``versions``), so a lost driver leaves the old table or the new one. Plain Parquet tables
+are written in place, with what Spark's commit protocol gives.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from functools import reduce
 from operator import or_
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.session import materialize, scratch_path
-from strata.sources import fs
+from strata.sources import fs, versions
 from strata.sources.readers import slice_predicate
 from strata.spec import TargetSpec
 
@@ -117,37 +118,59 @@ def commit_table(spark: SparkSession, df: DataFrame, path: str,
 BUCKET = "__bucket"
 
 
-def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A bucketed table's rows, with the bucket each lies in."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    """The key bucket that a row lies in."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def bucketed(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str],
+             buckets: int) -> versions.Version | None:
+    """The last version of a table in key buckets (a plain one is taken over as it lies);
+    an error where it lies in other buckets than asked for."""
+    full = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+    layout = {"keys": list(keys), "buckets": buckets}
+    base = versions.adopt(spark, path, full, [BUCKET], layout)
+    if base is not None and base.options != layout:
+        raise ValueError(f"{path} lies in buckets {base.options}, not {layout}")
+    return base
+
+
+def read_buckets(spark: SparkSession, path: str, base: versions.Version, schema: T.StructType,
+                 touched: Sequence[int] | None = None) -> DataFrame:
+    """The rows of a table in key buckets, or of the buckets ``touched``, without the bucket."""
+    only = None if touched is None else {f"{BUCKET}={b}" for b in touched}
+    full = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+    return versions.read(spark, path, base, only, full).drop(BUCKET)
+
+
+def buckets_in(df: DataFrame, keys: Sequence[str], buckets: int) -> list[int]:
+    """The buckets that a frame's keys lie in (a list bounded by the number of buckets)."""
+    return sorted(r[0] for r in df.select(bucket_of(keys, buckets)).distinct().collect())
 
 
 def upsert_buckets(spark: SparkSession, source: DataFrame, path: str, schema: T.StructType,
-                   keys: Sequence[str], buckets: int, keep: Sequence[str] = ()) -> DataFrame:
-    """SNK-1 on a table that is laid out in ``buckets`` directories by a hash of its keys: only
-    the buckets that the source touches are read and rewritten (their list is bounded by the
-    number of buckets); the files of the others stay as they are. Each bucket is replaced as
-    one partition when the job commits; an upsert that is run again gives the same table.
-    The first load creates the table. Returns the table's rows."""
-    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    batch = materialize(source.select(*schema.names).withColumn(BUCKET, place))
-    check_keys(batch, keys)
+                   keys: Sequence[str], buckets: int, keep: Sequence[str] = (),
+                   prepared: bool = False) -> DataFrame:
+    """SNK-1 on a table that is laid out in ``buckets`` folders by a hash of its keys: only
+    the buckets that the source touches are read and written anew (their list is bounded by
+    the number of buckets); the files of the others stay as they are. The new folders are
+    published together, on top of the version that was read: a load that was cut off at any
+    point leaves the old table, and an upsert that is run again gives the same table. The
+    first load creates the table. ``prepared``: the source is written already and its keys
+    are proven. Returns the table's rows."""
+    batch = source.select(*schema.names)
+    if not prepared:
+        batch = materialize(batch)
+        check_keys(batch, keys)
+    base = bucketed(spark, path, schema, keys, buckets)
     merged = batch
-    if fs.exists(spark, path):
-        touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]
-        old = read_buckets(spark, path, schema).where(F.col(BUCKET).isin(touched))
+    if base is not None:
+        old = read_buckets(spark, path, base, schema, buckets_in(batch, keys, buckets))
         merged = upsert(old, batch, keys, validate=False, keep=keep)
-    (clustered(merged, [BUCKET]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(BUCKET).parquet(path))
-    return read_buckets(spark, path, schema).drop(BUCKET)
-
-
-def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Adds rows to a table; the files that are there stay as they are."""
-    w = clustered(df, partition_by).write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    merged = merged.withColumn(BUCKET, bucket_of(keys, buckets))
+    done = versions.commit(spark, merged, path, [BUCKET], base=base, written=True,
+                           options={"keys": list(keys), "buckets": buckets})
+    return read_buckets(spark, path, done, schema)
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str]) -> DataFrame:
@@ -177,38 +200,45 @@ def overwrite_slice(df: DataFrame, path: str, slice_values: Mapping[str, object]
     """SNK-3: replace only the rows of one slice (``col1 = v1 AND col2 = v2``).
 
     The table is partitioned by the slice columns, so the slice is one partition and the
-    other slices are not read or rewritten. Spark's dynamic partition overwrite replaces
-    the partition when the job commits, so a job that fails leaves the old slice in place;
-    an empty input clears the slice. The slice's columns must be the table's partition
-    columns (their order in ``slice_values`` does not matter). With ``check``, rows outside
-    the slice fail the load before anything is written.
+    other slices are not read or rewritten; an empty input clears the slice. The slice's
+    columns must be the table's partition columns (their order in ``slice_values`` does not
+    matter). With ``check``, rows outside the slice fail the load before anything is written.
+
+    A new table is a versioned one, and on a versioned table the new slice is published by
+    one rename: a load that is cut off leaves the old slice. A plain Parquet table keeps its
+    layout and is overwritten in place when the job commits, which is two steps (the old
+    partition goes, the new one comes), so a driver lost in between loses the slice;
+    ``versions.adopt`` makes it a versioned table without moving files.
     """
     spark = df.sparkSession
     pred = slice_predicate(slice_values)
     if check and not df.where(~F.coalesce(pred, F.lit(False))).isEmpty():
         raise ValueError(f"rows outside slice {dict(slice_values)}")
-    columns = partition_columns(spark, path) or list(slice_values)
+    base = versions.current(spark, path)
+    plain = base is None and fs.exists(spark, path)
+    columns = (partition_columns(spark, path) if plain else list(base.partition_by) if base else []) or list(slice_values)
     if sorted(columns) != sorted(slice_values):
         raise ValueError(f"slice columns {list(slice_values)} are not the table's partition "
                          f"columns {columns}")
-    if df.isEmpty():
-        clear_slice(spark, path, columns, slice_values)
-        return
-    (clustered(df, columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*columns).parquet(path))
-
-
-def clear_slice(spark: SparkSession, path: str, columns: Sequence[str],
-                slice_values: Mapping[str, object]) -> None:
-    """Removes a slice's directory. Its name is the one Spark itself writes for these values
-    (found through a scratch copy of one row), so no escaping rule is repeated here."""
+    if not plain:
+        versions.commit(spark, df, path, columns, {slice_folder(spark, columns, slice_values)}, base)
+    elif df.isEmpty():
+        fs.delete(spark, f"{path}/{slice_folder(spark, columns, slice_values)}")
+    else:
+        (clustered(df, columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*columns).parquet(path))
+
+
+def slice_folder(spark: SparkSession, columns: Sequence[str], slice_values: Mapping[str, object]) -> str:
+    """A slice's folder below its table. Its name is the one Spark itself writes for these
+    values (found through a scratch copy of one row), so no escaping rule is repeated here."""
     row = spark.range(1).select(*[F.lit(slice_values[c]).cast("string").alias(c) for c in columns],
                                 F.lit(1).alias("__x"))
     probe = scratch_path(spark, "slice-name")
     row.write.partitionBy(*columns).parquet(probe)
-    (found,) = fs.siblings(spark, f"{probe}" + "/*=*" * len(columns))
-    fs.delete(spark, f"{path}/{'/'.join(found.rstrip('/').split('/')[-len(columns):])}")
+    (found,) = versions.folders(spark, probe, columns)
     fs.delete(spark, probe)
+    return found
 
 
 def snapshot_slice(spark: SparkSession, target: DataFrame, history_path: str,
@@ -231,11 +261,11 @@ def read_history(spark: SparkSession, history_path: str, target_schema: T.Struct
 def publish_slice(spark: SparkSession, df: DataFrame, sink_path: str,
                   slice_values: Mapping[str, object]) -> DataFrame:
     """SNK-5: publish a gold slice to the serving copy: the slice is deleted and the
-    re-read slice appended (as one partition overwrite). Rerunning gives the same result;
+    re-read slice appended (as one published partition). Rerunning gives the same result;
     the copy is read back with the frame's types.
     """
     overwrite_slice(df, sink_path, slice_values, check=True)
-    return spark.read.schema(df.schema).parquet(sink_path).select(*df.columns)
+    return versions.read_table(spark, sink_path, df.schema)
 
 
 def fan_out(bronze: DataFrame, targets: Sequence[TargetSpec], build,

@@ -7,6 +7,7 @@ from strata.operators.dedupe import latest_by_key
 from strata.operators.joins import drop_stale
 from strata.plans.audit import read_audit
 from strata.plans.silver import SilverJob, run_silver, run_silver_targets
+from strata.sources.versions import read_table
 from strata.sources.writers import (check_keys, commit_table, overwrite_slice, publish_slice,
                                     restore_table, upsert, write_partitioned)
 from strata.spec import ColumnMapping as M
@@ -152,7 +153,7 @@ def test_silver_refuses_what_it_does_not_know(spark, scratch):
     silver(spark, path, df)
     with pytest.raises(ValueError, match="merge_type"):
         silver(spark, path, df, merge_type="merge")
-    assert spark.read.parquet(path).count() == 1
+    assert read_table(spark, path).count() == 1
     with pytest.raises(ValueError, match="NULL or repeated"):
         silver(spark, scratch("null_key"), spark.createDataFrame([(None, 1)], "k int, v int"))
     with pytest.raises(ValueError, match="one column"):
@@ -190,10 +191,11 @@ def test_append_keeps_old_files(spark, scratch):
     path = scratch("append")
     silver(spark, path, spark.createDataFrame([(1, 1)], "k int, v int"), key=None, merge_type="append")
     local = path.removeprefix("file://").removeprefix("file:")
-    before = {f for f in os.listdir(local) if f.endswith(".parquet")}
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(local) for f in names if f.endswith(".parquet")}
+    before = files()
     silver(spark, path, spark.createDataFrame([(1, 1)], "k int, v int"), key=None, merge_type="append")
-    assert before < {f for f in os.listdir(local) if f.endswith(".parquet")}
-    assert spark.read.parquet(path).count() == 2
+    assert before < files()
+    assert read_table(spark, path).count() == 2
 
 
 def test_rejected_values_are_quarantined(spark, scratch):

@@ -2,6 +2,7 @@
 
 from strata.catalog.q_pipelines import EVENT_LOAD, EVENT_MAPPING
 from strata.plans.silver import SilverJob, run_silver
+from strata.sources.versions import read_table
 from strata.streaming.incremental import incremental_silver
 
 TDATA = "/root/testdata/sf0.001"
@@ -20,8 +21,8 @@ def test_stream_equals_batch(spark, scratch):
     batch = scratch("batch_target")
     run_silver(spark, ev, SilverJob(EVENT_LOAD, EVENT_MAPPING, batch, "2024-06-30 12:00:00", "job-s"))
     cols = ["user_id", "event_type", "ts", "amount", "kind"]
-    got = sorted(tuple(r) for r in spark.read.parquet(streamed).select(*cols).collect())
-    want = sorted(tuple(r) for r in spark.read.parquet(batch).select(*cols).collect())
+    got = sorted(tuple(r) for r in read_table(spark, streamed).select(*cols).collect())
+    want = sorted(tuple(r) for r in read_table(spark, batch).select(*cols).collect())
     assert got == want and len(got) > 0
 
 
