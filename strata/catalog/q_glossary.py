@@ -213,10 +213,15 @@ SELECT o_orderkey,
        CASE WHEN o_totalprice > 200000 THEN 'HIGH' ELSE 'LOW' END AS price_band,
        CASE WHEN TRY_CAST(CASE o_orderstatus WHEN 'F' THEN '1,234' WHEN 'P' THEN 'abc'
                                ELSE CAST(round(o_totalprice / 250) AS VARCHAR) END AS DOUBLE)
-                 > 1000 THEN 'US' ELSE 'IND' END AS currency
+                 > 1000 THEN 'US' ELSE 'IND' END AS currency,
+       CASE WHEN o_orderstatus = 'F' THEN 'here' ELSE 'there' END AS place,
+       CASE WHEN o_orderstatus IN ('F', 'O') THEN 'odd' ELSE 'plain' END AS mark
 FROM orders""")
 def sc17(spark, sf):
-    o = t(spark, sf, "orders").withColumn(
+    """Conditions over numbers, text numbers, and texts that hold backslashes and quotes."""
+    o = t(spark, sf, "orders").withColumn("folder", F.concat(F.lit("C:\\temp\\"), "o_orderstatus")).withColumn(
+        "note", F.when(F.col("o_orderstatus") == "F", "it's \\'x'").when(F.col("o_orderstatus") == "O", 'a "b" \\').otherwise("it"),
+    ).withColumn(
         "amount_text", F.when(F.col("o_orderstatus") == "F", F.lit("1,234"))
         .when(F.col("o_orderstatus") == "P", F.lit("abc"))
         .otherwise(F.round(F.col("o_totalprice") / 250).cast("string")))
@@ -224,6 +229,9 @@ def sc17(spark, sf):
         M("price_band", "STRING",
           transformation='Conditional("o_totalprice > 200000", "HIGH", "LOW")'),
         M("currency", "STRING", transformation='Conditional("amount_text > 1000", "US", "IND")'),
+        M("place", "STRING", transformation="Conditional(\"folder = 'C:\\temp\\F'\", \"here\", \"there\")"),
+        M("mark", "STRING", transformation=(
+            "Conditional('note = \"it''s \\''x''\" or note = \"a \"\"b\"\" \\\"', \"odd\", \"plain\")")),
     ], keep=["o_orderkey"])
 
 
@@ -231,13 +239,17 @@ def sc17(spark, sf):
 SELECT p_partkey,
        CASE WHEN p_size > 40 THEN 'XL' WHEN p_size > 20 THEN 'L' WHEN p_size > 10 THEN 'M'
             ELSE 'S' END AS size_band,
-       CASE WHEN p_type = 'SMALL' THEN 'small' END AS small_flag
+       CASE WHEN p_type = 'SMALL' THEN 'small' END AS small_flag,
+       CASE WHEN p_size > 40 THEN 'root' WHEN p_size > 20 THEN 'quoted' ELSE 'none' END AS path_kind
 FROM part""")
 def sc18(spark, sf):
-    return project(t(spark, sf, "part"), [
+    p = t(spark, sf, "part").withColumn("path", F.when(F.col("p_size") > 40, "\\\\srv\\n").when(F.col("p_size") > 20, "o'neil\\").otherwise("x"))
+    return project(p, [
         M("size_band", "STRING", transformation=(
             'CaseWhen("p_size > 40", "XL", "p_size > 20", "L", "p_size > 10", "M", "S")')),
         M("small_flag", "STRING", transformation="CaseWhen(\"p_type = 'SMALL'\", \"small\")"),
+        M("path_kind", "STRING", transformation=(
+            "CaseWhen(\"path = '\\\\srv\\n'\", \"root\", \"path = 'o''neil\\'\", \"quoted\", \"none\")")),
     ], keep=["p_partkey"])
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.functions.terms import SQL_WORDS, Arg, Term, TermError
+from strata.functions.terms import SQL_WORDS, Arg, Term, TermError, text_literal, unquoted
 
 # String formats tried, in order, when a date arrives as text and the
 # mapping gives no format (the approved mapping carries yyMMdd dates).
@@ -83,7 +83,7 @@ def normalise_date_pattern(p: str) -> str:
 
 
 _TOKEN = re.compile(
-    r"(?P<ws>\s+)|(?P<str>'[^']*'|\"[^\"]*\")|(?P<num>\d+(?:\.\d+)?)"
+    r"(?P<ws>\s+)|(?P<str>'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\")|(?P<num>\d+(?:\.\d+)?)"
     r"|(?P<id>`[^`]+`|[A-Za-z_][A-Za-z_0-9]*)|(?P<op><=|>=|<>|!=|[-+*/%()<>=,])")
 _CMP = {"<", ">", "<=", ">=", "=", "<>", "!="}
 
@@ -107,7 +107,7 @@ def sql_expression(text: str, ctx: TermContext, numeric: bool = False) -> Column
     out = []
     for i, (kind, tok) in enumerate(toks):
         if kind == "str":
-            out.append("'" + tok[1:-1].replace("'", "\\'") + "'")
+            out.append(text_literal(unquoted(tok)))
         elif kind == "id" and tok.lower() in SQL_WORDS:
             out.append(tok.upper())
         elif kind == "id":

@@ -60,6 +60,31 @@ class Term:
     raw: str = ""
 
 
+def text_literal(value: str) -> str:
+    """A text as a SQL expression whose bytes are spelled out: no quote, backslash or line end
+    in it means anything to the parser, whatever its settings. The optimizer folds the cast."""
+    return f"CAST(X'{value.encode('utf-8').hex()}' AS STRING)"
+
+
+def unquoted(token: str) -> str:
+    """The text of a quoted token; a quote inside it is written twice, a backslash is itself."""
+    q = token[0]
+    return token[1:-1].replace(q + q, q)
+
+
+_QUOTED = re.compile(r"(?is)(\b(?:date|timestamp|timestamp_ntz|timestamp_ltz|interval|x|r)\s*)?('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\")|`[^`]*`")
+
+
+def plain_backslashes(sql: str) -> str:
+    """A condition of a mapping with the backslashes in its quoted texts meant as themselves."""
+    def spelled(m: re.Match) -> str:
+        if m[1] or not m[2] or "\\" not in m[2]:
+            return m[0]                           # a typed literal, a name, or a text without one
+        return text_literal(unquoted(m[2]))
+
+    return _QUOTED.sub(spelled, sql)
+
+
 _NUM = re.compile(r"^[+-]?\d+(\.\d+)?$")
 _NAME = re.compile(r"^\s*([A-Za-z_][A-Za-z_ ]*?)\s*(?=\(|:|$)")
 
@@ -110,7 +135,7 @@ def _closing(text: str, start: int) -> int:
 def parse_arg(text: str) -> Arg:
     t = text.strip()
     if len(t) >= 2 and t[0] == t[-1] and t[0] in "\"'":
-        return Arg("lit", t[1:-1])
+        return Arg("lit", unquoted(t))
     if _NUM.match(t):
         return Arg("num", t)
     return Arg("ident", t)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.glossary import DEFAULT_DATE_FORMATS, TermContext, apply_term
-from strata.functions.terms import TermError, parse_cell, term_references
+from strata.functions.terms import TermError, parse_cell, plain_backslashes, term_references
 from strata.spec import AuditColumns, ColumnMapping
 
 _SIMPLE_TYPES = {
@@ -196,11 +196,12 @@ def expr_with_params(spark: SparkSession, sql: str, params: Mapping | None = Non
 
 
 def apply_filters(df: DataFrame, filters: Iterable[str | Column | None]) -> DataFrame:
-    """FIL-1: per-source filters from the mapping, applied before any join."""
+    """FIL-1: per-source filters from the mapping, applied before any join. A filter is a SQL
+    boolean expression; a backslash in a quoted text of it is a backslash."""
     for f in filters:
         if f is None or (isinstance(f, str) and not f.strip()):
             continue
-        df = df.where(F.expr(f) if isinstance(f, str) else f)
+        df = df.where(F.expr(plain_backslashes(f)) if isinstance(f, str) else f)
     return df
 
 

@@ -15,6 +15,7 @@ from typing import Any, Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.terms import plain_backslashes
 from strata.operators.project import apply_filters
 from strata.plans.silver import SilverJob, SilverResult, run_silver
 from strata.spec import ColumnMapping, LoadSpec
@@ -110,7 +111,7 @@ def joined_sources(tables: Mapping[str, DataFrame], mappings: Sequence[ColumnMap
         if len(conditions) != 1:
             raise MappingError(f"source table {t} needs one join condition, it has {conditions}")
         found = JOIN.match(conditions[0])
-        frame = frame.join(source(t), F.expr(found["cond"]), (found["how"] or "inner").lower())
+        frame = frame.join(source(t), F.expr(plain_backslashes(found["cond"])), (found["how"] or "inner").lower())
         for c in tables[t].columns:
             place[t, c] = c if c not in names else f"{t}__{c}"
             names[place[t, c]] = f"`{t}`.`{c}`"

@@ -207,3 +207,33 @@ def test_text_against_signed_numbers_and_zero_divisors(spark):
     assert one('Conditional("t NOT IN (7, 8)", "y", "n")') == ["y", "n", "n"]
     assert one("NumericCalculation(8 / z)", "reject", "DOUBLE") == [None, 4.0, 2.0]
     assert one("NumericCalculation(8 / (z * 1) + 1)", "reject", "DOUBLE") == [None, 5.0, 3.0]
+
+
+TEXTS = ["C:\\temp", "it's", 'say "hi"', "a\\'b", "two\nlines", "end\\", "\\\\host\\n", "') OR ('1'='1", "é\t'", "%_"]
+
+
+def test_quoted_text_in_conditions_is_plain_text(spark):
+    """A backslash, quotes of both kinds (doubled inside their own) and line ends mean themselves."""
+    src_ = spark.createDataFrame([(str(i), x) for i, x in enumerate(TEXTS)], "id string, p string")
+    for i, x in enumerate(TEXTS):
+        single, double = x.replace("'", "''"), x.replace('"', '""')
+        for cond in (f"p = '{single}'", f'p = "{double}"', f"p IN ('{single}', 'none')", f"not p <> '{single}'"):
+            quoted = cond.replace('"', '""')
+            for cell in (f'Conditional("{quoted}", "yes", "no")', f'CaseWhen("{quoted}", "yes", "no")'):
+                out = run(src_, M("v", "STRING", transformation=cell))
+                assert [r["id"] for r in out if r["v"] == "yes"] == [str(i)], (cell, out)
+
+
+def test_filters_and_join_conditions_keep_backslashes(spark):
+    from strata.operators.project import apply_filters
+    from strata.plans.documents import joined_sources
+    src_ = spark.createDataFrame([(str(i), x) for i, x in enumerate(TEXTS)], "id string, p string")
+    for i, x in enumerate(TEXTS):
+        if "\\" in x:
+            for text in ("'" + x.replace("'", "''") + "'", '"' + x.replace('"', '""') + '"'):
+                assert [r.id for r in apply_filters(src_, [f"p = {text} AND DATE '2024-01-01' > DATE'2023-01-01'"]).collect()] == [str(i)]
+    other = spark.createDataFrame([("0", "k")], "key string, w string")
+    maps = [M("a", "STRING", "p", source_table="main"), M("w", "STRING", "w", source_table="other",
+                                                          join_condition="main.id = other.key AND main.p = 'C:\\temp'")]
+    frame, _ = joined_sources({"main": src_, "other": other}, maps)
+    assert [tuple(r) for r in frame.select("p", "w").collect()] == [("C:\\temp", "k")]
