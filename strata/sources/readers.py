@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.sources import fs, versions
+from strata.sources.sheets import load_sheets
 
 
 def layer_path(root: str, layer: str | None, table: str) -> str:
@@ -74,21 +75,13 @@ def read_target_slice(df: DataFrame, slice_values: Mapping[str, object]) -> Data
 def load_mapping_sheets(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """SRC-6: mapping sheets as a table, all-blank rows and all-blank columns dropped.
 
-    Sheets arrive as CSV (or JSON lines) files, one or many (sheets are configuration, not
-    data: there are as many files as sheets); every column is text. CSV is read by the
-    usual rules: quotes doubled inside quotes, line breaks inside a quoted cell. Blank
-    columns are found with one aggregate (a count per column), which is one small row.
+    Sheets arrive as CSV (or JSON lines) files, any number of them, each with its own
+    header; every column is text. CSV files are read by one scan (``sheets``), JSON lines by
+    Spark's reader, with one aggregate (a count per column) to find the blank columns.
     """
     if fmt == "csv":
-        files = fs.siblings(spark, path) if "*" in path else (
-            fs.siblings(spark, f"{path.rstrip('/')}/*.csv") or [path])
-        # each file's own header names its columns: sheets may order or omit them differently
-        parts = [spark.read.option("header", "true").option("multiLine", "true")
-                 .option("escape", '"').csv(f) for f in files]
-        raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    else:
-        raw = spark.read.json(path)
-    rows = raw.dropna(how="all")
+        return load_sheets(spark, path)
+    rows = spark.read.json(path).dropna(how="all")
     counts = rows.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}")
                         for i, c in enumerate(rows.columns)]).first()
     keep = [c for i, c in enumerate(rows.columns) if counts[f"c{i}"] > 0]

@@ -64,6 +64,41 @@ def test_mapping_sheets_written_by_other_programs(spark, scratch):
     assert got == [("a", 'Concatenate(x, "|", y)', None), ("b", "two\nlines", None), ("c", "Direct", "orders")]
 
 
+def test_a_thousand_sheets_in_one_scan(spark, scratch):
+    import os
+    path = scratch("many")
+    local = path.removeprefix("file://").removeprefix("file:")
+    os.makedirs(local)
+    for i in range(1000):
+        with open(f"{local}/s{i:04}.csv", "w") as f:
+            f.write(f"Target Column,own {i % 300},{'TRANSFORMATION' if i % 2 else 'Transformation'}\nt{i},v{i},Direct\n")
+    df = load_mapping_sheets(spark, path)
+    assert df.columns[:3] == ["Target Column", "own 0", "Transformation"] and len(df.columns) == 302
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") == 1 and "Union" not in plan
+    got = {r["Target Column"]: r for r in df.collect()}
+    assert len(got) == 1000 and got["t717"]["own 117"] == "v717" and got["t717"]["own 118"] is None
+    assert {r.Transformation for r in got.values()} == {"Direct"}
+
+
+def test_sheet_texts():
+    from strata.sources.sheets import parse_sheet
+    assert parse_sheet('\ufeffa,,a,B\r\n1,2\r\n\r\n"",x,"q""q","l1\r\nl2",more\r\n') == (
+        ["a0", "_c1", "a2", "B"], [["1", "2", None, None], ["", "x", 'q"q', "l1\nl2"]])
+    assert parse_sheet(None) == parse_sheet("") == ([], []) and parse_sheet("a,b") == (["a", "b"], [])
+
+
+def test_sheets_without_rows(spark, scratch):
+    import os
+    path = scratch("none")
+    local = path.removeprefix("file://").removeprefix("file:")
+    os.makedirs(local)
+    for name, text in (("a.csv", "x,y\n"), ("b.csv", "")):
+        with open(f"{local}/{name}", "w") as f:
+            f.write(text)
+    assert load_mapping_sheets(spark, path).columns == []
+
+
 def test_repeated_emission_lookup_is_refused(spark):
     from strata.operators.emissions import to_kwh, unit_table
     df = spark.createDataFrame([(1, "kWh")], "v int, u string").selectExpr("CAST(v AS DECIMAL(18,6)) AS v", "u")
