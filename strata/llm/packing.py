@@ -35,42 +35,75 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import (ArrayType, IntegerType, LongType, StructField, StructType)
 
 from strata.llm._text import with_results
+from strata.llm.bpe import Merges, _blocks
 from strata.session import materialize
 
 RANGE = 100_000                                   # rows of a range that one task sweeps
 RATIO, COARSE = 1.5, 4.0                          # class widths: of long pieces, of short ones
-WORDS = 200_000                                   # results that a task keeps
+WORDS = 500_000                                   # results that a task keeps
+LONG = 64                                         # bytes of a word that merges as a row of arrays
+
+BLOCK = 4 << 20                                   # bytes of text encoded together
+MARK, BETWEEN = "\0", " \0 "                      # a word of its own
 
 PIECE = StructType([StructField("piece", IntegerType()), StructField("start", LongType()),
                     StructField("length", LongType()), StructField("ids_crc32", LongType())])
 
 
 class Ids:
-    """Token ids of texts, as little-endian 32-bit bytes, with a bounded table of words."""
+    """Token ids of texts, as little-endian 32-bit bytes. By word, each part of a text between
+    blanks and line ends is looked up in a bounded table; what is new is cut into words, whose
+    merges run side by side as arrays (``Merges``); long words, and texts with added tokens or
+    NUL characters, go to the tokenizers library."""
 
     def __init__(self, source: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.by_word, self.known = Tokenizer.from_str(source), by_word, {"": b""}
+        self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = Merges(json.loads(source)) if by_word else None
+        self.parts, self.words = {}, {}
 
     def _encoded(self, texts: list) -> list:
         made = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in made]
 
+    def _learn(self, parts: list) -> None:
+        # all parts as one text, a mark behind each: blanks and marks keep words apart
+        words = self.merges.word_pattern.findall(BETWEEN.join([*parts, ""]))
+        if len(self.words) > WORDS:
+            self.words.clear()
+        self.words[MARK] = b""
+        new = list(set(words).difference(self.words))
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        short = [k for k, r in enumerate(raw) if len(r) <= LONG]
+        for k, ids in zip(short, self.merges.merge_many([raw[k] for k in short])):
+            self.words[new[k]] = ids.astype("<u4").tobytes()
+        far = [w for w, r in zip(new, raw) if len(r) > LONG]
+        self.words.update(zip(far, self._encoded(far)))
+        made = list(map(self.words.__getitem__, words))
+        ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
+        marks = np.fromiter(map(MARK.__eq__, words), bool, len(words))
+        cuts = [0, *ends[marks].tolist()]
+        whole = b"".join(made)
+        self.parts.update(zip(parts, [whole[i:j] for i, j in zip(cuts, cuts[1:])]))
+
     def of(self, texts: list):
-        if not self.by_word:
+        if self.merges is None:
             yield from self._encoded(texts)
             return
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for part in words for w in part if w not in self.known})
-        if len(self.known) + len(new) > WORDS:
-            self.known, new = {"": b""}, list({w for part in words for w in part if w})
-        for i in range(0, len(new), 1000):
-            self.known.update(zip(new[i:i + 1000], self._encoded(new[i:i + 1000])))
-        for part in words:
-            yield b"".join(map(self.known.__getitem__, part))
+        odd = [MARK in t or any(a in t for a in self.merges.added) for t in texts]
+        split = [[] if o else self.merges.normal(t).replace("\n", " ").split(" ") for t, o in zip(texts, odd)]
+        known = self.parts
+        if len(known) > WORDS:
+            known.clear()
+        found = [list(map(known.get, parts)) for parts in split]
+        new = {p for parts, ids in zip(split, found) if None in ids for p, i in zip(parts, ids) if i is None}
+        if new:
+            self._learn(list(new))
+        for t, o, parts, ids in zip(texts, odd, split, found):
+            yield self._encoded([t])[0] if o else b"".join([known[p] if i is None else i for p, i in zip(parts, ids)])
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int, closing: int, text_col: str = "text",
@@ -88,8 +121,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, closing: int, text_col: s
         encoder, end = Ids(source.value, by_word), np.array([closing], "<u4").tobytes()
         for text in texts:
             out = []
-            for i in range(0, len(text), 256):
-                for whole in encoder.of([t or "" for t in text.slice(i, 256).to_pylist()]):
+            for i, j in _blocks(text, BLOCK):
+                for whole in encoder.of([t or "" for t in text.slice(i, j - i).to_pylist()]):
                     whole += end
                     rows = []
                     for at in range(0, len(whole), 4 * size):
