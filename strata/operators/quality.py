@@ -12,10 +12,12 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.sources import fs
+
 # Thresholds of the emissions checks.
 MIN_EMISSION_FACTOR = 0.1
 MAX_EMISSION_FACTOR = 3.0
@@ -123,15 +125,27 @@ def quarantine_write(df: DataFrame, rules: Sequence[Rule], path: str) -> tuple[D
     """Single-pass split for large tables: each row is tagged once and written to
     ``<path>/quarantined=false|true`` (the filter-based split evaluates the rule predicates
     in both the filter and the projection). Returns (passing, quarantined) as read back."""
+    return quarantine_counted(df, rules, path)[:2]
+
+
+def quarantine_counted(df: DataFrame, rules: Sequence[Rule], path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """``quarantine_write``, and the rules' results (as ``rule_results``), counted by the
+    tasks that write: no further pass."""
     ids = F.array_compact(F.array(*[F.when(r.failed_col(), F.lit(r.rule_id))
                                     for r in rules]))
     tagged = df.withColumn("failed_rules", ids) \
         .withColumn("quarantined", F.size("failed_rules") > 0)
-    tagged.write.mode("overwrite").partitionBy("quarantined").parquet(path)
+    seen, counts = Observation(), {"__total": F.count(F.lit(1))}
+    counts |= {f"__r{i}": F.count_if(F.array_contains("failed_rules", r.rule_id)) for i, r in enumerate(rules)}
+    (tagged.observe(seen, *[c.alias(name) for name, c in counts.items()])
+     .write.mode("overwrite").partitionBy("quarantined").parquet(path))
+    spark = df.sparkSession
+    some = fs.siblings(spark, f"{path}/quarantined=*")          # without a row nothing is observed
     schema = tagged.schema
-    back = df.sparkSession.read.schema(schema).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
     return (back.where(~F.col("quarantined")).drop("failed_rules", "quarantined"),
-            back.where(F.col("quarantined")).drop("quarantined"))
+            back.where(F.col("quarantined")).drop("quarantined"),
+            counted_results(rules, seen.get if some else dict.fromkeys(counts, 0)))
 
 
 def schema_diff(df: DataFrame, target: T.StructType | Iterable[tuple[str, str]]) -> DataFrame:
@@ -197,24 +211,40 @@ def rule_results(df: DataFrame, rules: Sequence[Rule]) -> dict:
     return out
 
 
+def rule_counts(rules: Sequence[Rule]) -> dict:
+    """The rules as aggregates by name, to be counted while a load is written (DQ-2)."""
+    return {"__total": F.count(F.lit(1))} | {f"__r{i}": F.count_if(r.failed_col()) for i, r in enumerate(rules)}
+
+
+def counted_results(rules: Sequence[Rule], counts: dict) -> dict:
+    """What ``rule_results`` gives, of counts that were taken by ``rule_counts``."""
+    return {r.rule_id: (counts[f"__r{i}"], r.severity, counts["__total"]) for i, r in enumerate(rules)}
+
+
 def compliance(results: dict, missing_required: Sequence[str] = ()) -> bool:
     """Compliant when no required column is missing and no error-severity rule fails."""
     return not missing_required and all(
         failed == 0 for failed, sev, _ in results.values() if sev == "error")
 
 
+def quality_constants(results: dict, missing_required: Sequence[str] = ()) -> dict:
+    """The stamp's columns that follow from the checks: one value for all rows of a load."""
+    failed = sum(1 for n, _, _ in results.values() if n > 0)
+    return {"quality_score": (100 - failed, "int"),
+            "ghg_compliance_status": (compliance(results, missing_required), "boolean")}
+
+
 def with_quality_stamp(df: DataFrame, results: dict, processed_at, factor_source: str,
                        reporting_period: str | None = None,
                        missing_required: Sequence[str] = ()) -> DataFrame:
     """DQ-9: stamp each row with processing time, factor source, period, quality score and
     compliance. Score = 100 - number of failed checks (D6: the reference subtracts the
     number of checks, a constant)."""
-    failed_checks = sum(1 for failed, _, _ in results.values() if failed > 0)
+    score = quality_constants(results, missing_required)
     cols = {
         "processing_timestamp": F.lit(processed_at).cast("timestamp_ntz"),
         "emission_factor_source": F.lit(factor_source),
-        "quality_score": F.lit(100 - failed_checks).cast("int"),
-        "ghg_compliance_status": F.lit(compliance(results, missing_required)),
+        **{c: F.lit(value).cast(kind) for c, (value, kind) in score.items()},
     }
     if reporting_period is not None:
         cols["reporting_period"] = F.lit(reporting_period)

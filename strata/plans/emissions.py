@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from strata.operators.emissions import (emissions_summary, fill_factor, scope_of, to_co2e,
                                         to_kwh, with_lineage)
-from strata.operators.quality import (Rule, compliance, rule_in_set, rule_max, rule_negative,
-                                      rule_range, rule_results, with_quality_stamp)
-from strata.session import materialize
-from strata.sources.writers import write_partitioned
+from strata.operators.quality import (Rule, compliance, counted_results, quality_constants, rule_counts,
+                                      rule_in_set, rule_max, rule_negative, rule_range)
+from strata.sources import versions
 
 # Fields a GHG load must carry.
 REQUIRED_FIELDS = ("emissions_value", "emission_factor", "scope_category", "reporting_period")
@@ -51,8 +50,10 @@ def run_emissions(spark: SparkSession, source: DataFrame, job: EmissionsJob) ->
 
     The transformed rows get ``emissions_value`` = CO2e from kWh x fuel factor, lineage
     and the quality stamp, and are written partitioned by reporting period and scope.
-    All checks run in ONE aggregate: the value/factor/energy checks on the source values
-    (carried along under private names) and the scope check on the transformed rows.
+    The rows are read once and written once: all checks (the value/factor/energy checks on the
+    source values, carried along under private names, and the scope check on the transformed
+    rows) are counted by the tasks that write, and the part of the stamp that follows from
+    them stands in the version file that publishes the load, as it is one value for all rows.
     """
     df = source.withColumns({"__src_value": F.col("emissions_value"),
                              "__src_factor": F.col("emission_factor")})
@@ -65,13 +66,17 @@ def run_emissions(spark: SparkSession, source: DataFrame, job: EmissionsJob) ->
     df = with_lineage(df, job.source_table, job.key_cols or ["business_unit"], "kwh_x_factor")
     checks = [rule_negative("__src_value"), rule_range("__src_factor"),
               rule_max("energy_consumption"), rule_in_set("scope_category")]
-    df = materialize(df)                                # the rules and the write both read it
-    results = rule_results(df, checks)                  # one row per rule (config-sized)
-    df = df.drop("__src_value", "__src_factor")
+    df = df.withColumns({"processing_timestamp": F.lit(job.processed_at).cast("timestamp_ntz"),
+                         "emission_factor_source": F.lit(job.factor_source)})
+    private = ["__src_value", "__src_factor"]
     missing = [c for c in REQUIRED_FIELDS if c not in df.columns]
-    stamped = with_quality_stamp(df, results, job.processed_at, job.factor_source,
-                                 missing_required=missing)
-    written = write_partitioned(stamped, job.target_path, ["reporting_period", "scope_category"])
+    base = versions.current(spark, job.target_path)
+    version, counts = versions.commit_measured(
+        spark, df, job.target_path, ["reporting_period", "scope_category"], versions.ALL, base,
+        measures=versions.Measures(rule_counts(checks), private,
+                                   lambda seen: quality_constants(counted_results(checks, seen), missing)))
+    results = counted_results(checks, counts)           # one entry per rule (config-sized)
+    written = versions.read(spark, job.target_path, version)
     summary = emissions_summary(written)
     report = report_of(spark, results, missing)
     return EmissionsResult(written, summary, report.withColumn(

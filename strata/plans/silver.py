@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strata.operators.dedupe import dedupe_for
 from strata.operators.joins import drop_stale
 from strata.operators.project import apply_filters, parse_type, project, with_audit_stamp
-from strata.operators.quality import Rule, quarantine_write, schema_diff
+from strata.operators.quality import Rule, quarantine_counted, schema_diff
 from strata.operators.stats import load_stats
 from strata.plans.audit import AuditEvent, audit_log
 from strata.plans.steps import plan_shape
@@ -50,6 +50,7 @@ class SilverResult:
     stats: DataFrame
     quarantined: DataFrame | None
     shape: str
+    rules: dict = field(default_factory=dict)   # rule -> (failed, severity, total), counted while writing
 
 
 def _target_schema(job: SilverJob, audit_cols: Sequence[str]):
@@ -137,10 +138,10 @@ def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob, targets:
             fresh = batch.where("NOT _rejected") if rejected else batch
             batch = drop_stale(fresh, target, list(spec.target_join_columns), spec.target_audit_column)
             batch = batch.unionByName(bad_rows) if rejected else batch
-        bad = None
+        bad, results = None, {}
         rules = [*job.rules, *([REJECTED] if rejected else [])]
         if rules:
-            batch, bad = quarantine_write(batch, rules, scratch_path(spark, f"{table}-batch"))
+            batch, bad, results = quarantine_counted(batch, rules, scratch_path(spark, f"{table}-batch"))
             batch, bad = batch.drop("_rejected"), bad.drop("_rejected")
         elif not stale:
             batch = materialize(batch)
@@ -164,7 +165,7 @@ def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob, targets:
         audit_log(spark, job.audit_path, failed, because=e)
         raise
     audit_log(spark, job.audit_path, AuditEvent(table, job.job_id, "S", message, count, job.load_ts))
-    return SilverResult(committed, stats, bad, shape)
+    return SilverResult(committed, stats, bad, shape, results)
 
 
 def run_silver_targets(spark: SparkSession, bronze: DataFrame, jobs: Sequence[SilverJob]) -> dict:

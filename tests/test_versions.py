@@ -175,3 +175,64 @@ def test_a_bucketed_silver_load_reads_only_touched_buckets(spark, scratch, monke
     assert tuple(out.stats.first()) == (300, 0, 1, 299)          # the older row is stale
     assert len({f.split("__bucket=")[1].split("/")[0] for f in seen[0]}) <= 2
     assert os.path.basename(path) and not fs.siblings(spark, f"{path}/_versions/.draft-*")
+
+
+def counted(spark, df):
+    """The frame, and a counter of the rows of it that were made."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(note, df.schema), seen
+
+
+def test_rules_are_counted_while_a_load_is_written(spark, scratch):
+    """The emissions load evaluates its source once; its report and stamp come from that pass."""
+    from strata.catalog.q_emissions import activity, defaults, factors
+    from strata.operators.emissions import unit_table
+    from strata.operators.quality import rule_in_set, rule_max, rule_negative, rule_range, rule_results
+    from strata.plans.emissions import EmissionsJob, run_emissions
+    source = activity(spark, "/root/testdata/sf0.001")
+    n, (frame, seen) = source.count(), counted(spark, source)
+    job = EmissionsJob(scratch("emissions"), "2024-06-30 12:00:00", "IPCC", unit_table(spark), factors(spark), defaults(spark))
+    out = run_emissions(spark, frame, job)
+    assert seen.value == n
+    want = rule_results(source, [rule_negative("emissions_value"), rule_range("emission_factor"), rule_max("energy_consumption"),
+                                 rule_in_set("scope_category")])
+    report = out.report.first().asDict()
+    assert {k: report[k] for k in want} == {k: v[0] for k, v in want.items()} and report["total_records"] == n
+    stamp = out.table.select("quality_score", "ghg_compliance_status").distinct().collect()
+    assert [tuple(r) for r in stamp] == [(100 - sum(v[0] > 0 for v in want.values()), report["compliant"])]
+    assert out.table.where("processing_timestamp is null").count() == 0
+    # a second load replaces the first, an empty one clears it
+    again = run_emissions(spark, source.limit(50), job)
+    assert again.table.count() == 50
+    none = run_emissions(spark, source.limit(0), job)
+    assert none.table.count() == 0 and none.report.first().total_records == 0
+
+
+def test_quarantine_counts_its_rules_in_the_write(spark, scratch):
+    from strata.operators.quality import quarantine_counted, rule_max, rule_negative
+    df, seen = counted(spark, spark.createDataFrame([(1, -1.0), (2, 5.0), (3, 50.0), (4, None)], "id int, v double"))
+    rules = [rule_negative("v"), rule_max("v", 10)]
+    good, bad, results = quarantine_counted(df, rules, scratch("counted"))
+    assert seen.value == 4 and {k: (v[0], v[2]) for k, v in results.items()} == {r.rule_id: (1, 4) for r in rules}
+    assert good.count() == bad.count() == 2
+    *_, empty = quarantine_counted(df.where("id > 9").limit(0), rules, scratch("counted_none"))
+    assert {v[2] for v in empty.values()} == {0}
+
+
+def test_constants_of_loads(spark, scratch):
+    path = scratch("constants")
+    df = spark.createDataFrame([(1, 3, "x"), (2, -4, "y")], "k int, v int, w string")
+
+    def load(frame, label):
+        measures = versions.Measures({"n": F.count(F.lit(1)), "low": F.min("v")}, ["v"],
+                                     lambda seen: {"label": (label, "string"), "low": (seen["low"], "int")})
+        return versions.commit_measured(spark, frame, path, ["k"], measures=measures)[1]
+
+    assert load(df, "a") == {"n": 2, "low": -4} and load(df.where("k = 1"), "b") == {"n": 1, "low": 3}
+    assert rows(versions.read_table(spark, path)) == [(1, "x", "a", -4), (1, "x", "b", 3), (2, "y", "a", -4)]
