@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strata.catalog import query
 from strata.catalog.common import latest_lineitem_sql, t
 from strata.operators.dedupe import dedupe_bronze, dedupe_for, latest_by_key, yoy
-from strata.operators.joins import (coalesce_sources, declared_join, drop_stale, enrich,
+from strata.operators.joins import (coalesce_sources, declared_join, drop_stale, enrich, hierarchy,
                                     orphans)
 from strata.session import scratch_path
 from strata.sources.readers import (load_mapping_sheets, read_job_slice, read_layer,
@@ -152,6 +152,32 @@ SELECT * FROM sheet
 WHERE "Target Column" IS NOT NULL OR "Source Table" IS NOT NULL OR "Transformation" IS NOT NULL"""
 
 
+PARTS_TREE_SQL = """
+WITH RECURSIVE n AS (
+  SELECT p_partkey AS node, CASE WHEN p_partkey % 97 < 4 THEN p_partkey + 1 WHEN p_partkey % 97 = 4 THEN p_partkey - 4
+                                 WHEN p_partkey > 3 THEN p_partkey // 3 END AS parent
+  FROM part WHERE p_partkey % 41 <> 7),
+w AS (SELECT node, node AS spot, 0 AS depth, [node] AS path FROM n
+      UNION ALL SELECT w.node, n.parent, depth + 1, list_append(path, n.parent) FROM w JOIN n ON n.node = w.spot
+      WHERE n.parent IS NOT NULL AND NOT list_contains(path, n.parent)),
+e AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY node ORDER BY depth DESC) = 1),
+x AS (SELECT e.*, n.node IS NULL AS missing, n.parent, list_position(path, n.parent) AS back FROM e LEFT JOIN n ON n.node = e.spot)
+SELECT node, CASE WHEN missing THEN 'broken' WHEN parent IS NULL THEN 'ok' WHEN back = 1 THEN 'cycle' ELSE 'into_cycle' END AS status,
+       CASE WHEN missing OR parent IS NULL THEN spot ELSE list_min(path[back:]) END AS root,
+       CASE WHEN missing OR parent IS NULL THEN CAST(depth AS BIGINT) END AS depth
+FROM x"""
+
+
+@query("jn05_hierarchy", PARTS_TREE_SQL)
+def jn05_hierarchy(spark, sf):
+    """Parts as a tree (a third of a part's key is its parent's) with rings of five parts,
+    chains that run into them, and parents that are missing."""
+    k = F.col("p_partkey")
+    up = F.when(k % 97 < 4, k + 1).when(k % 97 == 4, k - 4).when(k > 3, F.floor(k / 3)).cast("bigint")
+    tree = t(spark, sf, "part").where(k % 41 != 7).select(k.cast("bigint").alias("node"), up.alias("parent"))
+    return hierarchy(tree, "node", "parent")
+
+
 @query("src06_load_mapping_sheets", SHEET_SQL)
 def src06(spark, sf):
     """Mapping sheet rows derived from ``part`` are written as CSV (with an all-blank

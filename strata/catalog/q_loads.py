@@ -6,6 +6,9 @@ so the oracle compares final state.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.catalog import query
@@ -15,7 +18,7 @@ from strata.operators.project import project
 from strata.operators.stats import load_stats
 from strata.session import materialize, scratch_path
 from strata.sources import versions
-from strata.sources.writers import (fan_out, overwrite_slice, publish_slice,
+from strata.sources.writers import (fan_out, fan_out_once, overwrite_slice, publish_slice,
                                     read_history, snapshot_slice, upsert_buckets, write_partitioned)
 from strata.spec import ColumnMapping as M
 from strata.spec import LoadSpec, TargetSpec
@@ -150,6 +153,24 @@ def snk06(spark, sf):
     return outs["line_latest"].unionByName(outs["part_latest"])
 
 
+@query("snk06_one_pass", """
+SELECT 'lines' AS target_table, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS item_key,
+       CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem
+UNION ALL
+SELECT 'returns', upper(l_returnflag), CAST(l_quantity AS DECIMAL(18,2)) FROM lineitem
+WHERE l_returnflag = 'R' AND l_quantity > 10""")
+def snk06_once(spark, sf):
+    """Two targets without a dedupe of their own, one of them filtered, from one scan."""
+    lines = TargetSpec(LoadSpec("lines", merge_type="append"), (
+        M("item_key", "STRING", transformation='Concatenate(l_orderkey, "-", l_linenumber)'),
+        M("amount", "DECIMAL(18,2)", "l_extendedprice")))
+    returns = TargetSpec(LoadSpec("returns", merge_type="append"), (
+        M("item_key", "STRING", "l_returnflag", transformation="Uppercase", filter="l_returnflag = 'R'"),
+        M("amount", "DECIMAL(18,2)", "l_quantity", filter="l_quantity > 10")))
+    outs = fan_out_once(t(spark, sf, "lineitem"), [lines, returns], scratch_path(spark, "snk06_once"))
+    return reduce(DataFrame.unionByName, [out.select(F.lit(name).alias("target_table"), "*") for name, out in outs.items()])
+
+
 @query("ag03_load_stats", f"""
 SELECT count(*) AS row_count,
        count_if(created_time = TIMESTAMP '{LOAD_TS}') AS inserted,

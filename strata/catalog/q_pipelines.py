@@ -16,7 +16,7 @@ from strata.plans.documents import load_document
 from strata.plans.emissions import EmissionsJob, run_emissions
 from strata.plans.gold import GoldJob, run_gold
 from strata.plans.silver import SilverJob, run_silver
-from strata.plans.steps import run_steps
+from strata.plans.steps import plan_shapes, run_steps
 from strata.session import scratch_path
 from strata.sources import versions
 from strata.sources.readers import register_inputs
@@ -25,6 +25,7 @@ from strata.spec import LoadSpec
 
 FIRST_LOAD_TS = "2024-01-16 00:00:00"
 SPLIT = "2024-01-16 00:00:00"
+LATE_TS = "2024-07-01 00:00:00"
 
 EVENT_MAPPING = (
     M("user_id", "BIGINT", "user_id"),
@@ -194,17 +195,56 @@ SELECT 'user_events' AS table_name, '{JOB_ID}' AS job_id, status, message,
 FROM (
   SELECT 'I' AS status, 'load started' AS message, NULL AS row_count,
          TIMESTAMP '{FIRST_LOAD_TS}' AS started_at
+  UNION ALL SELECT 'P', 'single_dedupe_stale batch prepared', NULL, TIMESTAMP '{FIRST_LOAD_TS}'
   UNION ALL SELECT 'S', 'single_dedupe_stale load succeeded',
          (SELECT count(DISTINCT (user_id, event_type)) FROM events
           WHERE ts < TIMESTAMP '{SPLIT}'), TIMESTAMP '{FIRST_LOAD_TS}'
   UNION ALL SELECT 'I', 'load started', NULL, TIMESTAMP '{LOAD_TS}'
+  UNION ALL SELECT 'P', 'single_dedupe_stale batch prepared', NULL, TIMESTAMP '{LOAD_TS}'
   UNION ALL SELECT 'S', 'single_dedupe_stale load succeeded',
-         (SELECT count(DISTINCT (user_id, event_type)) FROM events), TIMESTAMP '{LOAD_TS}')""")
+         (SELECT count(DISTINCT (user_id, event_type)) FROM events), TIMESTAMP '{LOAD_TS}'
+  UNION ALL SELECT 'I', 'load started', NULL, TIMESTAMP '{LATE_TS}'
+  UNION ALL SELECT 'F', 'user_events: unknown merge_type ''merge''', NULL, TIMESTAMP '{LATE_TS}')""")
 def au01(spark, sf):
+    """Two loads that succeed, and one that is refused: all four statuses."""
     _, audit = _two_loads(spark, sf)
+    bad = SilverJob(LoadSpec("user_events", merge_key=("user_id",), merge_type="merge"), EVENT_MAPPING,
+                    scratch_path(spark, "au01_refused"), LATE_TS, JOB_ID, audit_path=audit)
+    try:
+        run_silver(spark, t(spark, sf, "events"), bad)
+    except ValueError:
+        pass                                      # the log says so
     return read_audit(spark, audit)
 
 
+@query("pl05_plan_shapes", """
+WITH l AS (SELECT p_brand AS job, p_name AS target_table,
+                  CASE WHEN p_size % 3 = 0 THEN ' y ' WHEN p_size % 3 = 1 THEN 'N' END AS dedupe,
+                  CASE WHEN p_size % 2 = 0 THEN 'Y' ELSE '' END AS stale FROM part
+           UNION ALL SELECT 'solo ' || s_suppkey, 'supplier_dim', CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'no' END,
+                  CASE WHEN s_suppkey % 4 = 0 THEN '1' END FROM supplier),
+n AS (SELECT job, count(DISTINCT target_table) AS n_targets FROM l GROUP BY job)
+SELECT job, target_table, n_targets,
+       CASE WHEN n_targets > 1 THEN 'multi' ELSE 'single' END
+       || CASE WHEN coalesce(upper(trim(dedupe)) IN ('Y', 'TRUE'), false) THEN '_dedupe'
+                    || CASE WHEN coalesce(upper(trim(stale)) IN ('Y', '1'), false) THEN '_stale' ELSE '' END
+               ELSE '' END AS shape
+FROM l JOIN n USING (job)""")
+def pl05(spark, sf):
+    """A table of load specifications: parts as the targets of their brand's job, suppliers
+    as jobs of one target."""
+    size, key = F.col("p_size"), F.col("s_suppkey")
+    parts = t(spark, sf, "part").select(
+        F.col("p_brand").alias("job"), F.col("p_name").alias("target_table"),
+        F.when(size % 3 == 0, " y ").when(size % 3 == 1, "N").alias("source_deduplication"),
+        F.when(size % 2 == 0, "Y").otherwise("").alias("stale_data_handling"))
+    solo = t(spark, sf, "supplier").select(
+        F.concat(F.lit("solo "), key.cast("string")).alias("job"), F.lit("supplier_dim").alias("target_table"),
+        F.when(key % 2 == 0, "true").otherwise("no").alias("source_deduplication"),
+        F.when(key % 4 == 0, "1").alias("stale_data_handling"))
+    return plan_shapes(parts.unionByName(solo))
+
+
 OLD_CUTOFF = "1998-01-01 00:00:00"
 GOLD_TS0 = "2024-01-01 00:00:00"
 GOLD_SLICE = {"o_orderstatus": "O", "o_orderpriority": "1-URGENT"}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.session import materialize
 from strata.spec import Lookup
 
 
@@ -116,3 +117,47 @@ def orphans(df: DataFrame, parent: DataFrame, on, parent_on=None) -> DataFrame:
                       [df[lk] == parent[rk] for lk, rk in zip(left_keys, right_keys)])
         return df.join(parent.select(*right_keys), cond, "left_anti")
     return df.join(parent.select(*_keys(on)), on=on, how="left_anti")
+
+
+def hierarchy(df: DataFrame, node: str, parent: str) -> DataFrame:
+    """JN-5 over all levels: (node, status, root, depth) for every node of a parent-child
+    table (node ids non-NULL and unique; a repeated one fails the job).
+
+    ``ok``: the chain of parents ends in a root (no parent), named with its distance.
+    ``broken``: it ends in an id that has no row, named with its distance. ``cycle``: the
+    node lies on a cycle; ``into_cycle``: its chain runs into one; both named by the cycle's
+    smallest member.
+
+    Pointer jumping: each round every open node takes over the node that its target points
+    to, so after k rounds 2**k steps are done and a chain of any length needs its logarithm
+    of rounds, each a join on the target id (AQE splits a parent that many nodes share).
+    When a round settles nobody, what is open runs into cycles.
+    """
+    ids = unique_lookup(df.select(F.col(node).alias("n"), F.col(parent).alias("p")), ["n"], f"hierarchy {node}")
+    known = ids.select(F.col("n").alias("up"), F.lit(True).alias("there"))
+    root = F.col("p").isNull()
+    state = materialize(ids.join(known, ids["p"] == known["up"], "left").select(
+        "n", F.when(root, F.col("n")).otherwise(F.col("p")).alias("at"), F.when(root, 0).otherwise(1).cast("long").alias("steps"),
+        F.least("n", "p").alias("least"), F.when(root, "ok").when(F.col("there").isNull(), "broken").alias("status")))
+    open_, jumped = state.where("status is null").count(), 1
+    while open_:
+        up = state.select(F.col("n").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("steps2"),
+                          F.col("least").alias("least2"), F.col("status").alias("status2"))
+        moved = state.where("status is null").join(up, "at").select(
+            "n", F.col("at2").alias("at"), (F.col("steps") + F.col("steps2")).alias("steps"),
+            F.least("least", "least2").alias("least"), F.col("status2").alias("status"))
+        state = materialize(state.where("status is not null").unionByName(moved))
+        left, jumped = state.where("status is null").count(), 2 * jumped
+        # what is open once a round settles nobody runs into cycles; it goes on until each has
+        # surely gone round its cycle
+        if left == open_ and jumped >= left:
+            break
+        open_ = left
+    turning = state.where("status is null").select("n", "at", "least")
+    around = turning.select(F.col("at").alias("n")).distinct().withColumn("on", F.lit(True))
+    named = turning.select(F.col("n").alias("at"), F.col("least").alias("name"))
+    cycles = turning.drop("least").join(named, "at").join(around, "n", "left").select(
+        "n", F.when(F.col("on"), "cycle").otherwise("into_cycle").alias("status"), F.col("name").alias("root"),
+        F.lit(None).cast("long").alias("depth"))
+    ended = state.where("status is not null").select("n", "status", F.col("at").alias("root"), F.col("steps").alias("depth"))
+    return ended.unionByName(cycles).withColumnRenamed("n", node)

@@ -1,7 +1,7 @@
 """Audit trail of loads (AU-1): typed events appended to a parquet table.
 
-An event is written when a load starts (I), on success (S) and on failure (F, before the
-error is re-raised). Events are a handful of rows per load; the log is read back as a
+An event is written when a load starts (I), when its batch is prepared and the table is about
+to change (P), on success (S) and on failure (F, before the error is re-raised). Events are a handful of rows per load; the log is read back as a
 DataFrame.
 """
 

@@ -65,6 +65,8 @@ def run_gold(spark: SparkSession, inputs: Mapping[str, DataFrame], job: GoldJob)
                                          scratch_path(spark, f"{job.table_name}-quarantine"))
         else:
             shaped = materialize(shaped)
+        audit_log(spark, job.audit_path,
+                  AuditEvent(job.table_name, job.job_id, "P", "gold slice prepared", None, job.load_ts))
         if job.history_path and fs.exists(spark, job.gold_path):
             snapshot_slice(spark, read_table(spark, job.gold_path, schema), job.history_path,
                            job.slice_values, job.load_ts)

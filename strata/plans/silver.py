@@ -145,6 +145,7 @@ def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob, targets:
             batch, bad = batch.drop("_rejected"), bad.drop("_rejected")
         elif not stale:
             batch = materialize(batch)
+        audit_log(spark, job.audit_path, AuditEvent(table, job.job_id, "P", f"{shape} batch prepared", None, job.load_ts))
         created = [audit.created_time, audit.created_by]
         if spec.merge_type == "upsert":
             check_keys(batch, spec.merge_key)

@@ -280,3 +280,36 @@ def fan_out(bronze: DataFrame, targets: Sequence[TargetSpec], build,
     """
     shared = bronze.persist() if cache and len(targets) > 1 else bronze
     return {t.load.target_table: build(t, shared) for t in targets}
+
+
+def fan_out_once(bronze: DataFrame, targets: Sequence[TargetSpec], path: str) -> dict[str, DataFrame]:
+    """SNK-6 in one pass, for targets without a dedupe of their own: bronze is scanned once
+    (all columns that any target reads), each row goes to every target whose filters it
+    passes, tagged with the target, and is written once, partitioned by the tag. A target's
+    frame reads its own partition and columns alone. A target that dedupes needs a shuffle
+    on its keys: ``fan_out`` gives it a plan of its own."""
+    from strata.functions.terms import plain_backslashes
+    from strata.operators.project import project
+    names = [t.load.target_table for t in targets]
+    if len(set(names)) < len(names):
+        raise ValueError(f"repeated target tables: {names}")
+    deduped = [t.load.target_table for t in targets if t.load.source_deduplication or t.load.merge_key]
+    if deduped:
+        raise ValueError(f"targets with a dedupe of their own: {deduped}")
+    frame, made, tags = bronze.select(F.struct(*[F.col(f"`{c}`") for c in bronze.columns]).alias("__row")), [], []
+    for i, target in enumerate(targets):
+        filters = dict.fromkeys(m.filter for m in target.mappings if m.filter and m.filter.strip())
+        passed = reduce(lambda a, b: a & b, [F.coalesce(F.expr(plain_backslashes(f)), F.lit(False)) for f in filters], F.lit(True))
+        flat = frame.select("*", *[F.col("__row")[c].alias(c) for c in bronze.columns]).withColumn(f"__in{i}", passed)
+        done = ["__row", *made, f"__in{i}"]
+        audit = [c for c in target.load.audit.all() if c in bronze.columns] if target.audit_passthrough else []
+        out = project(flat, target.mappings, keep=[*audit, *done])
+        own = [c for c in out.columns if c not in done]
+        frame = out.select(*done, F.struct(*[F.col(f"`{c}`") for c in own]).alias(f"__target{i}"))
+        made += [f"__in{i}", f"__target{i}"]
+        tags.append(F.when(F.col(f"__in{i}"), F.lit(i)))
+    tagged = frame.select(*made, F.explode(F.array_compact(F.array(*tags))).alias("target"))
+    rows = tagged.select("target", *[F.when(F.col("target") == i, F.col(f"__target{i}")).alias(f"__target{i}") for i in range(len(targets))])
+    rows.write.partitionBy("target").parquet(path)
+    back = bronze.sparkSession.read.schema(rows.schema).parquet(path)
+    return {name: back.where(F.col("target") == i).select(f"__target{i}.*") for i, name in enumerate(names)}
