@@ -24,8 +24,11 @@ the text does not.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import sys
+import types
 import zlib
 from math import ceil
 
@@ -106,6 +109,16 @@ class Ids:
             yield self._encoded([t])[0] if o else b"".join([known[p] if i is None else i for p, i in zip(parts, ids)])
 
 
+def worker_ids(source: str, by_word: bool) -> Ids:
+    """The encoder of this worker process: Spark runs many tasks in one, and functions sent by
+    value find no module of ours there, so the tables hang on one that is made for them."""
+    kept = sys.modules.setdefault("_strata_worker", types.ModuleType("_strata_worker")).__dict__
+    key = (hashlib.sha256(source.encode()).digest(), by_word)
+    if key not in kept:
+        kept[key] = Ids(source, by_word)
+    return kept[key]
+
+
 def pieces(docs: DataFrame, tokenizer: str, size: int, closing: int, text_col: str = "text",
            by_word: bool = False, ids: bool = False) -> DataFrame:
     """``doc`` (a struct of the input's other columns) and its ``pieces`` of up to ``size`` ids, the
@@ -118,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, closing: int, text_col: s
     kind = StructType([*PIECE.fields, StructField("ids", ArrayType(LongType()))]) if ids else PIECE
 
     def run(texts):
-        encoder, end = Ids(source.value, by_word), np.array([closing], "<u4").tobytes()
+        encoder, end = worker_ids(source.value, by_word), np.array([closing], "<u4").tobytes()
         for text in texts:
             out = []
             for i, j in _blocks(text, BLOCK):
