@@ -106,3 +106,58 @@ def test_repeated_emission_lookup_is_refused(spark):
     assert to_kwh(df, "v", "u", unit_table(spark)).count() == 1
     with pytest.raises(Exception, match="not unique"):
         to_kwh(df, "v", "u", twice).collect()
+
+
+def test_hierarchy_of_chains_rings_and_gaps(spark):
+    import random
+
+    from strata.operators.joins import hierarchy
+    rng = random.Random(8)
+    up = {i: None if i < 3 else rng.randrange(i) for i in range(200)}
+    up |= {300 + i: 300 + (i + 1) % 7 for i in range(7)} | {400: 400} | {500 + i: 499 + i for i in range(1, 60)} | {500: 303}
+    up |= {600: 999, 601: 600, 602: 601} | {700 + i: 701 + i for i in range(100)}          # a long chain into a gap
+    want = {}
+    for n in up:
+        path, at = [n], up[n]
+        while at is not None and at in up and at not in path:
+            path.append(at)
+            at = up[at]
+        if at is None:
+            want[n] = ("ok", path[-1], len(path) - 1)
+        elif at not in up:
+            want[n] = ("broken", at, len(path))
+        else:
+            ring = path[path.index(at):]
+            want[n] = ("cycle" if at == n else "into_cycle", min(ring), None)
+    df = spark.createDataFrame(list(up.items()), "id int, boss int").repartition(5)
+    got = {r.id: (r.status, r.root, r.depth) for r in hierarchy(df, "id", "boss").collect()}
+    assert got == want
+    assert hierarchy(df.limit(0), "id", "boss").collect() == []
+    with pytest.raises(Exception, match="not unique"):
+        hierarchy(df.unionByName(df), "id", "boss").collect()
+    assert [tuple(r) for r in hierarchy(df.where("id = 400"), "id", "boss").collect()] == [(400, "cycle", 400, None)]
+
+
+def test_one_pass_fan_out(spark, scratch):
+    from strata.sources.writers import fan_out_once
+    from strata.spec import ColumnMapping as M
+    from strata.spec import LoadSpec, TargetSpec
+    df = spark.createDataFrame([(1, "a", "u"), (2, "b", None), (3, None, "u")], "k int, v string, updated_by string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    one = TargetSpec(LoadSpec("one", merge_type="append"), (M("v", "STRING", "v", transformation="Uppercase"), M("id", "STRING", transformation="Concatenate(v, k)")))
+    two = TargetSpec(LoadSpec("two", merge_type="append"), (M("k", "BIGINT", "k", filter="k > 1"),), audit_passthrough=False)
+    none = TargetSpec(LoadSpec("none", merge_type="append"), (M("k", "INT", "k", filter="v = 'x\\y'"),))
+    outs = fan_out_once(df.mapInArrow(note, df.schema), [one, two, none], scratch("once"))
+    assert seen.value == 3
+    assert sorted(map(str, outs["one"].collect())) == sorted(map(str, spark.createDataFrame(
+        [("A", "A1", "u"), ("B", "B2", None), (None, None, "u")], "v string, id string, updated_by string").collect()))
+    assert sorted(r.k for r in outs["two"].collect()) == [2, 3] and outs["two"].columns == ["k"]
+    assert outs["none"].collect() == []
+    with pytest.raises(ValueError, match="dedupe"):
+        fan_out_once(df, [TargetSpec(LoadSpec("d", merge_key=("k",)), one.mappings)], scratch("refused"))
