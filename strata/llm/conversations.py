@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -156,11 +155,6 @@ class Tables:
             yield "I", state
 
 
-@lru_cache(4)
-def tables(*costs) -> Tables:
-    return Tables(*costs)
-
-
 class Writer:
     """The edits of one conversation: its audit and the digest of its repaired rows."""
 
@@ -273,7 +267,7 @@ class _Out:
 def _sweep(costs: tuple, chunk: int):
     """Sorted rows to finished conversations, and to runs where one may go on elsewhere."""
     def read(batches: Iterator[pa.RecordBatch]):
-        t, part, out = tables(*costs), TaskContext.get().partitionId(), None
+        t, part, out = Tables(*costs), TaskContext.get().partitionId(), None
         now, first, k, begun, rows, counts = None, True, 0, False, [], Counts()
 
         def flush():
@@ -318,7 +312,7 @@ def _sweep(costs: tuple, chunk: int):
 def _back(costs: tuple):
     """Runs, from a conversation's last to its first: the vector behind each, and the totals."""
     def read(batches):
-        t, out, now = tables(*costs), None, None
+        t, out, now = Tables(*costs), None, None
         behind, base, counts = t.end, 0, Counts()
 
         def total():
@@ -348,7 +342,7 @@ def _back(costs: tuple):
 def _forth(costs: tuple):
     """The rows of runs in order, with the vector behind their run: audits and digests."""
     def read(batches):
-        t, out, now, run, rows, vector, writer = tables(*costs), None, None, None, [], None, None
+        t, out, now, run, rows, vector, writer = Tables(*costs), None, None, None, [], None, None
 
         def close():
             out.put(REPORT, now[0], None, None, None, None, *writer.close(t))
