@@ -3,11 +3,15 @@
 Base spans come from three fixed patterns. The method adds spans: source and configuration
 text is lexed into name-literal pairs (``name = "literal"``, ``name: literal``, ``"name":
 "literal"``, ``name=literal``, ``<name>literal</name>``); names bound to one literal are
-constants, and ``other = name`` and ``"a" + "b"`` propagate them; a literal is scored by how
-sensitive its target's name is and by its own form, and reported above a threshold, at the
-place where the literal stands.
+constants, and ``other = name`` and ``"a" + "b"`` propagate them; ``map["name"] = "literal"``
+and ``{"name": "n", "value": "literal"}`` bind too. A literal is scored by how sensitive its
+target's name is and by its own form, and reported above a threshold, at the place where it
+stands; of a joined one each part at its own place. Joined literals of more than 64 parts are
+not put together and literals of over 4,096 characters not propagated (they are reported
+where they are bound).
 
-One row is one task's work at a time: no shuffle, and memory is that of the longest text.
+One row is one task's work at a time: no shuffle, memory is that of the longest text, and
+time is linear in it, with or without line ends.
 
 Cases: NULL text counts as empty (no spans); positions are code points, ends exclusive; a
 name bound twice is propagated with its latest value above the use; a literal with a base
@@ -20,6 +24,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -52,6 +59,10 @@ TOKEN = re.compile(
     r"|(?P<line>\n)"
     r"|(?P<other>[^\s])", re.DOTALL)
 BARE = re.compile(r"[^\s,;\"'()\[\]{}<>]+")
+REST = re.compile(r"[ \t\r;,]*(?:\n|\Z)")
+WHOLE_NAME = re.compile(NAME + r"\Z")
+CALLED, HOLDS = {"name", "key"}, {"value", "val"}   # {"name": "...", "value": "..."}
+PARTS, FOLLOWED, HELD = 64, 4096, 4096            # parts of a literal, characters of a constant, tokens held
 SPLIT = re.compile(r"[_.\-\s]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -78,75 +89,111 @@ def literal_weight(value: str) -> float:
     """0 to 1: long, mixed literals without blanks look like secrets."""
     if len(value) < 8 or PLACEHOLDER.match(value) or re.search(r"\s", value):
         return 0.0
-    counts = {c: value.count(c) for c in set(value)}
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
+    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, entropy / 4) * min(1.0, 0.55 + 0.15 * classes)
 
 
-def pairs(text: str):
-    """(name, literal, start, end) of each binding: lexes the text, and propagates constants.
-    The place is that of the literal; a propagated or joined literal has that of its parts."""
-    known: dict = {}
-    tokens = []                                   # of the current statement
-    pos, n = 0, len(text)
-
-    def value(items, follow: bool):
-        """(literal, start, end) of ``"a" + name + "b"``, or None."""
-        parts = []
-        for k, item in enumerate(items):
-            if k % 2:
-                if item[0] != "op" or item[1] != "+":
-                    break
-                continue
-            if item[0] == "string":
-                parts.append((item[1][1:-1], item[2] + 1, item[3] - 1))
-            elif item[0] == "name" and follow and item[1] in known:
-                parts.append(known[item[1]])
-            else:
-                return None
-        if not parts:
+def joined(items: list, k: int, known: dict):
+    """(literal, parts) of ``"a" + name + "b"`` from token k on, or None. A part is a place
+    (start, end) in the text; a literal of over PARTS parts is not put together."""
+    values, parts = [], []
+    while True:
+        kind, what, start, end = items[k]
+        if kind == "string":
+            got = what[1:-1], [(start + 1, end - 1)]
+        elif kind == "name" and what in known:
+            got = known[what]
+        else:
+            return None
+        values.append(got[0])
+        parts += got[1]
+        if len(parts) > PARTS:
             return None
-        return "".join(p[0] for p in parts), parts[0][1], parts[-1][2]
-
-    def statement(items):
-        for k, item in enumerate(items):
-            if item[0] == "op" and item[1] in ("=", ":", ":=", "=>") and k:
-                left = items[k - 1]
-                if item[1] == "=" and k > 2 and items[k - 2][1] == ":" and left[0] == "name":
-                    left = items[k - 3]           # name: type = "literal"
-                name = left[1] if left[0] == "name" else left[1][1:-1] if left[0] == "string" else None
-                if not name or not re.fullmatch(NAME, name):
-                    continue
-                right = items[k + 1:]
-                got = value(right, True)
-                if got is None and item[1] in ("=", ":") and right:
-                    m = BARE.match(text, right[0][2])
-                    # an unquoted literal ends the line, as in configuration files
-                    stop = text.find("\n", m.end()) if m else -1
-                    if m and not text[m.end():stop if stop >= 0 else n].strip(" \t\r;,"):
-                        got = (m[0], m.start(), m.end())
-                if got:
-                    if len(got[0]) >= 8:
-                        yield name, *got
-                    known[name] = got
-
-    last = text.rfind("*/")
-    while pos < n:
-        m = TOKEN.search(text, pos)
-        if not m:
-            break
-        kind, pos = m.lastgroup, m.end()
-        if m["tag"]:
-            yield m["tag"], m["tagged"], m.start("tagged"), m.end("tagged")
-        elif kind == "line" or m["op"] in (";", ","):
-            yield from statement(tokens)
-            tokens = []
-        elif kind == "comment" and pos <= last:
-            pos = text.find("*/", pos) + 2
+        if k + 2 >= len(items) or items[k + 1][1] != "+" or items[k + 1][0] != "op":
+            return "".join(values), parts
+        k += 2
+
+
+def target(items: list, k: int) -> str | None:
+    """The name that the operator at token k binds: ``name =``, ``"name":``, ``name: type =``
+    or ``map["name"] =``."""
+    left = items[k - 1]
+    if items[k][1] == "=" and k > 2 and items[k - 2][1] == ":" and left[0] == "name":
+        left = items[k - 3]
+    elif left[1] == "]" and k > 3 and items[k - 3][1] == "[" and items[k - 4][0] == "name":
+        left = items[k - 2]
+    name = left[1] if left[0] == "name" else left[1][1:-1] if left[0] == "string" else None
+    return name if name and WHOLE_NAME.match(name) else None
+
+
+class Lexer:
+    """Name-literal pairs of a text, token by token: what is held is the statement's last
+    tokens (``HELD`` at most, also where a text has no line ends), the names bound to literals
+    of up to ``FOLLOWED`` characters, and the last literal bound to ``name`` or ``key``."""
+
+    def __init__(self, text: str):
+        self.text, self.known, self.items, self.said, self.done = text, {}, [], None, 0
+
+    def statement(self, last: bool):
+        """Bindings of the tokens held; but at a statement's end the last few wait."""
+        items = self.items
+        stop = len(items) if last else len(items) - 2 * PARTS - 2
+        for k in range(self.done, stop):
+            kind, what, *_ = items[k]
+            if what == "}" and kind == "other":
+                self.said = None
+            if kind == "op" and k and what in ("=", ":", ":=", "=>"):
+                yield from self.binding(k)
+        self.done = stop
+        if last:
+            self.items, self.done = [], 0
         else:
-            tokens.append((kind, m[0], m.start(), m.end()))
-    yield from statement(tokens)
+            gone = max(0, stop - 4)
+            self.items, self.done = items[gone:], stop - gone
+
+    def binding(self, k: int):
+        items, text = self.items, self.text
+        name = target(items, k)
+        if not name or k + 1 >= len(items):
+            return
+        got = joined(items, k + 1, self.known)
+        if got is None and items[k][1] in ("=", ":"):
+            # an unquoted literal ends the line, as in configuration files
+            m = BARE.match(text, items[k + 1][2])
+            if m and REST.match(text, m.end()):
+                got = m[0], [m.span()]
+        if got is None:
+            return
+        word = name.lower()
+        if word in CALLED and WHOLE_NAME.match(got[0]):
+            self.said = got[0]
+        elif word in HOLDS and self.said:
+            name = self.said                      # {"name": "db_pwd", "value": "..."}
+        if len(got[0]) >= 8:
+            yield name, got[0], got[1]
+        if len(got[0]) <= FOLLOWED:
+            self.known[name] = got
+        else:
+            self.known.pop(name, None)
+
+    def pairs(self):
+        """(name, literal, places) of each binding; a propagated or joined literal has the
+        places of its parts."""
+        text, pos, last = self.text, 0, self.text.rfind("*/")
+        while m := TOKEN.search(text, pos):
+            kind, pos = m.lastgroup, m.end()
+            if m["tag"]:
+                yield m["tag"], m["tagged"], [m.span("tagged")]
+            elif kind == "line" or m["op"] in (";", ","):
+                yield from self.statement(True)
+            elif kind == "comment" and pos <= last:
+                pos = text.find("*/", pos) + 2
+            else:
+                self.items.append((kind, m[0], m.start(), m.end()))
+                if len(self.items) >= HELD:
+                    yield from self.statement(False)
+        yield from self.statement(True)
 
 
 # A sensitive word anywhere, also in parts that a name joins; no other text can reach LEAST.
@@ -157,11 +204,15 @@ def method_spans(text: str, base: list) -> list:
     """(start, end) of literals bound to sensitive names that no base span holds already."""
     if not CANDIDATE.search(text) or not re.search("[=:>]", text):
         return []
-    taken, out = [(a, b) for a, _, b in base], {}
-    for name, literal, start, end in pairs(text):
+    starts = [a for a, _, _ in base]              # in order
+    reach = list(accumulate((b for _, _, b in base), max))
+    out = set()
+    for name, literal, places in Lexer(text).pairs():
         if name_weight(name) * 0.6 + literal_weight(literal) * 0.4 >= LEAST:
-            if not any(a < end and start < b for a, b in taken):
-                out[start, end] = True
+            for start, end in places:
+                before = bisect_left(starts, end)     # base spans that start before its end
+                if start < end and not (before and reach[before - 1] > start):
+                    out.add((start, end))
     return sorted(out)
 
 
