@@ -43,7 +43,9 @@ def drop_site_lines(pages: DataFrame, host: str, text_col: str = "text", percent
     # they stay the same when a task runs again.
     print_of = [key.alias("host"), F.xxhash64(text).alias("d1"), F.xxhash64(text, F.lit(3)).alias("d2")]
     shape = pages.select(*print_of, _prints(text).alias("lines"))
-    one = F.array_distinct(F.transform("lines", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    # sorted, a line's copies stand together; the outer lambda names the array, made once
+    prints = F.sort_array(F.transform("lines", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    one = F.transform(F.array(prints), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))[0]
     counts = (shape.select("host", F.explode(one).alias("k")).groupBy("host", "k.a", "k.b")
               .agg(F.count("*").alias("c")).filter(F.col("c") >= min_pages))
     total = pages.groupBy(key.alias("host")).agg(F.count("*").alias("n"))
@@ -52,12 +54,18 @@ def drop_site_lines(pages: DataFrame, host: str, text_col: str = "text", percent
     places = (shape.select("host", "d1", "d2", F.explode("lines").alias("x"))
               .select("host", "d1", "d2", "x.a", "x.b", F.col("x.p").alias("p"))
               .join(common, ["host", "a", "b"], "left_semi")
-              .groupBy("host", "d1", "d2").agg(F.collect_set("p").alias("bad")))
+              .groupBy("host", "d1", "d2").agg(F.sort_array(F.collect_set("p")).alias("bad")))
     out = pages.select(F.struct("*").alias("page"), *print_of).join(places, ["host", "d1", "d2"], "left")
     text = F.col(f"page.`{text_col}`")
     lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("bad", i))
-    clean = F.when(F.col("bad").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    # what stands between two positions that go, joined: each line is touched once
+    def stay(all_lines):
+        start = lambda k: F.when(k == 0, 0).otherwise(F.get("bad", k - 1) + 1)          # noqa: E731
+        end = lambda k: F.coalesce(F.get("bad", k), F.size(all_lines))                  # noqa: E731
+        parts = F.transform(F.sequence(F.lit(0), F.size("bad")), lambda k: F.slice(all_lines, start(k) + 1, end(k) - start(k)))
+        return F.array_join(F.flatten(parts), "\n")
+
+    clean = F.when(F.col("bad").isNull(), text).otherwise(F.transform(F.array(lines), stay)[0])
     page = F.struct(*[(clean if c == text_col else F.col(f"page.`{c}`")).alias(c) for c in pages.columns])
     size = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
     return out.select(page.alias("page"), size.alias("n_lines"),
