@@ -40,6 +40,7 @@ FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length".split(),
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "20240101000000"
+KEY = "#page-key="                                # behind it, in the URLs of our own archives, the page's key
 
 
 def parse_arc(data: bytes):
@@ -88,7 +89,8 @@ def write_arc(records, version: int) -> bytes:
 
 def pages_as_arc(pages: DataFrame, key_col: str, url_col: str, body_col: str, per_file: int) -> DataFrame:
     """Stand-in input: ARC files (one binary per row) of page rows, in both versions. The
-    page's key goes into the URL's fragment, as an archive has no other place for it."""
+    page's key goes behind the URL, as an archive has no other place for it; white space in a
+    URL becomes "_", since blanks part the fields of a header line."""
     def run(batches):
         turn = 0
         for batch in batches:
@@ -97,8 +99,8 @@ def pages_as_arc(pages: DataFrame, key_col: str, url_col: str, body_col: str, pe
                 rows = []
                 for key, url, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                     body = body.as_buffer().to_pybytes() if body.is_valid else b""
-                    url = re.sub(r"[\s#]", "_", url) if url else "urn:none"
-                    rows.append((f"{url}#{'-' if key is None else key}", "0.0.0.0", DATE, "text/html", body))
+                    url = re.sub(r"\s", "_", url) if url else "urn:none"
+                    rows.append((f"{url}{KEY}{'-' if key is None else key}", "0.0.0.0", DATE, "text/html", body))
                 turn += 1
                 yield pa.RecordBatch.from_pydict({"arc": pa.array([write_arc(rows, 1 + turn % 2)], pa.binary())})
     return pages.select(F.col(key_col).cast("long").alias("k"), F.col(url_col).alias("u"),
@@ -112,9 +114,9 @@ def arc_records(archives: DataFrame, column: str = "arc") -> DataFrame:
             for data in batch.column(0):
                 out, held = [], 0
                 for url, ip, date, mime, payload in parse_arc(data.as_buffer().to_pybytes()):
-                    uri, _, key = url.partition("#")
+                    uri, _, key = url.rpartition(KEY) if KEY in url else (url, "", "")
                     body = bytes(payload)
-                    out.append((uri, int(key) if key not in ("", "-") else None, ip, date, mime, body, len(body),
+                    out.append((uri, int(key) if re.fullmatch(r"-?[0-9]+", key) else None, ip, date, mime, body, len(body),
                                 hashlib.sha256(body).hexdigest()))
                     held += len(body)
                     if held > 4 << 20:
