@@ -13,7 +13,8 @@ shuffle (with several blocks, each pass is written before the next).
 
 Cases: words are runs of letters and digits, in lower case, so punctuation and layout do not
 matter (every byte above 127 counts as a letter); a NULL or empty text matches nothing; an
-item of fewer than ``MATCH`` words, or a NULL one, matches nothing; items of equal text all
+item of three or four words is found where it stands whole; one of fewer words (which clean
+documents hold by chance), or a NULL one, matches nothing; items of equal text all
 match; an item with a NULL id counts and is listed as NULL; repeated documents get equal
 results; empty tables give no rows, or no matches; extra columns pass through in ``doc``.
 """
@@ -32,6 +33,7 @@ from strata.llm._text import BYTE_UNITS, LOWER, Rolling, U, slices, with_results
 from strata.session import materialize
 
 MATCH, COVERAGE, BLOCK = 5, 0.5, 500_000
+SHORT = 3                                         # words of the shortest item that is looked for
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -98,10 +100,11 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int, rolling: Rolling) -> li
     return found
 
 
-def _seeds(items: list, least: int, rolling: Rolling):
-    """Sorted seed fingerprints and, in parallel, the item that each is from."""
+def _seeds(items: list, chosen: list, least: int, rolling: Rolling):
+    """Sorted seed fingerprints of the chosen items and, in parallel, the item that each is from."""
     prints, owner = [], []
-    for k, words in enumerate(items):
+    for k in chosen:
+        words = items[k]
         w = np.unique(rolling.windows(rolling.sums(words), least))
         prints.append(w)
         owner.append(np.full(len(w), k))
@@ -116,24 +119,30 @@ def _find(block: list, least: int, coverage: float):
         rolling = Rolling()
         ids = [i for i, _ in block]
         items = [np.frombuffer(w, U) for _, w in block]
-        prints, owner = _seeds(items, least, rolling)
+        seeds = {}
+        for size in sorted({min(least, len(w)) for w in items}):    # a short item is one run of its own length
+            seeds[size] = _seeds(items, [k for k, w in enumerate(items) if min(least, len(w)) == size], size, rolling)
         for text in texts:
             hits: list = [[] for _ in range(len(text))]
             for first, words, cut in words_of(text, rolling):
-                windows = rolling.windows(rolling.sums(words), least)
-                k = np.minimum(np.searchsorted(prints, windows), len(prints) - 1)
-                places = np.flatnonzero(prints[k] == windows)
-                row = np.searchsorted(cut, places, "right") - 1
-                ok = places + least <= cut[row + 1]
-                places, row = places[ok], row[ok]
-                for r in np.unique(row):
-                    here = words[cut[r]:cut[r + 1]]
-                    seen = windows[places[row == r]]
-                    left, right = np.searchsorted(prints, seen), np.searchsorted(prints, seen, "right")
-                    for item in np.unique(np.concatenate([owner[x:y] for x, y in zip(left, right)])):
-                        got = sum(size for _, _, size in tiles(here, items[item], least, rolling))
-                        if got >= coverage * len(items[item]):
-                            hits[first + int(r)].append((ids[item], got / len(items[item])))
+                sums = rolling.sums(words)
+                for size, (prints, owner) in seeds.items():
+                    windows = rolling.windows(sums, size)
+                    if not len(windows):
+                        continue
+                    k = np.minimum(np.searchsorted(prints, windows), len(prints) - 1)
+                    places = np.flatnonzero(prints[k] == windows)
+                    row = np.searchsorted(cut, places, "right") - 1
+                    ok = places + size <= cut[row + 1]
+                    places, row = places[ok], row[ok]
+                    for r in np.unique(row):
+                        here = words[cut[r]:cut[r + 1]]
+                        seen = windows[places[row == r]]
+                        left, right = np.searchsorted(prints, seen), np.searchsorted(prints, seen, "right")
+                        for item in np.unique(np.concatenate([owner[x:y] for x, y in zip(left, right)])):
+                            got = sum(n for _, _, n in tiles(here, items[item], size, rolling))
+                            if got >= coverage * len(items[item]):
+                                hits[first + int(r)].append((ids[item], got / len(items[item])))
             yield pa.StructArray.from_arrays([pa.array(hits, hit_type)], names=["found"])
     hit_type = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
     return run
@@ -157,7 +166,7 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["i", "w"])
 
     listed = (items.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
-              .mapInArrow(fingerprints, "i long, w binary").filter(F.length("w") >= 8 * least))
+              .mapInArrow(fingerprints, "i long, w binary").filter(F.length("w") >= 8 * min(least, SHORT)))
     listed = materialize(listed)
     total = listed.agg(F.sum(F.length("w") / 8)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_words))
