@@ -254,3 +254,65 @@ def test_rolling_fingerprints_depend_only_on_content():
     rolling = Rolling()
     w = rolling.windows(rolling.sums(BYTE_UNITS[data]), 7)
     assert (w[:-3] == w[3:]).all() and len(np.unique(w)) == 3
+
+
+def places(text):
+    return [tuple(map(int, s.split(":")[1:])) for s in secrets.scan(text)[2].split(",") if s]
+
+
+def test_joined_literals_are_reported_part_by_part():
+    text = 'a = "AbC9xYz12345qwER"\nb = "Zz8kLm42PpQq77Rt"\nunrelated = 1\napi_password_store = b + a\n'
+    assert [text[a:b] for a, b in places(text)] == ["AbC9xYz12345qwER", "Zz8kLm42PpQq77Rt"]
+    text = 'p = "Zx81-"\n' + "filler = 2\n" * 20 + 'db_pwd = p + "kkPq!22Zw9" + ""\n'
+    assert [text[a:b] for a, b in places(text)] == ["Zx81-", "kkPq!22Zw9"]
+
+
+@pytest.mark.parametrize("text", [
+    'config["db_pwd"] = "Zx81-kkPq!22"', "env['DB_PWD']= 'Zx81-kkPq!22'", '{"name": "db_pwd", "value": "Zx81-kkPq!22"}',
+    '{"key": "db_pwd",\n "type": "text", "value": "Zx81-kkPq!22"}', 'f(db_pwd="Zx81-kkPq!22")'])
+def test_subscripts_and_named_values_bind(text):
+    assert [text[a:b] for a, b in places(text)] == ["Zx81-kkPq!22"]
+
+
+def test_names_of_another_object_do_not_bind():
+    assert places('[{"name": "db_pwd"}, {"name": "colour", "value": "Zx81-kkPq!22"}, {"value": "Zx81-kkPq!22"}]') == []
+
+
+def test_lexing_is_linear_without_line_ends():
+    import time
+    took = []
+    for n in (40_000, 160_000):
+        text = 'x = y + z a=b "s" ' * (n // 18) + ' db_pwd="Zx81-kkPq!22Zx"'
+        start = time.process_time()
+        got = places(text)
+        took.append(time.process_time() - start)
+        assert [text[a:b] for a, b in got] == ["Zx81-kkPq!22Zx"]
+    assert took[1] < 10 * took[0] + 0.5
+    grown = "a=\"Zx81-kkPq!22Zx\"\n" + "a = a + a\n" * 200 + "db_pwd = a\n"       # doubling ends at its bound
+    assert all(a < b for a, b in places(grown))
+
+
+def test_statements_longer_than_what_is_held():
+    for n in (10, 4080, 4090, 4096, 9000):
+        text = "w " * n + 'db_pwd = "Zx81-" + "kkPq!22Zw9"'
+        assert [text[a:b] for a, b in places(text)] == ["Zx81-", "kkPq!22Zw9"], n
+
+
+def test_long_pages_lose_lines(spark):
+    """Six pages that share half of 20,000 lines: one pass over the lines of each."""
+    from strata.llm.lines import drop_site_lines
+    rows = [(i, "h", "\n".join(f"common {k // 2}" if k % 2 else f"own {i} {k}" for k in range(20_000))) for i in range(6)]
+    rows += [(9, "h", "common 1\ncommon 1\n\nx\ncommon 2"), (10, "h", None), (11, "h", "common 5")]
+    out = {r.page.doc_id: r for r in drop_site_lines(spark.createDataFrame(rows, "doc_id int, source string, text string"), "source").collect()}
+    assert all(out[i].n_dropped == 10_000 and out[i].page.text == "\n".join(f"own {i} {k}" for k in range(0, 20_000, 2)) for i in range(6))
+    assert (out[9].n_dropped, out[9].page.text) == (3, "\nx") and out[10].page.text is None and out[11].page.text == ""
+
+
+def test_short_items_are_found_whole(spark):
+    from strata.llm.tiling import find_items
+    items = spark.createDataFrame([(1, "What is it called?"), (2, "one two three"), (3, "yes no"), (4, "a longer item of seven words here")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so: what is it - called, then"), (2, "what is it not called"), (3, "One, two. THREE! yes no"), (4, "")],
+                                 "doc_id long, text string")
+    got = {r.doc.doc_id: [h.item_id for h in r.hits] for r in find_items(docs, items).collect()}
+    assert got == {1: [1], 2: [], 3: [2], 4: []}

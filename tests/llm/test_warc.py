@@ -56,3 +56,13 @@ def test_pages_round_trip(spark):
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.pages_to_warc(df).count() == 0
+
+
+def test_urls_keep_their_fragments(spark):
+    rows, _ = arc_of(1)
+    real = warc.write_arc([("http://a/page#section", "1.2.3.4", "20010203040506", "text/html", b"body"), *rows], 1)
+    frame = spark.createDataFrame([(bytearray(real),)], "arc binary")
+    assert [(r.uri, r.key) for r in warc.arc_records(frame).collect()] == [
+        ("http://a/page#section", None), ("http://a/x?y=1#3", None), ("http://b/", None)]
+    pages = spark.createDataFrame([(-4, "http://a/#top", "x"), (5, "http://b/ c#d", "y")], "page_id long, url string, html string")
+    assert sorted((r.key, r.uri) for r in warc.pages_to_warc(pages).collect()) == [(-4, "http://a/#top"), (5, "http://b/_c#d")]
