@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strata.llm import secrets
 from strata.llm._text import BYTE_UNITS, Rolling, U, mix
@@ -316,3 +317,21 @@ def test_short_items_are_found_whole(spark):
                                  "doc_id long, text string")
     got = {r.doc.doc_id: [h.item_id for h in r.hits] for r in find_items(docs, items).collect()}
     assert got == {1: [1], 2: [], 3: [2], 4: []}
+
+
+def test_the_language_stage_drops_noise_and_keeps_clean_documents(spark, frame):
+    import corpus_pipeline
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(6)
+    noise = [(10**6 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(400)), None, "s", 400) for i in range(100)]
+    noise += [(10**7, "Ab.", None, "s", 3)]        # too short to be judged
+    both = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, both, "").select("doc_id").collect()}
+    letters = {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert letters <= kept and kept - letters == {10**7}
+    # a language that no label names
+    taught = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, taught, "").select("doc_id").collect()}
+    german = {r.doc_id for r in docs.where("lang = 'de' and length(text) > 200").select("doc_id").collect()}
+    others = {r.doc_id for r in docs.where("lang <> 'de'").where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert len(german & kept) < 0.5 * len(german) and len(others - kept) <= 0.002 * len(others)
