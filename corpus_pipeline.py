@@ -18,13 +18,19 @@ from strata.llm.queries import tokenizer_path
 from strata.llm.tiling import find_items
 from strata.session import scratch_path
 
-LEAST_SCORE = 0.1
+JUDGED = 40                                       # letters of a text that can be told to be in no learned language
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language no machine is any sure of, go."""
-    found = identify(docs, train(docs))
-    return found.filter(F.col("lang_pred") != "und").filter(F.col("score") >= LEAST_SCORE).select("doc.*")
+    """Documents without a letter go, and those of ``JUDGED`` letters or more that score lower
+    than the texts the machines learned from do: noise, and most texts in languages that no
+    label names. NULL texts have no letter; without any label no document can stay; repeated
+    rows fare alike."""
+    model = train(docs)
+    found = identify(docs, model).filter(F.col("lang_pred") != "und")
+    letters = F.length(F.regexp_replace(F.col("doc.text"), r"\P{L}", ""))
+    strange = F.when(F.col("score") < (model["least"] if model else 0.0), letters >= JUDGED).otherwise(False)
+    return found.filter(~strange).select("doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
