@@ -6,13 +6,15 @@ merges, word ends) are followed so that ids equal those of the public tokenizers
 Within a word the transducer computes, from the merge list alone, a lookahead that is
 sufficient: how many symbols to the right can still change a token (``lookahead``). It reads
 symbols, and emits a token as soon as that many symbols lie behind it, so its memory does
-not grow with the word. Words that occur often are kept in a bounded table of a task's
-results; new words of a text block run through the merges together, as arrays.
+not grow with the word. Every word goes through it; results of words of up to 64 bytes are
+kept in a bounded table of a task, in front of it. Beside a text itself, a task holds the
+ids of a few thousand words at a time, and digests grow with them.
 
-Decoding is an incremental machine from ids to text: a token's characters become bytes, a
-word end becomes a blank, and bytes become characters once a UTF-8 sequence is complete.
-The tokenizer file names no decoder, so the library's decode() joins token texts by one
-blank; ``decoded`` is that text, ``plain_text`` the machine's.
+Decoding is an incremental machine from ids to text. The tokenizer file names no decoder, so
+the library's decode() joins token texts by one blank: ``Names`` pushes ids into that text,
+``decoded``. ``Decoder`` makes the plain text: a token's characters become bytes, a word end
+becomes a blank, and bytes become characters once a UTF-8 sequence is complete.
+(``merge_many``, which merges words side by side as arrays, serves operator 11.)
 
 Cases: NULL text counts as empty (no tokens, empty texts); added tokens inside a text give
 their ids; a lone byte sequence that is not UTF-8 decodes to U+FFFD; repeated rows give
@@ -27,6 +29,9 @@ import codecs
 import hashlib
 import json
 import unicodedata
+from array import array
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,9 @@ from pyspark.sql.types import (ArrayType, IntegerType, LongType, StringType, Str
 
 from strata.llm._text import with_results
 
-WORDS = 200_000            # results of words that a task keeps
+WORDS = 400_000            # results of words that a task keeps
+KEPT, SHORT = 64, 64       # bytes of a word that is kept, ids of a list that needs no heap
+NONE = 1 << 30             # the rank of no merge
 
 
 def byte_symbols() -> list:
@@ -81,6 +88,9 @@ class Merges:
         self.last = np.array([self.vocab[s + self.end] for s in symbols], np.int64)
         pairs = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in map(self._pair, model["merges"])]
         self.rank = {(a, b): (r, c) for r, (a, b, c) in reversed(list(enumerate(pairs)))}
+        self.rank_of = {p: r for p, (r, _) in self.rank.items()}.get
+        self.into = [c for _, _, c in pairs]
+        self.inner_of, self.last_of = self.inner.tolist(), self.last.tolist()
         self.lookahead = self._lookahead(pairs)
         self._build(pairs)
 
@@ -189,37 +199,69 @@ class Merges:
         return [r[:k] for r, k in zip(ids.astype(np.int32), size.tolist())]
 
     def _merge(self, ids: list) -> list:
-        """Merges one list of ids: always the earliest merge of the list, leftmost first."""
-        while len(ids) > 1:
-            best = min(((self.rank.get(p, (1 << 30, 0)), i) for i, p in enumerate(zip(ids, ids[1:]))))
-            (r, c), i = best
-            if r == 1 << 30:
+        """Merges one list of ids: always the earliest merge of the list, leftmost first. A
+        long list keeps its candidates in a heap, a short one looks for the least rank."""
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        get, into = self.rank_of, self.into
+        ranks = [get(p, NONE) for p in zip(ids, ids[1:])]
+        while ranks:
+            r = min(ranks)
+            if r == NONE:
                 break
-            ids[i:i + 2] = [c]
+            i = ranks.index(r)
+            ids[i:i + 2] = [into[r]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NONE)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), NONE)
         return ids
 
+    def _merge_long(self, ids: list) -> list:
+        n, get, into = len(ids), self.rank_of, self.into
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, p in enumerate(zip(ids, ids[1:])) if (r := get(p, NONE)) != NONE]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if ids[i] is None or j >= n or get((ids[i], ids[j]), NONE) != r:
+                continue                          # one of the two has merged meanwhile
+            ids[i], ids[j], after[i] = into[r], None, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                if (q := get((ids[i], ids[after[j]]), NONE)) != NONE:
+                    heappush(heap, (q, i))
+            if before[i] >= 0 and (q := get((ids[before[i]], ids[i]), NONE)) != NONE:
+                heappush(heap, (q, before[i]))
+        return [t for t in ids if t is not None]
+
     def stream(self, symbols):
         """The transducer: tokens of one word from an iterator over its bytes. A token goes
         out once ``lookahead`` symbols lie behind its end; then the rest merges anew, which
         gives the same tokens, as no merge crosses the cut."""
-        hold, before = [], None
+        hold, before, inner = [], None, self.inner_of
         block = 4 * self.lookahead + 64
+        if isinstance(symbols, bytes) and 0 < len(symbols) < block:   # the block does not fill
+            yield from self._merge([*map(inner.__getitem__, symbols[:-1]), self.last_of[symbols[-1]]])
+            return
         for b in symbols:
             if before is not None:
-                hold.append(int(self.inner[before]))
+                hold.append(inner[before])
+                if len(hold) >= block:
+                    done, at, cut = [], 0, len(hold) - self.lookahead
+                    for t in self._merge(list(hold)):
+                        size = self.sizes[t]
+                        if at + size > cut:
+                            break
+                        done.append(t)
+                        at += size
+                    yield from done
+                    hold = hold[at:]
             before = b
-            if len(hold) >= block:
-                done, at, cut = [], 0, len(hold) - self.lookahead
-                for t in self._merge(list(hold)):
-                    size = self.sizes[t]
-                    if at + size > cut:
-                        break
-                    done.append(t)
-                    at += size
-                yield from done
-                hold = hold[at:]
         if before is not None:
-            hold.append(int(self.last[before]))
+            hold.append(self.last_of[before])
             yield from self._merge(hold)
 
     @property
@@ -228,6 +270,24 @@ class Merges:
             self._sizes = [len(n.removesuffix(self.end)) if self.end else len(n) for n in self.names]
         return self._sizes
 
+    def chunks(self, text: str, most: int = 4096):
+        """The words of a text in lists of at most ``most``; an added token's id is a list of
+        its own. Beside the text itself only one list is held."""
+        pieces = [text]
+        if self.added_pattern and any(a in text for a in self.added):
+            pieces, at = [], 0
+            for m in self.added_pattern.finditer(text):
+                pieces += [text[at:m.start()], self.added[m[0]]]
+                at = m.end()
+            pieces.append(text[at:])
+        for piece in pieces:
+            if isinstance(piece, int):
+                yield [piece]
+                continue
+            found = self.word_pattern.finditer(self.normal(piece))
+            while words := [m[0] for m in islice(found, most)]:
+                yield words
+
     def words(self, text: str):
         """Lists of words (str), with the ids of added tokens (int) between them."""
         pieces = [text]
@@ -275,42 +335,46 @@ class Decoder:
         return self.utf8.decode(b"", True)
 
 
+class Names:
+    """Ids to the text of the library's decode(), one id after the other: the tokens' names
+    with one blank between them. The state is whether a token has come yet."""
+
+    def __init__(self, merges: Merges):
+        self.spaced, self.begun = [" " + n for n in merges.names], False
+
+    def push(self, i: int) -> str:
+        return self.feed([i])
+
+    def feed(self, ids: list) -> str:
+        out = "".join(map(self.spaced.__getitem__, ids))
+        if not self.begun and ids:
+            self.begun, out = True, out[1:]
+        return out
+
+
 class Encoder:
-    """Encodes texts with a bounded table of word results."""
+    """Encodes texts, each word through the transducer; words of up to KEPT bytes are kept in
+    a bounded table."""
 
     def __init__(self, merges: Merges, most: int = WORDS):
         self.merges, self.most, self.known = merges, most, {}
-        self.digits = [str(i) for i in range(len(merges.names))]
-
-    def learn(self, words) -> None:
-        """Adds the words that are not known yet; a full table starts anew."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(words)
-        raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        short = [k for k, r in enumerate(raw) if len(r) <= 64]
-        for k, ids in zip(short, self.merges.merge_many([raw[k] for k in short])):
-            self.known[new[k]] = self._entry(ids)
-
-    def _entry(self, ids):
-        listed = ids.tolist()
-        return (ids.tobytes(), " ".join([self.digits[i] for i in listed]),
-                " ".join([self.merges.names[i] for i in listed]))
-
-    def _long(self, word):
+
+    def _learn(self, word) -> bytes:
         if isinstance(word, int):
-            return self._entry(np.array([word], np.int32))
-        return self._entry(np.fromiter(self.merges.stream(iter(word.encode("utf-8", "surrogatepass"))), np.int32))
+            return array("i", [word]).tobytes()
+        raw = word.encode("utf-8", "surrogatepass")
+        ids = array("i", self.merges.stream(raw)).tobytes()
+        if len(raw) <= KEPT:
+            if len(self.known) >= self.most:
+                self.known.clear()                # a full table starts anew
+            self.known[word] = ids
+        return ids
 
-    def encode(self, texts: list):
-        """Per text: the entries of its words."""
-        lists = [self.merges.words(t) for t in texts]
-        self.learn({w for words in lists for w in words if not isinstance(w, int)})
-        known = self.known
-        for words in lists:
-            entries = [known.get(w) or self._long(w) for w in words]
-            yield entries
+    def encode(self, text: str):
+        """The ids of a text, as bytes of 32-bit numbers, chunk by chunk."""
+        for words in self.merges.chunks(text):
+            found = list(map(self.known.get, words))
+            yield b"".join([self._learn(w) if ids is None else ids for w, ids in zip(words, found)])
 
 
 def load_merges(path: str) -> Merges:
@@ -336,39 +400,47 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text",
 
     def run(texts):
         merges = Merges(json.loads(source.value))
-        encoder = Encoder(merges)
+        encoder, digits = Encoder(merges), [str(i) for i in range(len(merges.names))]
+        names, want = Names(merges), set(columns)
+
+        def one(text):
+            """The asked columns of a text; digests and decoded texts grow chunk by chunk."""
+            out = {c: [] for c in ("ids", "decoded", "plain_text")}
+            told, said, count = hashlib.sha256(), hashlib.sha256(), 0
+            machine = Decoder(merges)
+            names.begun = False
+            for raw in encoder.encode(text):
+                ids = np.frombuffer(raw, np.int32).tolist()
+                if "ids" in want:
+                    out["ids"].append(raw)
+                if "ids_sha256" in want and ids:
+                    told.update(((" " if count else "") + " ".join(map(digits.__getitem__, ids))).encode())
+                if want & {"decoded", "decoded_sha256"}:
+                    part = names.feed(ids)
+                    said.update(part.encode("utf-8", "surrogatepass"))
+                    if "decoded" in want:
+                        out["decoded"].append(part)
+                if "plain_text" in want:
+                    out["plain_text"] += map(machine.push, ids)
+                count += len(ids)
+            return {"n_tokens": count, "ids": b"".join(out["ids"]), "decoded": "".join(out["decoded"]),
+                    "plain_text": "".join(out["plain_text"]) + machine.close(),
+                    "ids_sha256": told.hexdigest(), "decoded_sha256": said.hexdigest()}
+
         for text in texts:
             parts = []
             for i, j in _blocks(text):
-                made = {c: [] for c in columns}
-                counts = []
-                for entries in encoder.encode([t or "" for t in text.slice(i, j - i).to_pylist()]):
-                    ids = b"".join([e[0] for e in entries])
-                    counts.append(len(ids) // 4)
-                    if "ids" in made:
-                        made["ids"].append(ids)
-                    if "ids_sha256" in made:
-                        made["ids_sha256"].append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
-                    if "decoded" in made or "decoded_sha256" in made:
-                        decoded = " ".join([e[2] for e in entries])
-                        if "decoded" in made:
-                            made["decoded"].append(decoded)
-                        if "decoded_sha256" in made:
-                            made["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if "plain_text" in made:
-                        machine = Decoder(merges)
-                        made["plain_text"].append("".join(map(machine.push, np.frombuffer(ids, np.int32).tolist()))
-                                                  + machine.close())
+                made = [one(t or "") for t in text.slice(i, j - i).to_pylist()]
                 arrays = []
                 for c in columns:
                     if c == "n_tokens":
-                        arrays.append(pa.array(counts, pa.int64()))
+                        arrays.append(pa.array([r[c] for r in made], pa.int64()))
                     elif c == "ids":
-                        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+                        offsets = pa.array(np.concatenate(([0], np.cumsum([r["n_tokens"] for r in made]))).astype(np.int32))
                         arrays.append(pa.ListArray.from_arrays(
-                            offsets, pa.array(np.frombuffer(b"".join(made[c]), np.int32))))
+                            offsets, pa.array(np.frombuffer(b"".join([r[c] for r in made]), np.int32))))
                     else:
-                        arrays.append(pa.array(made[c], pa.string()))
+                        arrays.append(pa.array([r[c] for r in made], pa.string()))
                 parts.append(pa.StructArray.from_arrays(arrays, names=list(columns)))
             yield pa.concat_arrays(parts)
 
