@@ -115,8 +115,31 @@ def test_transducer_holds_a_bounded_part_of_a_word(merges):
 def test_small_table_of_words_gives_equal_ids(merges, library):
     encoder = Encoder(merges, most=5)
     for t in ("one two three", "four five six seven", "one two eight nine ten eleven twelve"):
-        entries = next(iter(encoder.encode([t])))
-        assert np.frombuffer(b"".join(e[0] for e in entries), np.int32).tolist() == library.encode(t).ids
+        assert np.frombuffer(b"".join(encoder.encode(t)), np.int32).tolist() == library.encode(t).ids
+        assert len(encoder.known) <= 5
+
+
+def test_ids_and_decoded_texts_come_through_both_machines(spark, merges, library, monkeypatch):
+    """Every word is a run of the transducer, every decoded text one of the name machine."""
+    import strata.llm.bpe as bpe
+    seen = []
+    encoder, names = Encoder(merges), bpe.Names(merges)
+    stream = merges.stream
+    monkeypatch.setattr(merges, "stream", lambda raw: seen.append(bytes(raw)) or stream(raw))
+    text = "one two <|endoftext|> one " + "x" * 300 + " two"
+    ids = np.frombuffer(b"".join(encoder.encode(text)), np.int32).tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert seen == [b"one", b"two", b"x" * 300]
+    assert "".join(map(names.push, ids)) == library.decode(ids, skip_special_tokens=False)
+    assert [len(c) for c in merges.chunks("a b c d e", most=2)] == [2, 2, 1]
+
+
+def test_a_very_long_word_merges_in_seconds(merges, library):
+    import time
+    word = "".join(random.Random(3).choice("etaoinshrdlu") for _ in range(200_000))
+    start = time.process_time()
+    assert list(merges.stream(word.encode())) == library.encode(word, add_special_tokens=False).ids
+    assert time.process_time() - start < 20
 
 
 def test_decoder_is_incremental(merges, library):
