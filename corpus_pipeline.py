@@ -17,6 +17,7 @@ from strata.llm.minhash import near_duplicates, row_prints
 from strata.llm.queries import tokenizer_path
 from strata.llm.tiling import find_items
 from strata.session import scratch_path
+from strata.sources import fs
 
 JUDGED = 40                                       # letters of a text that can be told to be in no learned language
 
@@ -72,10 +73,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each stage's result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over ``documents``; each stage's result is written and read again, and goes
+    once the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            fs.delete(spark, before)              # its rows are all read and written on
+        before = path
     return docs
