@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
          .config("spark.driver.host", "127.0.0.1")
          .config("spark.driver.bindAddress", "127.0.0.1")
          .config("spark.driver.memory", os.environ.get("STRATA_DRIVER_MEMORY", "16g"))
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")   # with the frames that read them
          .config("spark.sql.sources.partitionOverwriteMode", "dynamic"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
