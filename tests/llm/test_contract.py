@@ -120,3 +120,44 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
                 assert 3 in n
             else:
                 assert not n
+
+
+def plain_features(text):
+    """The features of one text, string by string."""
+    from strata.llm.language import DIMENSIONS
+    letters = [b if 97 <= b < 123 or b >= 128 else 32 for b in (text or "").lower().encode()]
+    out = [0] * DIMENSIONS
+    for n in (2, 3):
+        for k in range(len(letters) - n + 1):
+            code = 0
+            for b in letters[k:k + n]:
+                code = (code * 257 + b) % 2**32
+            out[(code * 2654435761 % 2**32) >> 20] += 1
+    size = sum(out) ** 0.5
+    return np.array([c ** 0.5 / max(size, 1e-9) for c in out])
+
+
+def plain_choice(x, machines, names):
+    """The name that wins most duels; of equal ones the one with the larger margins."""
+    wins, margins = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+    for (a, b), w in machines.items():
+        m = float(x @ w[:-1].astype(float) + w[-1])
+        wins[a if m >= 0 else b] += 1
+        margins[a] += m
+        margins[b] -= m
+    return max(names, key=lambda c: (wins[c], margins[c]))
+
+
+def test_op2_predictions_duel_by_duel(spark, docs):
+    """The same weights, applied by a version that knows no arrays: family first, then its languages."""
+    from strata.llm.language import identify, train
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = train(frame)
+    got = {r.doc_id: r.lang_pred for r in identify(frame.select("doc_id", "text"), model).select("doc.doc_id", "lang_pred").collect()}
+    for r in docs:
+        want = "und"
+        if re.search(r"[^\W\d_]", r.text or ""):
+            x = plain_features(r.text)
+            family = plain_choice(x, model["families"], list(model["members"]))
+            want = plain_choice(x, model["pairs"][family], model["members"][family])
+        assert got[r.doc_id] == want

@@ -138,3 +138,27 @@ def test_cosine_links_null_ids_and_empty(spark):
     out = {r.vec_id: tuple(r)[1:] for r in cosine_links(df).collect()}
     assert out == {1: (1, 1, True), 2: (1, 1, False), None: (0, None, True)}
     assert cosine_links(df.filter("vec_id > 5")).count() == 0
+
+
+def test_cosine_links_with_the_default_constants(spark):
+    """Enough clustered vectors for several pivots and blocks, against all pairs."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(0, 60, 9000)] + 0.12 * rng.normal(size=(9000, 16))
+    x[8000:8500] = x[0] + 0.01 * rng.normal(size=(500, 16))
+    assert len(x) // embeddings.PER_PIVOT > 1 and len(x) > 2 * embeddings.BLOCK
+    rows = [(int(i), [float(c) for c in v]) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cosine_links(frame).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.95
+    np.fill_diagonal(links, False)
+    assert [got[i][0] for i in range(9000)] == links.sum(1).tolist()
+    label = np.arange(9000)
+    while True:
+        new = np.minimum(label, np.where(links, label[None, :], 9000).min(1))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    assert [got[i][1] for i in range(9000)] == label.tolist()
