@@ -2,6 +2,9 @@
 
 Unit and factor tables are lookups (a row per unit / fuel type; a repeated key is refused,
 as it would multiply emissions); every calculation is a DECIMAL expression, cast to DECIMAL(18,6).
+They have a row for each of a handful of names that the activities share, so a shuffle on the
+name would deal all activities to as many tasks: the lookups are broadcast instead, and the
+activities stay where they are.
 """
 
 from __future__ import annotations
@@ -28,10 +31,15 @@ def unit_table(spark: SparkSession, units=UNIT_TO_KWH) -> DataFrame:
     return spark.createDataFrame(list(units), "unit string, to_kwh decimal(18,12)")
 
 
+def _lookup(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """A lookup of few rows, one per key (checked), for a join that leaves the main rows in place."""
+    return F.broadcast(unique_lookup(rows, [key], name))
+
+
 def to_kwh(df: DataFrame, value: str, unit: str, units: DataFrame,
            out: str = "energy_kwh") -> DataFrame:
     """EN-1: energy in kWh via the unit table; an unknown unit gives NULL."""
-    u = unique_lookup(units.select(F.col("unit").alias("__unit"), "to_kwh"), ["__unit"], "units")
+    u = _lookup(units.select(F.col("unit").alias("__unit"), "to_kwh"), "__unit", "units")
     j = df.join(u, df[unit] == u["__unit"], "left")
     return j.withColumn(out, (F.col(value) * F.col("to_kwh")).cast(RESULT)) \
             .drop("__unit", "to_kwh")
@@ -40,8 +48,8 @@ def to_kwh(df: DataFrame, value: str, unit: str, units: DataFrame,
 def fill_factor(df: DataFrame, fuel: str, factor: str, defaults: DataFrame) -> DataFrame:
     """EN-3: a missing factor takes the fuel type's default (defaults: fuel_type,
     default_factor)."""
-    d = unique_lookup(defaults.select(F.col("fuel_type").alias("__fuel"), "default_factor"),
-                      ["__fuel"], "default factors")
+    d = _lookup(defaults.select(F.col("fuel_type").alias("__fuel"), "default_factor"),
+                "__fuel", "default factors")
     j = df.join(d, df[fuel] == d["__fuel"], "left")
     return j.withColumn(factor, F.coalesce(F.col(factor), F.col("default_factor"))) \
             .drop("__fuel", "default_factor")
@@ -51,8 +59,8 @@ def to_co2e(df: DataFrame, energy: str, fuel: str, factors: DataFrame,
             out: str = "co2e") -> DataFrame:
     """EN-2: CO2e = energy x factor of the fuel type (factors: fuel_type, factor), as
     DECIMAL(18,6). Factor values are an input table, not constants."""
-    f = unique_lookup(factors.select(F.col("fuel_type").alias("__fuel"),
-                                     F.col("factor").alias("__factor")), ["__fuel"], "factors")
+    f = _lookup(factors.select(F.col("fuel_type").alias("__fuel"), F.col("factor").alias("__factor")),
+                "__fuel", "factors")
     j = df.join(f, df[fuel] == f["__fuel"], "left")
     return j.withColumn(out, (F.col(energy) * F.col("__factor")).cast(RESULT)) \
             .drop("__fuel", "__factor")
@@ -61,8 +69,8 @@ def to_co2e(df: DataFrame, energy: str, fuel: str, factors: DataFrame,
 def scope_of(df: DataFrame, scope: str, fuel: str, rules: DataFrame) -> DataFrame:
     """EN-4: keep a given scope category; derive a missing one from the fuel type via the
     rule table (fuel_type, scope)."""
-    r = unique_lookup(rules.select(F.col("fuel_type").alias("__fuel"),
-                                   F.col("scope").alias("__scope")), ["__fuel"], "scope rules")
+    r = _lookup(rules.select(F.col("fuel_type").alias("__fuel"), F.col("scope").alias("__scope")),
+                "__fuel", "scope rules")
     j = df.join(r, df[fuel] == r["__fuel"], "left")
     return j.withColumn(scope, F.coalesce(F.col(scope), F.col("__scope"))) \
             .drop("__fuel", "__scope")

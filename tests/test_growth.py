@@ -52,3 +52,20 @@ def test_rows_of_a_sheet_leave_before_all_of_it_is_read():
     first = next(made)
     assert len(read) < 10 and first.num_rows < 10_000
     assert first.num_rows + sum(b.num_rows for b in made) == 49_000
+
+
+@pytest.mark.parametrize("step", ["to_kwh", "to_co2e", "fill_factor", "scope_of"])
+def test_activities_are_not_dealt_by_unit_or_fuel(spark, step):
+    from strata.catalog.q_emissions import SCOPE_RULES, defaults, factors
+    from strata.operators import emissions as em
+    odd = F.col("id") % 2 == 1
+    df = spark.range(10).select(F.when(odd, "kWh").otherwise("GJ").alias("unit"), F.when(odd, "diesel").otherwise("?").alias("fuel"), F.lit(2).cast("decimal(18,6)").alias("energy"),
+                                F.lit(None).cast("decimal(18,6)").alias("factor"), F.lit(None).cast("string").alias("scope"))
+    rules = spark.createDataFrame(list(SCOPE_RULES), "fuel_type string, scope string")
+    out = {"to_kwh": lambda: em.to_kwh(df, "energy", "unit", em.unit_table(spark)),
+           "to_co2e": lambda: em.to_co2e(df, "energy", "fuel", factors(spark)),
+           "fill_factor": lambda: em.fill_factor(df, "fuel", "factor", defaults(spark)),
+           "scope_of": lambda: em.scope_of(df, "scope", "fuel", rules)}[step]()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert out.count() == 10
