@@ -143,7 +143,7 @@ def run_silver(spark: SparkSession, bronze: DataFrame, job: SilverJob, targets:
         if rules:
             batch, bad, results = quarantine_counted(batch, rules, scratch_path(spark, f"{table}-batch"))
             batch, bad = batch.drop("_rejected"), bad.drop("_rejected")
-        elif not stale:
+        else:                                     # also after the stale filter: its joins run once
             batch = materialize(batch)
         audit_log(spark, job.audit_path, AuditEvent(table, job.job_id, "P", f"{shape} batch prepared", None, job.load_ts))
         created = [audit.created_time, audit.created_by]

@@ -90,3 +90,28 @@ def test_a_cell_is_searched_once_for_unknown_terms(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("default\\s*value") == 1
     assert [tuple(r) for r in out.collect()] == [(1, "t", "c", 1, 2, "Frob(...)")]
+
+
+def test_the_upsert_reads_what_the_stale_filter_has_written(spark, scratch, monkeypatch):
+    from strata.plans.silver import SilverJob, run_silver
+    from strata.sources import versions
+    from strata.spec import ColumnMapping as M
+    from strata.spec import LoadSpec
+    load = LoadSpec.from_metadata("t", {"merge_key": "k", "merge_type": "upsert", "stale_data_handling": "Y", "source_deduplication": "Y",
+                                        "source_partitionBy_columns": "k", "source_orderBy_columns": "updated_time desc",
+                                        "target_join_columns": "k", "target_audit_columns": "updated_time"})
+    mapping, path, joins = (M("k", "BIGINT", "k"), M("v", "STRING", "v")), scratch("stale"), []
+    commit = versions.commit
+
+    def seen(spark, df, *a, **b):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return commit(spark, df, *a, **b)
+
+    monkeypatch.setattr(versions, "commit", seen)
+    batch = lambda *rows: spark.createDataFrame(rows, "k long, v string, u string").select(
+        "k", "v", F.col("u").cast("timestamp_ntz").alias("updated_time"))
+    run_silver(spark, batch((1, "a", "2024-01-02"), (2, "b", "2024-01-02")), SilverJob(load, mapping, path, "2024-01-16 00:00:00", "j"))
+    got = run_silver(spark, batch((1, "old", "2024-01-01"), (2, "new", "2024-01-03"), (3, "c", "2024-01-01")),
+                     SilverJob(load, mapping, path, "2024-01-17 00:00:00", "j")).table
+    assert sorted((r.k, r.v) for r in got.collect()) == [(1, "a"), (2, "new"), (3, "c")]
+    assert joins == [0, 2]                        # the anti join and the one for the created columns
