@@ -5,11 +5,13 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import strata.llm.embeddings as embeddings
 from strata.llm._graph import components
 from strata.llm.embeddings import cosine_links
 from strata.llm.minhash import near_duplicates
+from strata.session import materialize
 from tests.llm.conftest import sentence
 
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -101,6 +103,32 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(41)} | {99: 99, 100: 99}
 
 
+def estimate(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+
+
+def test_size_estimates_do_not_grow_with_the_rounds(spark):
+    """A join's estimate is the product of its sides'; the rounds must not multiply it on."""
+    names = list(range(60))
+    random.Random(3).shuffle(names)
+    found = components(spark.createDataFrame(list(zip(names, names[1:])), "a long, b long"))
+    assert {r.v: r.c for r in found.collect()} == dict.fromkeys(names, 0)
+    assert estimate(found) < 2 ** 64
+
+
+def test_a_known_size_is_kept_and_an_outgrown_one_forgotten(spark):
+    small = materialize(spark.range(100))
+    assert estimate(small) == 800
+    wide = small
+    for k in range(9):
+        wide = wide.join(small.withColumnRenamed("id", f"x{k}"), F.col("id") == F.col(f"x{k}"))
+    kept = materialize(wide.repartition(3, "id").sortWithinPartitions("id"))
+    assert estimate(wide) > 2 ** 64 > estimate(kept)
+    assert sorted(tuple(r) for r in kept.collect()) == [(i,) * 10 for i in range(100)]
+    assert kept.dtypes == wide.dtypes and kept.rdd.getNumPartitions() == 3
+    assert kept.join(kept.select("id"), "id").count() == 100
+
+
 def cosine_brute(rows, least):
     unit = []
     for _, v in rows:
