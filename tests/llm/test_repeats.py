@@ -9,6 +9,7 @@ import pytest
 import strata.llm._repeats as engine
 import strata.llm.suffix_array as suffix_array_module
 import strata.llm.suffix_automaton as suffix_automaton_module
+from strata.llm._text import sliding
 from strata.llm.suffix_array import common_prefixes, dedup_bytes, suffix_array
 from strata.llm.suffix_automaton import Automaton, dedup_words
 from tests.llm.conftest import sentence
@@ -85,6 +86,33 @@ def test_many_small_chunks(frame, monkeypatch):
     assert got(dedup_words(docs, length=20, seed=8), "n_words", "n_removed", "kept_sha256") == words_of(rows, 20)
 
 
+def test_seeds_are_dealt_evenly():
+    """Seeds are the smallest hashes of their windows; no part may get more for that."""
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, 400_000, np.uint64)
+    seeds = np.unique(sliding(hashes, 31))
+    for count in (64, 500):
+        got = np.bincount(engine._dealt(seeds, count), minlength=count)
+        assert len(got) == count and got.max() < 2 * got.mean()
+
+
+def test_a_shard_is_resolved_in_parts(frame, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(engine, "AT_ONCE", 100)
+    job = engine.Repeats(2, 1, None, lambda symbols, offsets, owner, seeds, length: sizes.append(
+        (len(symbols), len(set(seeds.tolist())))) or owner.astype(np.uint64) + symbols[offsets[:-1]], None, "", 0)
+    seeds = np.array([7, 3, 9, 7, 3, 7] * 20, np.uint64)
+    size = np.arange(120) % 5 + 1
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    symbols = np.repeat(np.arange(120, dtype=np.uint8), size)
+    assert engine._hits(job, symbols, offsets, np.arange(120), seeds).tolist() == [2 * i for i in range(120)]
+    assert len(sizes) == 3 and {n for _, n in sizes} == {1}
+    assert not len(engine._hits(job, symbols[:0], offsets[:1], seeds[:0], seeds[:0])) and len(sizes) == 3
+    rows = corpus(6)
+    docs = frame(rows)
+    assert got(dedup_bytes(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == bytes_of(rows)
+    assert got(dedup_words(docs), "n_words", "n_removed", "kept_sha256") == words_of(rows)
+
+
 def test_long_text_and_kept_text(frame):
     rng = random.Random(3)
     long = sentence(rng, 60_000)
