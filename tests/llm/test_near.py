@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import strata.llm.embeddings as embeddings
+from corpus_pipeline import near_dedup
 from strata.llm._graph import components
 from strata.llm.embeddings import cosine_links
 from strata.llm.minhash import near_duplicates
@@ -116,6 +117,16 @@ def test_size_estimates_do_not_grow_with_the_rounds(spark):
     assert estimate(found) < 2 ** 64
 
 
+def test_pipeline_stage_on_a_chain_of_near_duplicates(spark, frame):
+    """Classes whose ends share nothing take rounds; the stage's plan must not grow with them."""
+    words, names = [f"w{k}" for k in range(200)], list(range(10, 60))
+    random.Random(4).shuffle(names)
+    rows = [(i, " ".join(words[2 * k:2 * k + 60])) for k, i in enumerate(names)] + [(3, "apart from all of these")]
+    out = near_dedup(spark, frame(rows), "")
+    assert sorted(r.doc_id for r in out.collect()) == [3, 10]
+    assert estimate(out) < 2 ** 2000
+
+
 def test_a_known_size_is_kept_and_an_outgrown_one_forgotten(spark):
     small = materialize(spark.range(100))
     assert estimate(small) == 800
